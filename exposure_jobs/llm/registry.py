@@ -1,11 +1,14 @@
 """The registered corpus queries and, where SQL can say the same, their SQL."""
 
-from exposure_jobs.llm import bpe, compression_quality, quality_rules, simhash
+from exposure_jobs.llm import bpe, compression_quality, decontaminate, quality_rules, sanitise, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_bpe": bpe.op7_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_sanitise": sanitise.op9_sanitise,
     "op10_compression_quality": compression_quality.op10_compression_quality,
 }
-ORACLE_SQL = {"op8_quality_rules": quality_rules.OP8_SQL}
+ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL, "op8_quality_rules": quality_rules.OP8_SQL}
