@@ -7,9 +7,10 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposure_jobs.llm.common import table
@@ -136,19 +137,25 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs(doc_id, text, ...)`` → ``(doc_id, ids, decoded)``: the ids as little-endian 32-bit binary, and the text they decode to.
-
-    ``path`` is the vocabulary's on the executors; by default the installed public file. Null text counts as empty (no ids, empty
-    decoded text); rows stay as they are, an empty table gives no rows, other columns are ignored.
-    """
+def encoded_column(text: str | Column, path: str | None = None) -> Column:
+    """The struct ``(ids array<int>, decoded string)`` of a text column; ``path`` is the vocabulary's on the executors, by default the
+    installed public file. Null text counts as empty (no ids, empty decoded text)."""
 
-    @F.pandas_udf("ids binary, decoded string")
+    @F.pandas_udf("ids array<int>, decoded string")
     def encoded(texts: pd.Series) -> pd.DataFrame:
         bpe = _vocabulary(path)
-        return pd.DataFrame([bpe.encode_decode(t) for t in texts], columns=["ids", "decoded"])
+        done = [bpe.encode_decode(t) for t in texts]
+        return pd.DataFrame({"ids": [np.frombuffer(ids, "<i4") for ids, _ in done], "decoded": [d for _, d in done]})
+
+    return encoded(text)
 
-    return docs.select("doc_id", encoded("text").alias("e")).select("doc_id", "e.*")
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``docs(doc_id, text, ...)`` → ``(doc_id, ids, decoded)``: the ids, and the text they decode to.
+
+    Rows stay as they are, an empty table gives no rows, other columns are ignored.
+    """
+    return docs.select("doc_id", encoded_column("text", path).alias("e")).select("doc_id", "e.*")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_or_empty(column: str | Column) -> Column:
-    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the session's shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -36,7 +41,3 @@ def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; what decides which rows are held out."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(column.cast("string").cast("binary")) % modulus
-
-
-#: Long enough for any word list here, and the same for Spark and the SQL counterparts.
-SPACE = r"[\x20\x09-\x0D]"
