@@ -139,6 +139,7 @@ def monotone_forecast(s, d):
 
 def feature_scaling(s, d):
     made = testbed.tables(s, d).matrix
+    made = made.withColumns({c: F.round(c, 6) for c in ("time_since_last_start_h", "time_since_last_end_h")})
     stats = model.imputation(made, ["active_sum_24h", "time_since_last_start_h", "time_since_last_end_h"])
     return _rounded(stats, 9)
 
@@ -172,7 +173,7 @@ def isotonic_seasonal(s, d):
     rows = baselines.long_predictions(made, list(SCORED), ("seasonal",)).withColumn("p", F.round("p", 9))
     points = rows.select("region_id", "horizon", "p").distinct().withColumn("x", F.col("p"))
     done = model.calibrated(points, model.fit_calibrators(rows))
-    return done.select("region_id", "horizon", F.round("x", 6).alias("x"), F.round("p", 6).alias("fitted"))
+    return done.select("region_id", "horizon", F.round("x", 9).alias("x"), F.round("p", 9).alias("fitted"))
 
 
 def manifest(s, d):
@@ -349,7 +350,7 @@ ORACLE_SQL = {
         mm AS (SELECT a.region_id, a.horizon, a.i AS j, i.i AS i, min((k.cs - a.cs + a.s)::DOUBLE / (k.cn - a.cn + a.n)::DOUBLE) AS lo FROM pr a
                JOIN pr i ON a.region_id = i.region_id AND a.horizon = i.horizon AND a.i <= i.i JOIN pr k ON a.region_id = k.region_id AND a.horizon = k.horizon AND k.i >= i.i GROUP BY ALL),
         ft AS (SELECT region_id, horizon, i, max(lo) AS f FROM mm GROUP BY ALL)
-        SELECT pr.region_id, pr.horizon, round(pr.x, 6) AS x, round(CASE WHEN ts = 0 OR ts = tn THEN pr.x ELSE f END, 6) AS fitted FROM pr JOIN ft ON pr.region_id = ft.region_id AND pr.horizon = ft.horizon AND pr.i = ft.i""",
+        SELECT pr.region_id, pr.horizon, round(pr.x, 9) AS x, round(CASE WHEN ts = 0 OR ts = tn THEN pr.x ELSE f END, 9) AS fitted FROM pr JOIN ft ON pr.region_id = ft.region_id AND pr.horizon = ft.horizon AND pr.i = ft.i""",
     "manifest": f"""WITH {_GRID}, i AS (SELECT region_id, count(*) AS n FROM merged GROUP BY region_id)
         SELECT p.region_id, any_value(i.n)::BIGINT AS interval_count, count(*)::BIGINT AS origin_count, sum(active)::BIGINT AS active_origin_count, epoch_us(min(t)) AS range_start_us, epoch_us(max(t)) AS range_end_us, epoch_us(any_value(c)) AS test_end_us, 'events' AS source
         FROM panel p JOIN i ON p.region_id = i.region_id JOIN cut ON p.region_id = cut.region_id GROUP BY p.region_id""",

@@ -34,6 +34,7 @@ def report(matrix: DataFrame, parameters: DataFrame, calibrators: DataFrame, bas
     rates = fit_baselines(matrix)
     based = long_predictions(predict_baselines(rates, test, horizons, baselines), horizons, baselines)
     scores = evaluate(model.select(*based.columns).unionByName(based))
+    scores = scores.cache()
     own = scores.filter("predictor = 'model'").select("region_id", "horizon", F.col("brier_score").alias("__own"))
     return scores.join(own, ["region_id", "horizon"]).withColumn("model_uplift", F.col("brier_score") - F.col("__own")).drop("__own")
 

@@ -34,9 +34,31 @@ def average_precision(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def evaluate(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """All metrics by region, horizon and predictor, with the Brier uplift of ``model`` over each baseline where there is a model."""
+    """All metrics by region, horizon and predictor in one pass: equal scores are counted once, and scores and precision come from the counts."""
     keys = ["region_id", "horizon", "predictor"] if keys is None else keys
-    return proper_scores(rows, keys).join(average_precision(rows, keys), keys)
+    tied = rows.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
+    down = Window.partitionBy(*keys).orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ran = tied.withColumn("seen", F.sum("n").over(down)).withColumn("found", F.sum("hits").over(down))
+    p = F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0))
+    q = F.least(F.greatest(F.col("p"), F.lit(EPSILON)), F.lit(1 - EPSILON))
+    misses = F.col("n") - F.col("hits")
+    total = ran.groupBy(*keys).agg(
+        F.sum("n").alias("n_samples"),
+        F.sum("hits").alias("__hits"),
+        F.sum(F.col("hits") * (1 - p) * (1 - p) + misses * p * p).alias("__brier"),
+        F.sum(-F.col("hits") * F.log(q) - misses * F.log(1 - q)).alias("__log"),
+        F.sum(F.col("hits") * F.col("found") / F.col("seen")).alias("__ap"),
+    )
+    n, hits = F.col("n_samples"), F.col("__hits")
+    both = (hits > 0) & (hits < n)
+    return total.select(
+        *keys,
+        "n_samples",
+        (hits / n).alias("positive_rate"),
+        (F.col("__brier") / n).alias("brier_score"),
+        (F.col("__log") / n).alias("log_loss"),
+        F.when(both, F.col("__ap") / F.when(both, hits)).otherwise(F.lit(float("nan"))).alias("pr_auc"),
+    )
 
 
 def brier_uplift(scores: DataFrame, model: str = "model") -> DataFrame:
