@@ -17,6 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from exposure_jobs.llm.common import table
 
@@ -34,9 +35,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def grams(texts: list) -> tuple[np.ndarray, list[np.ndarray]]:
-    """How many words each text has, and by order the hash of the n-gram that ends at each word (0 where the text has none yet)."""
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+def grams(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many words each text (in UTF-8) has, and by order the hash of the n-gram that ends at each word (0 where the text has none yet)."""
+    words = [t.lower().split() for t in texts]
     many = np.fromiter(map(len, words), np.int64, len(words))
     total = int(many.sum())
     single = np.fromiter((xxhash.xxh64_intdigest(w) for ws in words for w in ws), np.uint64, total)
@@ -67,11 +68,19 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _asked(frame: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    many, found = grams(list(frame["text"]))
-    every = np.concatenate(found)
-    distinct, which, count = np.unique(every, return_inverse=True, return_counts=True)
-    return many, found, distinct, which, count
+@F.pandas_udf(BinaryType())
+def packed_text(texts: pd.Series) -> pd.Series:
+    """Texts as they travel to their blocks: compressed one by one, which the shuffle's own codec does less well."""
+    codec = zstandard.ZstdCompressor(level=3)
+    return texts.map(lambda t: codec.compress((t or "").encode("utf-8", "surrogatepass")))
+
+
+def _asked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text; the block's distinct n-grams, which of them ends at each word by order, and how often each is there."""
+    codec = zstandard.ZstdDecompressor()
+    many, found = grams([codec.decompress(z) for z in frame["z"]])
+    distinct, which, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    return many, distinct, which, count
 
 
 def _bounds(distinct: np.ndarray, partitions: int) -> np.ndarray:
@@ -82,7 +91,7 @@ def _bounds(distinct: np.ndarray, partitions: int) -> np.ndarray:
 
 def _ask(partitions: int) -> Callable:
     def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, _, distinct, _, count = _asked(frame)
+        _, distinct, _, count = _asked(frame)
         at, rows = _bounds(distinct, partitions), []
         for p in range(partitions):
             a, b = at[p], at[p + 1]
@@ -124,14 +133,15 @@ def backoff_scores(counts: list[np.ndarray], place: np.ndarray, total: int) -> t
 
 def _score(total: int) -> Callable:
     def score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        many, _, distinct, which, _ = _asked(docs)
+        many, distinct, which, _ = _asked(docs)
         totals = np.concatenate([_unpacked(t) for t in answers.sort_values("part")["totals"]]).astype(np.int64) if len(answers) else np.zeros(len(distinct), np.int64)
         doc = np.repeat(np.arange(len(docs)), many)
         place = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-        own = which * len(docs) + np.tile(doc, ORDER)
-        _, of_doc, in_doc = np.unique(own, return_inverse=True, return_counts=True)
-        others = (totals[which] - in_doc[of_doc]).reshape(ORDER, -1)
-        micro, used = backoff_scores([np.where(place >= k, others[k], 0) for k in range(ORDER)], place, total)
+        others = []
+        for k, at in enumerate(which.reshape(ORDER, -1)):  # the totals without what the document itself has
+            _, of_doc, in_doc = np.unique(at * len(docs) + doc, return_inverse=True, return_counts=True)
+            others.append(np.where(place >= k, totals[at] - in_doc[of_doc], 0))
+        micro, used = backoff_scores(others, place, total)
         sums = [np.bincount(doc, used == k, len(docs)).astype(np.int64) for k in range(ORDER, 0, -1)]
         log = np.zeros(len(docs), np.int64)
         np.add.at(log, doc, micro)
@@ -153,7 +163,7 @@ def score(docs: DataFrame) -> DataFrame:
     sizes = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars"), F.coalesce(F.sum(words), F.lit(0)).alias("words")).first()
     blocks = max(1, -(-sizes.chars // BLOCK_CHARS))
     partitions = PARTITIONS_PER_BLOCK * blocks
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    dealt = docs.select("doc_id", packed_text("text").alias("z"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     asked = dealt.groupBy("block").applyInPandas(_ask(partitions), "block long, part long, grams binary, counts binary")
     answers = asked.groupBy("part").applyInPandas(answer, "block long, part long, totals binary")
     schema = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, log_score_micro long"
