@@ -1,9 +1,10 @@
-"""Removal of passages that an earlier document has: sharded Aho-Corasick automata over confirmed recurring phrases.
+"""Removal of passages that an earlier document has: confirmed recurring phrases, found by sharded Aho-Corasick automata.
 
 1. Each window of WINDOW words has an anchor, the least hash among its runs of ANCHOR words; equal windows have equal anchors, so
-   only windows whose anchor stands in two documents can recur. 2. Neighbouring windows with one anchor form a segment; segments of
-   anchors that recur are grouped by text, which collapses copies. 3. Each shard of anchors confirms the windows that two documents
-   have, compiles them into an automaton and streams its segments through it. 4. What it located is brought back to the documents.
+   only windows whose anchor stands in two documents can recur, and only those are hashed and counted. 2. A window that two documents
+   have belongs to the one with the least id; neighbouring windows of one owner make a phrase, whose text is fetched from the owner.
+3. Documents are streamed, a shard at a time, through an automaton compiled from the shard's phrases, which locates every occurrence
+   in the text itself; the hashes only proposed them.
 """
 
 from __future__ import annotations
@@ -15,29 +16,34 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from exposure_jobs.llm.common import ascii_words, checkpointed, table
+from exposure_jobs.llm.common import ascii_words, table
 
 WINDOW, ANCHOR = 13, 5
-#: Distinct segments that a shard should hold, some 10 MB of automaton; an anchor with more is grouped by window instead.
-SHARD_SEGMENTS = 4000
+#: Documents of one automaton; its patterns are the phrases that these documents hold, so it is no larger than their texts.
+SHARD_DOCS = 256
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _rolled(words: list[bytes], length: int) -> np.ndarray:
+    """A hash of each run of ``length`` words."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    runs = np.zeros(len(words) - length + 1, np.uint64)
+    for k in range(length):
+        runs = runs * _MULTIPLIER + hashes[k : k + len(runs)]
+    runs = (runs ^ (runs >> np.uint64(29))) * _MULTIPLIER
+    return runs ^ (runs >> np.uint64(32))
+
+
 def window_anchors(words: list[bytes]) -> np.ndarray:
     """The anchor of each window of a text; empty if it has fewer than WINDOW words."""
     if len(words) < WINDOW:
         return np.zeros(0, np.int64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    runs = np.zeros(len(words) - ANCHOR + 1, np.uint64)
-    for k in range(ANCHOR):
-        runs = runs * _MULTIPLIER + hashes[k : k + len(runs)]
-    runs = (runs ^ (runs >> np.uint64(29))) * _MULTIPLIER
-    runs ^= runs >> np.uint64(32)
-    span, least, width = WINDOW - ANCHOR + 1, runs, 1
+    span, least, width = WINDOW - ANCHOR + 1, _rolled(words, ANCHOR), 1
     while width < span:
         step = min(width, span - width)
         least = np.minimum(least[:-step], least[step:])
@@ -50,128 +56,138 @@ def anchors(texts: pd.Series) -> pd.Series:
     return pd.Series([np.unique(window_anchors(ascii_words(t))) for t in texts])
 
 
-def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(doc_id, text, recurring)`` → ``(doc_id, start, anchor, seg)``: runs of windows with one recurring anchor, as text."""
+@F.pandas_udf(BinaryType())
+def packed(texts: pd.Series) -> pd.Series:
+    """Texts as they are shuffled, compressed one by one."""
+    codec = zstandard.ZstdCompressor(level=3)
+    return texts.map(lambda t: codec.compress((t or "").encode("utf-8", "surrogatepass")))
+
+
+def _words(packed_texts) -> Iterator[list[bytes]]:
+    codec = zstandard.ZstdDecompressor()
+    return (codec.decompress(z).split() for z in packed_texts)
+
+
+def candidate_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(doc_id, z, recurring)`` → ``(doc_id, at, h)``: the hash of each window whose anchor recurs."""
     for batch in batches:
-        rows = []
-        for doc_id, text, recurring in zip(batch["doc_id"], batch["text"], batch["recurring"], strict=True):
-            words = ascii_words(text)
+        for doc_id, words, recurring in zip(batch["doc_id"], _words(batch["z"]), batch["recurring"], strict=True):
             found = window_anchors(words)
-            cuts = np.flatnonzero(np.diff(found)) + 1
-            starts, ends = np.r_[0, cuts], np.r_[cuts, len(found)]
-            for i in np.flatnonzero(np.isin(found[starts], np.asarray(recurring, np.int64))) if len(found) else ():
-                a, b = int(starts[i]), int(ends[i])
-                rows.append((doc_id, a, int(found[a]), b" ".join(words[a : b + WINDOW - 1]).decode("utf-8", "surrogatepass")))
-        yield pd.DataFrame(rows, columns=["doc_id", "start", "anchor", "seg"])
+            at = np.flatnonzero(np.isin(found, np.asarray(recurring, np.int64)))
+            if len(at):
+                yield pd.DataFrame({"doc_id": doc_id, "at": at, "h": _rolled(words, WINDOW)[at].view(np.int64)})
 
 
-def locate(shard: pd.DataFrame) -> pd.DataFrame:
-    """Distinct segments ``(seg, lo, hi)`` of one shard → ``(seg_key, off, owner)`` for each place of a window that two documents have.
+def phrase_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(doc_id, found)`` → ``(doc_id, owner, first, n)``: runs of windows that stand side by side in the owner too."""
+    for batch in batches:
+        rows = []
+        for doc_id, found in zip(batch["doc_id"], batch["found"], strict=True):
+            at, owner, place = np.array([(f["at"], f["owner"], f["place"]) for f in found], np.int64).reshape(-1, 3).T
+            order = np.lexsort((at, at - place, owner))
+            at, owner, place = at[order], owner[order], place[order]
+            cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(place) != 1) | (np.diff(owner) != 0)) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True):
+                rows.append((doc_id, int(owner[a]), int(place[a]), int(b - a)))
+        yield pd.DataFrame(rows, columns=["doc_id", "owner", "first", "n"])
+
+
+def phrase_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(doc_id, owner, first, n, z of the owner)`` → ``(doc_id, owner, phrase)``."""
+    for batch in batches:
+        cut = (w[a : a + n + WINDOW - 1] for w, a, n in zip(_words(batch["z"]), batch["first"], batch["n"], strict=True))
+        phrases = [b" ".join(w).decode("utf-8", "surrogatepass") if len(w) >= WINDOW else None for w in cut]  # none in another text of the owner's id
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "owner": batch["owner"], "phrase": phrases}).dropna(subset=["phrase"])
 
-    ``lo`` and ``hi`` are the least and greatest document with the segment; a window's are those over all its segments.
-    """
-    low: dict[str, int] = {}
-    high: dict[str, int] = {}
-    cut = [seg.split(" ") for seg in shard["seg"]]
-    for words, lo, hi in zip(cut, shard["lo"], shard["hi"], strict=True):
-        for i in range(len(words) - WINDOW + 1):
-            w = " ".join(words[i : i + WINDOW])
-            low[w] = min(lo, low.get(w, lo))
-            high[w] = max(hi, high.get(w, hi))
-    automaton = ahocorasick.Automaton()
-    for w, lo in low.items():
-        if lo < high[w]:
-            automaton.add_word(f" {w} ", (len(w), int(lo)))
-    rows = []
-    if len(automaton):
-        automaton.make_automaton()
-        for key, seg in zip(shard["seg_key"], shard["seg"], strict=True):
-            at, begins = 0, {}
-            for n, c in enumerate(f" {seg} "):
-                if c == " ":
-                    begins[n] = at
-                    at += 1
-            rows.extend((key, begins[end - length - 1], owner) for end, (length, owner) in automaton.iter(f" {seg} "))
-    return pd.DataFrame(rows, columns=["seg_key", "off", "owner"])
-
-
-def recurring_windows(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` → ``(doc_id, starts)``: the places of windows that a document with a smaller id has too."""
-    docs = docs.filter(F.col("doc_id").isNotNull())
-    own = docs.select("doc_id", F.explode(anchors("text")).alias("anchor")).repartition("anchor")  # one shuffle serves the count and the join
+
+def _one_text_per_id(docs: DataFrame) -> DataFrame:
+    """``(doc_id, z)``; ids that are null can neither own nor lose words."""
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", packed("text").alias("z"))
+
+
+def recurring_phrases(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` → ``(doc_id, phrases)``: for each document the phrases ``(owner, phrase)`` that it shares with an earlier one."""
+    texts = _one_text_per_id(docs)
+    own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode(anchors("text")).alias("anchor")).repartition("anchor")  # one shuffle for the count and the join
     shared = own.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     recurring = own.join(shared.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("recurring"))  # bounded by a document's own length
-    found = docs.join(recurring, "doc_id").mapInPandas(segments, "doc_id long, start long, anchor long, seg string")
-    found = checkpointed(found.withColumn("seg_key", F.xxhash64("anchor", "seg")))
-    distinct = found.groupBy("anchor", "seg_key", "seg").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    located = _located(distinct, found)
-    return located.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-
-
-def _located(distinct: DataFrame, found: DataFrame) -> DataFrame:
-    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
-    sizes = per_anchor.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
-    shards = max(1, -(-sizes.n // SHARD_SEGMENTS))
-    schema = "seg_key long, off long, owner long"
-    few = distinct
-    if sizes.most > SHARD_SEGMENTS:
-        crowded = checkpointed(per_anchor.filter(F.col("n") > SHARD_SEGMENTS).select("anchor"))
-        few = distinct.join(crowded, "anchor", "left_anti")
-    places = few.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(locate, schema)
-    if sizes.most > SHARD_SEGMENTS:
-        places = places.unionByName(_by_window(distinct.join(crowded, "anchor", "left_semi")))
-    met = found.select("doc_id", "start", "seg_key").join(places, "seg_key").filter(F.col("owner") < F.col("doc_id"))
-    return met.select("doc_id", (F.col("start") + F.col("off")).alias("at"))
-
-
-def _by_window(distinct: DataFrame) -> DataFrame:
-    """The same places for anchors with very many different segments: windows meet as rows, so no group is large."""
-    words = F.split("seg", " ")
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(WINDOW))))
-    each = distinct.select("seg_key", "lo", "hi", F.posexplode(windows).alias("off", "win"))
-    owners = each.groupBy("win").agg(F.min("lo").alias("owner"), F.max("hi").alias("hi")).filter("owner < hi").select("win", "owner")
-    return each.join(owners, "win").select("seg_key", F.col("off").cast("long").alias("off"), "owner")
-
-
-def kept_words(text: str | None, starts) -> tuple[list[bytes], int]:
-    """The words that no window at ``starts`` covers, and how many words there were."""
-    words = ascii_words(text)
-    if starts is None or not len(starts):
-        return words, len(words)
-    cover = np.zeros(len(words) + 1, np.int64)
-    np.add.at(cover, np.asarray(starts, np.int64), 1)
-    np.add.at(cover, np.minimum(np.asarray(starts, np.int64) + WINDOW, len(words)), -1)
-    left = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
-    return [words[i] for i in left], len(words)
+    windows = texts.join(recurring.hint("merge"), "doc_id").mapInPandas(candidate_windows, "doc_id long, at long, h long").repartition("h")
+    owned = windows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("o"), F.max("doc_id").alias("hi")).filter("o.doc_id < hi").select("h", F.col("o.doc_id").alias("owner"), F.col("o.at").alias("place"))
+    later = windows.join(owned.hint("merge"), "h").filter(F.col("doc_id") > F.col("owner"))
+    runs = later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "owner", "place")).alias("found")).mapInPandas(phrase_runs, "doc_id long, owner long, first long, n long")
+    fetched = runs.join(texts.select(F.col("doc_id").alias("owner"), "z"), "owner").mapInPandas(phrase_texts, "doc_id long, owner long, phrase string")
+    return fetched.groupBy("doc_id").agg(F.collect_set(F.struct("owner", "phrase")).alias("phrases"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` → ``(doc_id, kept, n_words, n_removed)``, ``kept`` being the words that stay, joined by spaces.
-
-    Defined cases: null or blank text has no words; a null id neither removes nor loses words; rows that share a doc_id are one
-    document as owners (each loses what a smaller id has); repeated rows stay; an empty table gives no rows; other columns are ignored.
-    """
-    starts = recurring_windows(docs.select("doc_id", "text"))
-    joined = docs.select("doc_id", "text").join(starts, "doc_id", "left")
-    return joined.mapInPandas(_kept_texts, "doc_id long, kept string, n_words long, n_removed long")
+def compiled(phrases: dict[str, int]) -> ahocorasick.Automaton:
+    """An automaton over phrases, each with its words' number and its owner."""
+    automaton = ahocorasick.Automaton()
+    for phrase, owner in phrases.items():
+        automaton.add_word(f" {phrase} ", (phrase.count(" ") + 1, len(phrase) + 1, owner))
+    automaton.make_automaton()
+    return automaton
+
+
+def covered(words: list[bytes], doc_id: int, automaton: ahocorasick.Automaton) -> np.ndarray:
+    """Which words lie in a phrase that the automaton locates and that an earlier document owns."""
+    text = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
+    begins = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+    marks = np.zeros(len(words) + 1, np.int64)
+    for end, (many, length, owner) in automaton.iter(text):
+        if owner < doc_id:
+            first = int(np.searchsorted(begins, end - length))
+            marks[first] += 1
+            marks[first + many] -= 1
+    return np.cumsum(marks[:-1]) > 0
+
+
+def kept_words(batch: pd.DataFrame) -> Iterator[tuple[list[bytes], int]]:
+    """For each row of ``(doc_id, z, phrases)`` the words that stay, and how many there were; a shard of rows shares an automaton."""
+    for at in range(0, len(batch), SHARD_DOCS):
+        shard, phrases = batch.iloc[at : at + SHARD_DOCS], {}
+        for found in shard["phrases"]:
+            for f in found if found is not None else ():
+                phrases[f["phrase"]] = min(f["owner"], phrases.get(f["phrase"], f["owner"]))
+        automaton = compiled(phrases) if phrases else None
+        for doc_id, words, found in zip(shard["doc_id"], _words(shard["z"]), shard["phrases"], strict=True):
+            if found is None or not len(found):
+                yield words, len(words)
+            else:
+                gone = covered(words, int(doc_id), automaton)
+                yield [words[i] for i in np.flatnonzero(~gone)], len(words)
+
+
+def _applied(docs: DataFrame, finish, schema: str) -> DataFrame:
+    texts = _one_text_per_id(docs)
+    joined = texts.join(recurring_phrases(docs), "doc_id", "left")
+    nameless = docs.filter(F.col("doc_id").isNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), packed("text").alias("z"), F.lit(None).cast("array<struct<owner:bigint,phrase:string>>").alias("phrases"))
+    return joined.mapInPandas(finish, schema).unionByName(nameless.mapInPandas(finish, schema))
 
 
 def _kept_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        done = [kept_words(t, s) for t, s in zip(batch["text"], batch["starts"], strict=True)]
+        done = list(kept_words(batch))
         yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "kept": [b" ".join(w).decode("utf-8", "surrogatepass") for w, _ in done], "n_words": [n for _, n in done], "n_removed": [n - len(w) for w, n in done]})
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        done = [kept_words(t, s) for t, s in zip(batch["text"], batch["starts"], strict=True)]
+        done = list(kept_words(batch))
         yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_words": [n for _, n in done], "n_removed": [n - len(w) for w, n in done], "kept_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in done]})
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, ...)`` → ``(doc_id, kept, n_words, n_removed)``, ``kept`` being the words that stay, joined by spaces.
+
+    Defined cases: null or blank text has no words; a null id neither removes nor loses words; rows that share a doc_id are one
+    document as owners (each loses what a smaller id has); repeated rows stay; an empty table gives no rows; other columns are ignored.
+    """
+    return _applied(docs.select("doc_id", "text"), _kept_texts, "doc_id long, kept string, n_words long, n_removed long")
+
+
 def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    joined = docs.join(recurring_windows(docs), "doc_id", "left")
-    return joined.mapInPandas(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _applied(docs, _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 OP3_SQL = r"""
