@@ -29,21 +29,24 @@ SHARD_DOCS = 256
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _rolled(words: list[bytes], length: int) -> np.ndarray:
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _rolled(hashes: np.ndarray, length: int) -> np.ndarray:
     """A hash of each run of ``length`` words."""
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    runs = np.zeros(len(words) - length + 1, np.uint64)
+    runs = np.zeros(len(hashes) - length + 1, np.uint64)
     for k in range(length):
         runs = runs * _MULTIPLIER + hashes[k : k + len(runs)]
     runs = (runs ^ (runs >> np.uint64(29))) * _MULTIPLIER
     return runs ^ (runs >> np.uint64(32))
 
 
-def window_anchors(words: list[bytes]) -> np.ndarray:
-    """The anchor of each window of a text; empty if it has fewer than WINDOW words."""
-    if len(words) < WINDOW:
+def window_anchors(hashes: np.ndarray) -> np.ndarray:
+    """The anchor of each window of a text, from its words' hashes; empty if it has fewer than WINDOW words."""
+    if len(hashes) < WINDOW:
         return np.zeros(0, np.int64)
-    span, least, width = WINDOW - ANCHOR + 1, _rolled(words, ANCHOR), 1
+    span, least, width = WINDOW - ANCHOR + 1, _rolled(hashes, ANCHOR), 1
     while width < span:
         step = min(width, span - width)
         least = np.minimum(least[:-step], least[step:])
@@ -53,7 +56,7 @@ def window_anchors(words: list[bytes]) -> np.ndarray:
 
 @F.pandas_udf(ArrayType(LongType()))
 def anchors(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(window_anchors(ascii_words(t))) for t in texts])
+    return pd.Series([np.unique(window_anchors(_hashes(ascii_words(t)))) for t in texts])
 
 
 @F.pandas_udf(BinaryType())
@@ -71,11 +74,15 @@ def _words(packed_texts) -> Iterator[list[bytes]]:
 def candidate_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``(doc_id, z, recurring)`` → ``(doc_id, at, h)``: the hash of each window whose anchor recurs."""
     for batch in batches:
-        for doc_id, words, recurring in zip(batch["doc_id"], _words(batch["z"]), batch["recurring"], strict=True):
-            found = window_anchors(words)
-            at = np.flatnonzero(np.isin(found, np.asarray(recurring, np.int64)))
-            if len(at):
-                yield pd.DataFrame({"doc_id": doc_id, "at": at, "h": _rolled(words, WINDOW)[at].view(np.int64)})
+        places, prints, many = [], [], []
+        for words, recurring in zip(_words(batch["z"]), batch["recurring"], strict=True):
+            hashes = _hashes(words)
+            at = np.flatnonzero(np.isin(window_anchors(hashes), np.asarray(recurring, np.int64)))
+            places.append(at)
+            prints.append(_rolled(hashes, WINDOW)[at] if len(at) else np.zeros(0, np.uint64))
+            many.append(len(at))
+        if sum(many):
+            yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), many), "at": np.concatenate(places), "h": np.concatenate(prints).view(np.int64)})
 
 
 def phrase_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +118,8 @@ def recurring_phrases(docs: DataFrame) -> DataFrame:
     own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode(anchors("text")).alias("anchor")).repartition("anchor")  # one shuffle for the count and the join
     shared = own.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     recurring = own.join(shared.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("recurring"))  # bounded by a document's own length
-    windows = texts.join(recurring.hint("merge"), "doc_id").mapInPandas(candidate_windows, "doc_id long, at long, h long").repartition("h")
+    windows = texts.join(recurring.hint("merge"), "doc_id").mapInPandas(candidate_windows, "doc_id long, at long, h long")
+    windows = windows.filter("doc_id IS NOT NULL AND h IS NOT NULL").repartition("h")  # what the join would ask for, so that both uses share one shuffle
     owned = windows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("o"), F.max("doc_id").alias("hi")).filter("o.doc_id < hi").select("h", F.col("o.doc_id").alias("owner"), F.col("o.at").alias("place"))
     later = windows.join(owned.hint("merge"), "h").filter(F.col("doc_id") > F.col("owner"))
     runs = later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "owner", "place")).alias("found")).mapInPandas(phrase_runs, "doc_id long, owner long, first long, n long")
