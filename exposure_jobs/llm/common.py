@@ -13,14 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, few: bool = False) -> DataFrame:
     """``df`` cut from its lineage, as files that outlive any executor.
 
-    The files go to the shared folder in ``spark.checkpoint.dir``; only a session without one (a local test) gets a folder of its own.
+    ``few`` is for what a shuffle leaves small: a sixteenth of its partitions, four at least, become files. The files go to the shared folder in ``spark.checkpoint.dir``; only a session without one (a local test) gets a folder of its own.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    if few:
+        df = df.coalesce(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
     return df.checkpoint()
 
 

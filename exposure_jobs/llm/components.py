@@ -17,12 +17,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     are fine; an empty edge list gives an empty result.
     """
     edges = edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = checkpointed(edges)
+    edges = checkpointed(edges, few=True)
     before = _digest(edges)
     if before[0] == 0:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(max_rounds):
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_small_star(_large_star(edges)), few=True)
         after = _digest(edges)
         if after == before:
             break

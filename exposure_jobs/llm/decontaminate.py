@@ -60,18 +60,18 @@ def window_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """All occurrences ``(doc_id, th, start, win, len)`` of ``windows(win, len)`` in ``docs(doc_id, th, text)``."""
     windows = windows.select("win", "len").distinct()
     offsets = windows.select("win", "len", F.posexplode(F.split("win", " ")).alias("off", "term"))
-    counted = checkpointed(rarity(docs, offsets.select("term").distinct()))
+    counted = checkpointed(rarity(docs, offsets.select("term").distinct()), few=True)
     ranked = offsets.join(counted, "term", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
     least = F.min("cf").over(Window.partitionBy("win"))
     order = F.row_number().over(Window.partitionBy("win").orderBy("cf", "off"))
     possible = ranked.withColumn("least", least).withColumn("rank", order).filter("least > 0 AND rank <= 2")  # a window with a term that no document has can't occur
-    rarest = checkpointed(possible.select("win", "len", "off", "term", "rank"))
+    rarest = checkpointed(possible.select("win", "len", "off", "term", "rank"), few=True)
     index = checkpointed(postings(docs, rarest.select("term").distinct()))
     starts = index.join(bounded(rarest), "term").select("win", "len", "rank", "doc_id", "th", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
     first, second = starts.filter("rank = 1").drop("rank"), starts.filter("rank = 2").drop("rank", "len")
     same = (F.col("a.win") == F.col("b.win")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.start") == F.col("b.start"))
     both = first.filter("len > 1").alias("a").join(second.alias("b"), same, "left_semi")
-    candidates = checkpointed(both.unionByName(first.filter("len = 1")).distinct())
+    candidates = checkpointed(both.unionByName(first.filter("len = 1")).distinct(), few=True)
     return _confirmed(docs, candidates)
 
 
@@ -93,8 +93,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     the empty string; repeated rows each get their row; rows that share a doc_id are judged by their own text; empty tables
     give no rows or no hits; other columns are ignored.
     """
-    docs, windows = keyed(docs), checkpointed(item_windows(items))
-    matches = checkpointed(window_matches(docs, windows))
+    docs, windows = keyed(docs), checkpointed(item_windows(items), few=True)
+    matches = checkpointed(window_matches(docs, windows), few=True)
     hit = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))))
     hits = matches.groupBy("doc_id", "th").agg(hit.cast("long").alias("n_hit"))
     names = windows.select("win", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).distinct()
@@ -111,8 +111,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no test window occurs, in the same columns."""
     key = docs.withColumn("__th", F.xxhash64("text"))
-    bad = window_matches(keyed(docs), checkpointed(item_windows(items))).select(F.col("doc_id").alias("__i"), F.col("th").alias("__h")).distinct()
-    left = key.join(bounded(checkpointed(bad)), F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__h")), "left_anti")
+    bad = window_matches(keyed(docs), checkpointed(item_windows(items), few=True)).select(F.col("doc_id").alias("__i"), F.col("th").alias("__h")).distinct()
+    left = key.join(bounded(checkpointed(bad, few=True)), F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__h")), "left_anti")
     return left.select(*docs.columns)
 
 

@@ -95,7 +95,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     contexts = seen.groupBy("kind", "value", "term", "left", "right").agg(F.count("*").alias("places"))  # copies collapse before they are shuffled
     apart = F.least(F.count_distinct("left"), F.count_distinct("right"))
     pairs = contexts.groupBy("kind", "value", "term").agg(apart.alias("contexts"), F.sum("places").alias("places"))
-    pairs = checkpointed(pairs.filter((F.col("contexts") >= SUPPORT) & (F.col("contexts") >= SHARE * F.col("places"))))
+    pairs = checkpointed(pairs.filter((F.col("contexts") >= SUPPORT) & (F.col("contexts") >= SHARE * F.col("places"))), few=True)
     named = bounded(pairs.select("term").distinct())
     own = F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), 0), lambda t: F.length(t) >= TERM_LETTERS)))
     frequency = docs.select(own.alias("term")).join(named, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")) if not pairs.isEmpty() else pairs.select("term", F.lit(0).cast("long").alias("df"))
@@ -109,7 +109,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def term_spans(docs: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:
     """Places of disclosing terms in the documents that hold the value they disclose."""
-    wanted = checkpointed(spans.join(terms, ["kind", "value"]).select(*_ID, "term").distinct())
+    wanted = checkpointed(spans.join(terms, ["kind", "value"]).select(*_ID, "term").distinct(), few=True)
     if wanted.isEmpty():
         return spans.select(*_ID, F.lit(len(KINDS)).alias("kind"), "start", "end").filter("false")
     named = docs.alias("a").join(bounded(wanted.select(*_ID).distinct()).alias("b"), _same("a", "b"), "left_semi")
@@ -119,15 +119,15 @@ def term_spans(docs: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, th, text)`` → ``(doc_id, th, spans)``, an array of ``(start, kind, end)`` in order, only where there are any."""
-    base = checkpointed(base_spans(docs))
-    terms = checkpointed(disclosing_terms(docs, base))
+    base = checkpointed(base_spans(docs), few=True)
+    terms = checkpointed(disclosing_terms(docs, base), few=True)
     spans = base.select(*_ID, "kind", "start", "end").unionByName(term_spans(docs, base, terms))
     return spans.groupBy(*_ID).agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("spans"))  # bounded by a document's own length
 
 
 def _with_spans(docs: DataFrame, columns: list) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = checkpointed(all_spans(keyed))
+    spans = checkpointed(all_spans(keyed), few=True)
     own = docs.withColumn("__th", F.xxhash64("text"))
     joined = own.alias("a").join(spans.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__th") == F.col("b.th")), "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")

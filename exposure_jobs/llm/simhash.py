@@ -92,7 +92,7 @@ def near_pairs(prints: DataFrame) -> DataFrame:
         *(F.struct(_key(F.col("fp"), n, rotation, mask).alias("k"), _rotated(F.col("fp"), rotation).alias("x"), F.lit(rotation).alias("r")) for n, (rotation, mask) in enumerate(_bucket_keys()))
     )
     keyed = prints.select(F.explode(rows).alias("e")).select("e.k", "e.x", "e.r")
-    full = checkpointed(keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE_BUCKET).select("k"))
+    full = checkpointed(keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE_BUCKET).select("k"), few=True)
     sparse, dense = keyed, None
     if not full.isEmpty():
         sparse = keyed.join(full, "k", "left_anti")
@@ -162,7 +162,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     roots = connected_components(near_pairs(nodes.select("fp")))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labelled = checkpointed(linked.join(least, "root").select("fp", "component_id"))
+    labelled = checkpointed(linked.join(least, "root").select("fp", "component_id"), few=True)
     return prints.join(labelled, "fp", "left").select("doc_id", "fp", "component_id")
 
 
