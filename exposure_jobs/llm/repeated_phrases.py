@@ -100,11 +100,16 @@ def phrase_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def phrase_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(doc_id, owner, first, n, z of the owner)`` → ``(doc_id, owner, phrase)``."""
+    """``(later, first, n, doc_id and z of the owner)``, in the owners' order → ``(doc_id, owner, phrase)``."""
+    last, words = None, []
     for batch in batches:
-        cut = (w[a : a + n + WINDOW - 1] for w, a, n in zip(_words(batch["z"]), batch["first"], batch["n"], strict=True))
-        phrases = [b" ".join(w).decode("utf-8", "surrogatepass") if len(w) >= WINDOW else None for w in cut]  # none in another text of the owner's id
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "owner": batch["owner"], "phrase": phrases}).dropna(subset=["phrase"])
+        phrases = []
+        for z, a, n in zip(batch["z"], batch["first"], batch["n"], strict=True):
+            if z != last:
+                last, words = z, next(_words([z]))
+            cut = words[a : a + n + WINDOW - 1]
+            phrases.append(b" ".join(cut).decode("utf-8", "surrogatepass") if len(cut) >= WINDOW else None)  # none in another text of the owner's id
+        yield pd.DataFrame({"doc_id": batch["later"], "owner": batch["doc_id"], "phrase": phrases}).dropna(subset=["phrase"])
 
 
 def _one_text_per_id(docs: DataFrame) -> DataFrame:
@@ -123,7 +128,8 @@ def recurring_phrases(docs: DataFrame) -> DataFrame:
     owned = windows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("o"), F.max("doc_id").alias("hi")).filter("o.doc_id < hi").select("h", F.col("o.doc_id").alias("owner"), F.col("o.at").alias("place"))
     later = windows.join(owned.hint("merge"), "h").filter(F.col("doc_id") > F.col("owner"))
     runs = later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "owner", "place")).alias("found")).mapInPandas(phrase_runs, "doc_id long, owner long, first long, n long")
-    fetched = runs.join(texts.select(F.col("doc_id").alias("owner"), "z"), "owner").mapInPandas(phrase_texts, "doc_id long, owner long, phrase string")
+    asked = runs.select(F.col("doc_id").alias("later"), "owner", "first", "n")
+    fetched = asked.join(texts, asked.owner == texts.doc_id).select("later", "first", "n", "doc_id", "z").mapInPandas(phrase_texts, "doc_id long, owner long, phrase string")
     return fetched.groupBy("doc_id").agg(F.collect_set(F.struct("owner", "phrase")).alias("phrases"))
 
 
