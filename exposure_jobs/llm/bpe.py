@@ -17,7 +17,7 @@ from exposure_jobs.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words remembered by a worker; beyond that it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 400_000
 _NONE = 1 << 62
 _ID_BITS = 20
 #: White space as the vocabulary's own rules have it.
@@ -150,6 +150,21 @@ def encoded_column(text: str | Column, path: str | None = None) -> Column:
     return encoded(text)
 
 
+def checked_column(text: str | Column, path: str | None = None) -> Column:
+    """As :func:`encoded_column`, but of the decoded text only its digest leaves the worker: ``(ids array<int>, decoded_sha256 string)``."""
+
+    @F.pandas_udf("ids array<int>, decoded_sha256 string")
+    def checked(texts: pd.Series) -> pd.DataFrame:
+        bpe, rows, sums = _vocabulary(path), [], []
+        for text in texts:
+            ids, decoded = bpe.encode_decode(text)
+            rows.append(np.frombuffer(ids, "<i4"))
+            sums.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+        return pd.DataFrame({"ids": rows, "decoded_sha256": sums})
+
+    return checked(text)
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` → ``(doc_id, ids, decoded)``: the ids, and the text they decode to.
 
