@@ -31,8 +31,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, and a digest of the text that these decode to."""
-    extra = docs.select("doc_id", "lang", "source", bpe.encoded_column("text").alias("e"))
-    return extra.select("doc_id", "lang", "source", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", F.sha2(F.col("e.decoded").cast("binary"), 256).alias("decoded_sha256"))
+    extra = docs.select("doc_id", "lang", "source", bpe.checked_column("text").alias("e"))
+    return extra.select("doc_id", "lang", "source", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", "e.decoded_sha256")
 
 
 STAGES = [
