@@ -1,8 +1,9 @@
 """Removal of passages that an earlier document has: confirmed recurring phrases, found by sharded Aho-Corasick automata.
 
 1. Each window of WINDOW words has an anchor, the least hash among its runs of ANCHOR words; equal windows have equal anchors, so
-   only windows whose anchor stands in two documents can recur, and only those are hashed and counted. 2. A window that two documents
-   have belongs to the one with the least id; neighbouring windows of one owner make a phrase, whose text is fetched from the owner.
+   only windows whose anchor stands in two documents can recur, and only those are hashed and counted. 2. A document names each of its
+   windows once, however often it repeats it. A window that two documents have belongs to the one with the least id; neighbouring
+   windows of one owner make a phrase, whose text is fetched from the owner.
 3. Documents are streamed, a shard at a time, through an automaton compiled from the shard's phrases, which locates every occurrence
    in the text itself; the hashes only proposed them.
 """
@@ -71,15 +72,35 @@ def _words(packed_texts) -> Iterator[list[bytes]]:
     return (codec.decompress(z).split() for z in packed_texts)
 
 
+def named_once(at: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each window of a text, as ``2 * at + cut``, and its hash; ``cut`` bids a phrase end before that place.
+
+    The automaton finds a phrase wherever the text repeats it, but a repeat may be shorter than the phrase. So where a repeated run
+    of windows starts or stops, the phrase at its first place is cut: the pieces then lie whole in every repeat.
+    """
+    if not len(at):
+        return at.astype(np.int64), prints
+    _, index, inverse = np.unique(prints, return_index=True, return_inverse=True)
+    first = at[index[inverse]]
+    back = at - first
+    starts = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(back) != 0)])
+    ends = np.r_[starts[1:], len(at)] - 1
+    repeat = back[starts] > 0
+    cuts = np.concatenate([first[starts[repeat]], first[ends[repeat]] + 1])
+    new = back == 0
+    return 2 * at[new].astype(np.int64) + np.isin(at[new], cuts), prints[new]
+
+
 def candidate_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(doc_id, z, recurring)`` → ``(doc_id, at, h)``: the hash of each window whose anchor recurs."""
+    """``(doc_id, z, recurring)`` → ``(doc_id, at, h)``: each different window whose anchor recurs, its place as in :func:`named_once`."""
     for batch in batches:
         places, prints, many = [], [], []
         for words, recurring in zip(_words(batch["z"]), batch["recurring"], strict=True):
             hashes = _hashes(words)
             at = np.flatnonzero(np.isin(window_anchors(hashes), np.asarray(recurring, np.int64)))
+            at, found = named_once(at, _rolled(hashes, WINDOW)[at] if len(at) else np.zeros(0, np.uint64))
             places.append(at)
-            prints.append(_rolled(hashes, WINDOW)[at] if len(at) else np.zeros(0, np.uint64))
+            prints.append(found)
             many.append(len(at))
         if sum(many):
             yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), many), "at": np.concatenate(places), "h": np.concatenate(prints).view(np.int64)})
@@ -91,9 +112,10 @@ def phrase_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, found in zip(batch["doc_id"], batch["found"], strict=True):
             at, owner, place = np.array([(f["at"], f["owner"], f["place"]) for f in found], np.int64).reshape(-1, 3).T
+            at, cut, place = at >> 1, (at & 1) == 1, place >> 1
             order = np.lexsort((at, at - place, owner))
-            at, owner, place = at[order], owner[order], place[order]
-            cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(place) != 1) | (np.diff(owner) != 0)) + 1
+            at, cut, owner, place = at[order], cut[order], owner[order], place[order]
+            cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(place) != 1) | (np.diff(owner) != 0) | cut[1:]) + 1
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True):
                 rows.append((doc_id, int(owner[a]), int(place[a]), int(b - a)))
         yield pd.DataFrame(rows, columns=["doc_id", "owner", "first", "n"])

@@ -172,6 +172,33 @@ def items(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
 
 
+def test_repeats_within_a_document_are_named_once(spark):
+    """Runs that a document repeats in part, in longer and in periodic form, against the definition."""
+    rng, made = random.Random(5), []
+    base = [f"w{n}" for n in range(60)]
+    for doc_id in range(60):
+        words = []
+        for _ in range(rng.randint(1, 8)):
+            a = rng.randrange(0, 46)
+            piece = base[a : a + rng.randint(5, 40)] if rng.random() < 0.7 else ["a", "b"] * rng.randint(1, 30)
+            words += piece + [f"x{rng.randrange(3)}"] * rng.randint(0, 2)
+        made.append((doc_id, " ".join(words)))
+    first: dict = {}
+    for doc_id, text in made:
+        w = text.split()
+        for p in range(len(w) - 12):
+            first.setdefault(tuple(w[p : p + 13]), doc_id)
+    expected = {}
+    for doc_id, text in made:
+        w = text.split()
+        gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < doc_id for q in range(p, p + 13)}
+        expected[doc_id] = " ".join(v for q, v in enumerate(w) if q not in gone)
+    found = repeated_phrases.deduplicated(spark.createDataFrame(made, "doc_id long, text string"))
+    assert {r.doc_id: r.kept for r in found.collect()} == expected
+    at, prints = repeated_phrases.named_once(np.arange(1000), np.tile([7, 9], 500).astype(np.uint64))
+    assert at.tolist() == [1, 2] and prints.tolist() == [7, 9]
+
+
 def test_contamination_matches_brute_force(spark, docs):
     texts = sample_texts()
     bench = [" ".join(texts[4].split()[3:25]), "One TWO", "one", None, "", "nothing of this stands anywhere at all in here", texts[-1], " ".join(texts[7].split()[:9])]
