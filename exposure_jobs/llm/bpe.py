@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from exposure_jobs.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words remembered by a worker; beyond that it starts anew.
-REMEMBERED = 400_000
+#: New words a worker remembers before it drops those that it last met before the last such turn; it holds twice as many at most.
+REMEMBERED = 75_000
 _NONE = 1 << 62
 _ID_BITS = 20
 #: White space as the vocabulary's own rules have it.
@@ -103,16 +103,19 @@ class WordBpe:
         self.cut = regex.compile(cut)
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def word(self, word: str) -> tuple[bytes, str]:
         """A word's ids, little-endian, and its tokens with a space between."""
         found = self.known.get(word)
         if found is None:
-            data = word.encode("utf-8", "surrogatepass")
-            ids = merged([*(self.inner[b] for b in data[:-1]), self.last[data[-1]]], self.merges)
-            found = b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.names.__getitem__, ids))
+            found = self.older.get(word)
+            if found is None:
+                data = word.encode("utf-8", "surrogatepass")
+                ids = merged([*(self.inner[b] for b in data[:-1]), self.last[data[-1]]], self.merges)
+                found = b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.names.__getitem__, ids))
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[word] = found
         return found
 
