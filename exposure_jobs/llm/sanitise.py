@@ -2,7 +2,8 @@
 
 A term discloses a protected value (an e-mail address, an IP number, a card, a phone number) if seeing it nearly tells the value:
 with the information content IC(e) = -log p(e), PMI(e; t) / IC(e) reaches DISCLOSURE. Co-occurrence is counted in contexts that differ
-on both sides of the value, so that exact and near copies of one document disclose nothing by being copied.
+on both sides of the value, so that exact and near copies of one document disclose nothing by being copied. What the contexts are set
+against is counted without copies too, so that copies hide nothing either: exact copies are one text, and near copies one context.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ TERM = "term"
 #: What must stand in a text for a pattern to be worth trying.
 _HINTS = {"email": "contains(text, '@')", "ip": r"text RLIKE '[0-9][.][0-9]'", "card": r"text RLIKE '[0-9][ -]?[0-9]'", "phone": r"text RLIKE '[+][0-9]'"}
 #: Characters of context on either side of a value, and how many of them tell contexts apart; the letters of a term; contexts that
-#: must show a pair, and their share of its places.
+#: must show a pair, and their share of its places in different texts (or, of near copies, that of unlinked contexts among all).
 CONTEXT, APART, TERM_LETTERS, SUPPORT, SHARE, DISCLOSURE = 96, 32, 4, 5, 0.5, 0.9
 _LETTERS = r"\p{L}++"
 _ID = ["doc_id", "th"]
@@ -91,19 +92,27 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     )
     terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(beside), F.lit(_LETTERS), 0), lambda t: F.length(t) >= TERM_LETTERS))
     sides = F.xxhash64(F.substring("before", -APART, APART)).alias("left"), F.xxhash64(F.substring("after", 1, APART)).alias("right")
-    seen = spans.select("kind", "value", *sides, F.explode(terms).alias("term"))
+    once = spans.dropDuplicates(["th", "kind", "start"])  # exact copies are one text
+    seen = once.select("th", "kind", "value", *sides, F.explode(terms).alias("term"))
     contexts = seen.groupBy("kind", "value", "term", "left", "right").agg(F.count("*").alias("places"))  # copies collapse before they are shuffled
     apart = F.least(F.count_distinct("left"), F.count_distinct("right"))
-    pairs = contexts.groupBy("kind", "value", "term").agg(apart.alias("contexts"), F.sum("places").alias("places"))
-    pairs = checkpointed(pairs.filter((F.col("contexts") >= SUPPORT) & (F.col("contexts") >= SHARE * F.col("places"))), few=True)
+    unlinked = F.count_distinct("left") + F.count_distinct("right") - F.count("*")  # at most the groups of contexts that share no side
+    pairs = contexts.groupBy("kind", "value", "term").agg(apart.alias("contexts"), unlinked.alias("unlinked"), F.count("*").alias("all"), F.sum("places").alias("places"))
+    shared = (F.col("contexts") >= SHARE * F.col("places")) | (F.col("unlinked") >= SHARE * F.col("all"))
+    pairs = checkpointed(pairs.filter((F.col("contexts") >= SUPPORT) & shared), few=True)
     named = bounded(pairs.select("term").distinct())
     own = F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), 0), lambda t: F.length(t) >= TERM_LETTERS)))
-    frequency = docs.select(own.alias("term")).join(named, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")) if not pairs.isEmpty() else pairs.select("term", F.lit(0).cast("long").alias("df"))
-    values = spans.groupBy("kind", "value").agg(F.count_distinct("before", "after").alias("n"))
-    total = docs.agg(F.count("*").alias("total"))
-    met = pairs.join(values, ["kind", "value"]).join(frequency, "term").join(F.broadcast(total))  # total is one row
+    if pairs.isEmpty():
+        return pairs.select("kind", "value", "term")
+    frequency = docs.select("th", own.alias("term")).join(named, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    holding = seen.join(bounded(pairs.select("kind", "value", "term")), ["kind", "value", "term"], "left_semi").select("kind", "value", "term", "th").distinct()
+    holding = holding.groupBy("kind", "value", "term").agg(F.count("*").alias("holding"))
+    values = once.select("kind", "value", *sides).groupBy("kind", "value").agg(apart.alias("n"))
+    total = docs.select("th").distinct().agg(F.count("*").alias("total"))
+    met = pairs.join(values, ["kind", "value"]).join(holding, ["kind", "value", "term"]).join(frequency, "term").join(F.broadcast(total))  # total is one row
     content = -F.log2(F.least(F.col("n") / F.greatest("total", "n"), F.lit(0.999999)))
-    told = F.log2(F.col("contexts") / F.greatest("df", "contexts"))  # log p(e | t)
+    others = F.greatest(F.col("df") - F.col("holding"), F.lit(0))  # texts that have the term, but not beside the value
+    told = F.log2(F.col("contexts") / (F.col("contexts") + others))  # log p(e | t)
     return met.filter((told + content) / content >= DISCLOSURE).select("kind", "value", "term")
 
 

@@ -411,6 +411,21 @@ def test_a_term_that_gives_a_value_away_is_added(spark):
     assert all(s.kind < len(sanitise.KINDS) for i in range(len(told), len(rows)) for s in rows[i])
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_copies_hide_no_disclosing_term(spark, near):
+    rng, words = random.Random(5), vocabulary(8, 3000)
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    told = [f"{some(20)} zebrafish mail me.now@mail.example.org {some(20)}" for _ in range(6)]
+    copies = [told[0] + (f" {some(20)} {i}" if near else "") for i in range(1000)]
+    # one text alone, its near copies changed now on the one side of the value and now on the other, tells nothing
+    alone = [f"{some(20)} {i if i < 5 else ''} quokkaland at 1.2.3.4 {'end ' * 3} {i if i > 94 else ''} {'end ' * 30} {i}" for i in range(100)]
+    frame = spark.createDataFrame(list(enumerate(told + [some(40) for _ in range(200)] + copies + alone)), CORE)
+    rows = {r.doc_id: r.spans for r in sanitise.find_personal_data(frame).collect()}
+    extra = [{t[s.start : s.end] for s in rows[i] if s.kind == len(sanitise.KINDS)} for i, t in enumerate(told)]
+    assert all("zebrafish" in e for e in extra)
+    assert all(s.kind < len(sanitise.KINDS) for i in range(1206, 1306) for s in rows[i])
+
+
 # --- all
 
 
