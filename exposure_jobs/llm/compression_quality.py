@@ -43,12 +43,22 @@ def size_features(text: str | None, dictionaries: tuple[bytes, bytes]) -> list[f
     return [bad - good, good, bad, alone, float(np.log(total))]
 
 
+def _usable(labels: DataFrame, label: str, held_out) -> DataFrame:
+    return labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(label).alias("y"))
+
+
+def class_weights(labels: DataFrame, label: str, per_class: int, held_out) -> tuple[float, float]:
+    """For how many usable labels of class 0 and of class 1 a row of ``labelled_sample`` stands, so that a fit sees the table's own ratio at every size."""
+    totals = {int(r.y): r.n for r in _usable(labels, label, held_out).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return max(1.0, totals.get(0, 0) / per_class), max(1.0, totals.get(1, 0) / per_class)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held_out) -> list:
     """At most ``per_class`` labelled documents of each class, chosen by a hash of the id, never from held-out rows.
 
     The bound is on what the driver fits; ids are chosen from the labels alone, so the texts meet a list of known size.
     """
-    usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(label).alias("y"))
+    usable = _usable(labels, label, held_out)
     order = F.xxhash64("doc_id")
     ids = [r for y in (0, 1) for r in usable.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class).collect()]
     if not ids:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from exposure_jobs.llm.common import crc_remainder, table
-from exposure_jobs.llm.compression_quality import labelled_sample
+from exposure_jobs.llm.compression_quality import class_weights, labelled_sample
 from exposure_jobs.llm.linear import fit_logistic, sigmoid
 
 ORDER, DECAY = 4, 0.5
@@ -200,16 +200,19 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2,
     return w[:-1], float(w[-1])
 
 
-def fit(rows: list) -> ToxicWords:
+def fit(rows: list, weights: tuple[float, float] = (1.0, 1.0)) -> ToxicWords:
     """A machine from labelled texts ``(doc_id, y, text)``: sentences of toxic texts are labelled by their most telling word,
-    those of clean texts are all clean. Rounds of fitting choose the telling words and the hardest clean ones anew."""
+    those of clean texts are all clean. Rounds of fitting choose the telling words and the hardest clean ones anew. The calibration
+    counts a row as ``weights`` of its class."""
+    y_all = np.array([r.y for r in rows], int)
+    standing = np.array(weights)[y_all]
     bags = [(r.y, sorted(w for s in _SENTENCE.split((r.text or "")[:SAMPLE_CHARS]) for w in tokens(s) if len(w) >= ORDER)) for r in rows]
     bags = [(y, sorted(set(b))) for y, b in bags]
     clean_words = sorted({w for y, b in bags if y == 0 for w in b})
     toxic = [b for y, b in bags if y == 1]
     n_clean = sum(y == 0 for y, _ in bags)
     if not toxic or not n_clean:
-        return ToxicWords(np.zeros(SIGNS**ORDER, np.float32), 0.0, fit_logistic(np.zeros((len(rows), 1)), np.array([r.y for r in rows], float)))
+        return ToxicWords(np.zeros(SIGNS**ORDER, np.float32), 0.0, fit_logistic(np.zeros((len(rows), 1)), y_all.astype(float), weight=standing))
     telling = _telling(bags)
     picked = {w for b in toxic for w in sorted(b, key=lambda w: (-telling.get(w, 0.0), w))[:3] if telling.get(w, 0.0) > 0}
     rng = np.random.default_rng(7)
@@ -239,7 +242,7 @@ def fit(rows: list) -> ToxicWords:
             picked = set(positives)
     machine = ToxicWords(weights, bias, {})
     margins = machine.margins([(r.text or "") for r in rows], {})
-    machine.calibration = fit_logistic(margins.reshape(-1, 1), np.array([r.y for r in rows], float), ridge=1e-3)
+    machine.calibration = fit_logistic(margins.reshape(-1, 1), y_all.astype(float), ridge=1e-3, weight=standing)
     return machine
 
 
@@ -318,5 +321,6 @@ _KNOWN: dict[int, dict[str, float]] = {}
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = crc_remainder("doc_id", 5) == 0
-    machine = fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", SAMPLE_PER_CLASS, out))
+    labels = table(spark, sf_dir, "labels")
+    machine = fit(labelled_sample(docs, labels, "toxic", SAMPLE_PER_CLASS, out), class_weights(labels, "toxic", SAMPLE_PER_CLASS, out))
     return score(docs, machine).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

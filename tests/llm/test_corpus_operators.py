@@ -269,6 +269,43 @@ def test_toxicity_learns_and_tolerates_insertions(spark):
     assert 0 <= toxicity.fit([]).probabilities(np.array([0.0]))[0] <= 1
 
 
+def calibrations(spark, tmp_path, monkeypatch, module, query, label, texts, patched):
+    """The calibration that a query fits on 1,400 labels of 6 to 1, all of them and at most 60 of each class."""
+    rare = label == "toxic"
+    ys = [int((i % 7 == 0) == rare) for i in range(1400)]
+    spark.createDataFrame([(i, texts(i, y)) for i, y in enumerate(ys)], CORE).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(ys)), f"doc_id long, {label} int").write.parquet(f"{tmp_path}/labels.parquet")
+    rng = np.random.default_rng(2)
+    drawn = [float(rng.normal(y)) for y in ys]
+    made = []
+    monkeypatch.setattr(*patched(drawn))
+    monkeypatch.setattr(module, "score", lambda docs, model: made.append(model) or docs.select("doc_id", F.lit(0.0).alias("score")))
+    for cap in (100_000, 60):
+        monkeypatch.setattr(module, "SAMPLE_PER_CLASS", cap)
+        query(spark, str(tmp_path))
+    return made
+
+
+def logit(p):
+    return float(np.log(p / (1 - p)))
+
+
+def test_toxicity_scores_mean_the_same_under_a_small_cap(spark, tmp_path, monkeypatch):
+    words = vocabulary(6)
+    texts = lambda i, y: f"{i} {' '.join(random.Random(i).choices(words, k=12))}{' blockhead' * y}"
+    patched = lambda drawn: (toxicity.ToxicWords, "margins", lambda self, texts, known: np.array([drawn[int(t.split()[0])] for t in texts]))
+    full, small = calibrations(spark, tmp_path, monkeypatch, toxicity, toxicity.op5_toxicity, "toxic", texts, patched)
+    for at in (0.0, 0.5, 1.0):
+        assert logit(small.probabilities(np.array([at]))[0]) == pytest.approx(logit(full.probabilities(np.array([at]))[0]), abs=0.8)
+
+
+def test_weights_count_as_repeated_rows():
+    rng = np.random.default_rng(3)
+    x, y, n = rng.normal(size=(80, 2)), np.r_[np.ones(20), np.zeros(60)], np.r_[np.full(20, 3), np.full(60, 2)]
+    one, many = linear.fit_logistic(x, y, weight=n.astype(float)), linear.fit_logistic(np.repeat(x, n, 0), np.repeat(y, n))
+    assert linear.sigmoid(x, one) == pytest.approx(linear.sigmoid(x, many), abs=1e-6)
+
+
 def test_held_out_rule(spark):
     ids = spark.range(50).select("id", compression_quality.crc_remainder("id", 5).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 5 for r in ids)
