@@ -68,8 +68,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return sorted(rows, key=lambda r: r.doc_id)
 
 
-def fit(rows: list) -> tuple[tuple[bytes, bytes], dict]:
-    """Dictionaries of good and bad text, and a calibration of the size features to a probability."""
+def fit(rows: list, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[tuple[bytes, bytes], dict]:
+    """Dictionaries of good and bad text, and a calibration of the size features to a probability; ``weights`` as of ``class_weights``."""
     dictionaries = []
     for y in (1, 0):
         parts = [p for r in rows if r.y == y for p in pieces((r.text or "")[:SAMPLE_BYTES])]
@@ -79,7 +79,8 @@ def fit(rows: list) -> tuple[tuple[bytes, bytes], dict]:
             dictionaries.append(b"".join(parts)[-DICTIONARY_BYTES:])
     good, bad = dictionaries
     features = np.array([size_features(r.text, (good, bad)) for r in rows]).reshape(len(rows), 5)
-    return (good, bad), fit_logistic(features, np.array([r.y for r in rows], float))
+    y = np.array([r.y for r in rows], int)
+    return (good, bad), fit_logistic(features, y.astype(float), weight=np.array(weights)[y])
 
 
 def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], dict]) -> DataFrame:
@@ -97,6 +98,7 @@ def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], dict]) -> DataFrame
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = crc_remainder("doc_id", 4) == 2
-    model = fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", SAMPLE_PER_CLASS, out))
+    labels = table(spark, sf_dir, "labels")
+    model = fit(labelled_sample(docs, labels, "quality", SAMPLE_PER_CLASS, out), class_weights(labels, "quality", SAMPLE_PER_CLASS, out))
     scored = score(docs, model)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

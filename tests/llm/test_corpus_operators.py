@@ -299,6 +299,15 @@ def test_toxicity_scores_mean_the_same_under_a_small_cap(spark, tmp_path, monkey
         assert logit(small.probabilities(np.array([at]))[0]) == pytest.approx(logit(full.probabilities(np.array([at]))[0]), abs=0.8)
 
 
+def test_quality_scores_mean_the_same_under_a_small_cap(spark, tmp_path, monkeypatch):
+    texts = lambda i, y: str(i)
+    patched = lambda drawn: (compression_quality, "size_features", lambda text, dictionaries: [drawn[int(text)], 0.0, 0.0, 0.0, 0.0])
+    full, small = calibrations(spark, tmp_path, monkeypatch, compression_quality, compression_quality.op10_compression_quality, "quality", texts, patched)
+    for at in (0.0, 0.5, 1.0):
+        x = np.array([[at, 0.0, 0.0, 0.0, 0.0]])
+        assert logit(linear.sigmoid(x, small[1])[0]) == pytest.approx(logit(linear.sigmoid(x, full[1])[0]), abs=0.8)
+
+
 def test_weights_count_as_repeated_rows():
     rng = np.random.default_rng(3)
     x, y, n = rng.normal(size=(80, 2)), np.r_[np.ones(20), np.zeros(60)], np.r_[np.full(20, 3), np.full(60, 2)]
