@@ -6,6 +6,8 @@ where there are any: range joins and next starts instead of the hour expansion,
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from exposure_jobs.jobs import testbed, train
 from exposure_jobs.operators import baselines, extensions, features, forecast, intervals, metrics, model, panel, qc
 from exposure_jobs.sources import alerts
 
+#: The SQL compares the horizons of SCORED; each query that has them has a twin ``<name>_all`` over every horizon, without SQL.
 HORIZONS, SCORED, LAGS = testbed.SETTINGS.horizons, (1, 6, 24), testbed.SETTINGS.lag_hours
 
 
@@ -30,10 +33,10 @@ def _panel(s: SparkSession, d: str) -> DataFrame:
     return testbed.tables(s, d).origins
 
 
-def _predictions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _predictions(s: SparkSession, d: str, horizons: tuple) -> tuple[DataFrame, DataFrame]:
     matrix = testbed.tables(s, d).matrix
     rates = baselines.fit_baselines(matrix)
-    return rates, baselines.predict_baselines(rates, matrix.filter("split = 'test'"), list(SCORED))
+    return rates, baselines.predict_baselines(rates, matrix.filter("split = 'test'"), list(horizons))
 
 
 def canonical_events(s, d):
@@ -60,8 +63,8 @@ def exposure_labels(s, d):
     return _us(_panel(s, d).select("region_id", "origin_hour", *(f"y_{k}" for k in HORIZONS)))
 
 
-def exposure_rate(s, d):
-    rates = [(F.sum(f"y_{k}") / F.count("*")).alias(f"rate_{k}") for k in SCORED]
+def exposure_rate(s, d, horizons=SCORED):
+    rates = [(F.sum(f"y_{k}") / F.count("*")).alias(f"rate_{k}") for k in horizons]
     return _rounded(_panel(s, d).groupBy("region_id").agg(F.count("*").alias("hours"), F.sum("active").alias("active_hours"), *rates))
 
 
@@ -83,57 +86,57 @@ def training_matrix(s, d):
     return _rounded(_us(made.select(*keep)))
 
 
-def baseline_rates(s, d):
-    rates = baselines.fit_baselines(testbed.tables(s, d).matrix).filter(F.col("horizon").isin(*SCORED))
+def baseline_rates(s, d, horizons=SCORED):
+    rates = baselines.fit_baselines(testbed.tables(s, d).matrix).filter(F.col("horizon").isin(*horizons))
     return _rounded(rates.select("region_id", "kind", "hour_of_week", "active", "horizon", "n", "hits", "rate"))
 
 
-def baseline_predictions(s, d):
-    made = _predictions(s, d)[1]
+def baseline_predictions(s, d, horizons=SCORED):
+    made = _predictions(s, d, horizons)[1]
     return _rounded(_us(made.select("region_id", "origin_hour", *(c for c in made.columns if c.startswith("pred_")))))
 
 
-def baseline_scores(s, d):
-    rows = baselines.long_predictions(_predictions(s, d)[1], list(SCORED))
+def baseline_scores(s, d, horizons=SCORED):
+    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons))
     return _rounded(metrics.proper_scores(rows, ["region_id", "horizon", "predictor"]).drop("log_loss"))
 
 
-def average_precision(s, d):
-    rows = baselines.long_predictions(_predictions(s, d)[1], list(SCORED)).withColumn("p", F.round("p", 9))
+def average_precision(s, d, horizons=SCORED):
+    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons)).withColumn("p", F.round("p", 9))
     found = metrics.average_precision(rows, ["region_id", "horizon", "predictor"])
     return found.select("region_id", "horizon", "predictor", F.round(F.nanvl("pr_auc", F.lit(-1.0)), 6).alias("pr_auc"))
 
 
-def brier_uplift(s, d):
-    rows = baselines.long_predictions(_predictions(s, d)[1], list(SCORED))
+def brier_uplift(s, d, horizons=SCORED):
+    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons))
     return _rounded(metrics.brier_uplift(metrics.proper_scores(rows, ["region_id", "horizon", "predictor"]), model="persistence"))
 
 
-def era_scores(s, d):
+def era_scores(s, d, horizons=SCORED):
     era = F.when(F.col("origin_hour") < F.lit("2024-01-26").cast("timestamp"), "before").otherwise("after").alias("era")
-    rows = baselines.long_predictions(_predictions(s, d)[1], list(SCORED)).withColumn("era", era)
+    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons)).withColumn("era", era)
     return _rounded(metrics.proper_scores(rows, ["era", "horizon", "predictor"]).drop("log_loss"))
 
 
-def reliability_bins(s, d):
-    rows = baselines.long_predictions(_predictions(s, d)[1], list(SCORED)).withColumn("p", F.round("p", 6))
+def reliability_bins(s, d, horizons=SCORED):
+    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons)).withColumn("p", F.round("p", 6))
     made = metrics.reliability(rows, ["horizon", "predictor"])
     whole = lambda c, unit: F.round(F.col(c) * F.col("n") * unit).cast("bigint")
     return made.select("horizon", "predictor", "bin", "n", whole("mean_p", 1e6).alias("p_millionths"), whole("rate", 1).alias("hits"))
 
 
-def calibration_error(s, d):
-    rows = baselines.long_predictions(_predictions(s, d)[1], list(SCORED)).withColumn("p", F.round("p", 6))
+def calibration_error(s, d, horizons=SCORED):
+    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons)).withColumn("p", F.round("p", 6))
     return _rounded(metrics.calibration_error(metrics.reliability(rows, ["horizon", "predictor"]), ["horizon", "predictor"]))
 
 
-def false_alarm_threshold(s, d):
-    rows = baselines.long_predictions(_predictions(s, d)[1], list(SCORED)).withColumn("p", F.round("p", 6))
+def false_alarm_threshold(s, d, horizons=SCORED):
+    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons)).withColumn("p", F.round("p", 6))
     return _rounded(metrics.false_alarm_threshold(rows, ["horizon", "predictor"], 0.1))
 
 
-def monotone_forecast(s, d):
-    rows = baselines.long_predictions(_predictions(s, d)[1], list(SCORED), ("seasonal",)).drop("y")
+def monotone_forecast(s, d, horizons=SCORED):
+    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons), ("seasonal",)).drop("y")
     return _rounded(_us(forecast.monotone(rows)))
 
 
@@ -144,8 +147,17 @@ def feature_scaling(s, d):
     return _rounded(stats, 9)
 
 
-def class_weights(s, d):
-    return _rounded(model.class_weights(testbed.tables(s, d).matrix, list(SCORED)))
+def training_matrix_all(s, d):
+    return _rounded(_us(testbed.tables(s, d).matrix))
+
+
+def feature_scaling_all(s, d):
+    made = testbed.tables(s, d).matrix
+    return _rounded(model.imputation(made, features.matrix_features(made.columns)), 9)
+
+
+def class_weights(s, d, horizons=SCORED):
+    return _rounded(model.class_weights(testbed.tables(s, d).matrix, list(horizons)))
 
 
 def exposure_models(s, d):
@@ -166,11 +178,11 @@ def forecast_latest(s, d):
     return _rounded(_us(made))
 
 
-def isotonic_seasonal(s, d):
+def isotonic_seasonal(s, d, horizons=SCORED):
     """The seasonal rates of the validation rows and what isotonic calibration makes of them."""
     matrix = testbed.tables(s, d).matrix
-    made = baselines.predict_baselines(baselines.fit_baselines(matrix), matrix.filter("split = 'validation'"), list(SCORED), ("seasonal",))
-    rows = baselines.long_predictions(made, list(SCORED), ("seasonal",)).withColumn("p", F.round("p", 9))
+    made = baselines.predict_baselines(baselines.fit_baselines(matrix), matrix.filter("split = 'validation'"), list(horizons), ("seasonal",))
+    rows = baselines.long_predictions(made, list(horizons), ("seasonal",)).withColumn("p", F.round("p", 9))
     points = rows.select("region_id", "horizon", "p").distinct().withColumn("x", F.col("p"))
     done = model.calibrated(points, model.fit_calibrators(rows))
     return done.select("region_id", "horizon", F.round("x", 9).alias("x"), F.round("p", 9).alias("fitted"))
@@ -198,7 +210,7 @@ def qc_overlaps(s, d):
 
 def qc_label_mismatches(s, d):
     t = testbed.tables(s, d)
-    return _us(qc.label_mismatches(t.origins, t.merged, list(SCORED)).select("region_id", "origin_hour", "horizon", "y", "want"))
+    return _us(qc.label_mismatches(t.origins, t.merged, list(HORIZONS)).select("region_id", "origin_hour", "horizon", "y", "want"))
 
 
 def x_deduped(s, d):
@@ -217,8 +229,8 @@ def x_minutes(s, d):
     return _rounded(_us(extensions.minutes_under_alert(testbed.tables(s, d).merged)))
 
 
-def x_type_union(s, d):
-    rows = baselines.long_predictions(_predictions(s, d)[1], list(SCORED), ("seasonal", "persistence")).withColumn("p", F.round("p", 6))
+def x_type_union(s, d, horizons=SCORED):
+    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons), ("seasonal", "persistence")).withColumn("p", F.round("p", 6))
     return _rounded(_us(extensions.type_union(rows, ["region_id", "origin_hour", "horizon"])), 12)
 
 
@@ -236,7 +248,7 @@ def x_overlapping_types(s, d):
 
 def x_older_weight(s, d):
     matrix = testbed.tables(s, d).matrix
-    made = model.fit_exposure_models(matrix.drop(*(f"y_{k}" for k in HORIZONS if k not in SCORED)), older_weight=0.25, skip_single_class=True)
+    made = model.fit_exposure_models(matrix, older_weight=0.25, skip_single_class=True)
     return made.select("region_id", "horizon", F.round("intercept", 6).alias("intercept"), "n_fit")
 
 
@@ -377,3 +389,10 @@ QUERIES = {
         x_deduped, x_sub_units, x_minutes, x_type_union, x_activity_by_type, x_overlapping_types, x_older_weight, x_sufficiency, x_durations,
     )
 }
+
+_SCORED_QUERIES = (
+    exposure_rate, baseline_rates, baseline_predictions, baseline_scores, average_precision, brier_uplift, era_scores, reliability_bins, calibration_error, false_alarm_threshold,
+    monotone_forecast, class_weights, isotonic_seasonal, x_type_union,
+)
+QUERIES |= {f.__name__: f for f in (training_matrix_all, feature_scaling_all)}
+QUERIES |= {f"{f.__name__}_all": partial(f, horizons=HORIZONS) for f in _SCORED_QUERIES}

@@ -214,3 +214,44 @@ def test_entry_registers_queries():
 
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(found) and "exposure_rate" in found
+
+
+@pytest.fixture(scope="module")
+def driver_tables(spark, tables):
+    """A week of the sample's hourly rows, with a train part, as the registered queries see them."""
+    from types import SimpleNamespace
+
+    days = [datetime(2024, 6, 1, tzinfo=UTC) + n * H for n in range(96)]
+    rng = random.Random(6)
+    rows = []
+    for n, t in enumerate(days):
+        first = rng.randint(1, 30)  # labels are nested
+        rows.append(("a", us(t), n % 168, rng.randint(0, 1), *(int(k >= first) for k in range(1, 25)), "train" if n < 60 else "test", n < 60))
+    names = ["region_id", "at", "hour_of_week_kyiv", "active_at_origin", *(f"y_{k}" for k in range(1, 25)), "split", "in_primary_train"]
+    made = spark.createDataFrame(rows, names).withColumn("origin_hour", F.timestamp_micros("at")).drop("at")
+    return SimpleNamespace(matrix=made.cache(), merged=tables.merged, origins=tables.origins), rows
+
+
+def test_registered_queries_reach_every_horizon(spark, driver_tables, monkeypatch):
+    from exposure_jobs.jobs import driver_queries, testbed
+
+    made, rows = driver_tables
+    monkeypatch.setattr(testbed, "tables", lambda s, d: made)
+    every = set(range(1, 25))
+    rates = driver_queries.QUERIES["baseline_rates_all"](spark, "").filter("kind = 'marginal'").collect()
+    train_rows = [r for r in rows if r[-2] == "train"]
+    assert {r.horizon: (r.n, r.hits) for r in rates} == {k: (60, sum(r[3 + k] for r in train_rows)) for k in every}
+    weights = driver_queries.QUERIES["class_weights_all"](spark, "").collect()
+    assert {r.horizon: r.n for r in weights} == dict.fromkeys(every, 60)
+    assert {r.horizon for r in driver_queries.QUERIES["monotone_forecast_all"](spark, "").select("horizon").distinct().collect()} == every
+
+
+def test_a_wrong_label_of_any_horizon_is_reported(spark, tables, monkeypatch):
+    from types import SimpleNamespace
+
+    from exposure_jobs.jobs import driver_queries, testbed
+
+    origins = tables.origins.filter("region_id = 'kyiv_city'").withColumn("y_5", 1 - F.col("y_5"))
+    monkeypatch.setattr(testbed, "tables", lambda s, d: SimpleNamespace(origins=origins, merged=tables.merged))
+    found = driver_queries.qc_label_mismatches(spark, "").collect()
+    assert len(found) == origins.count() and {r.horizon for r in found} == {5}
