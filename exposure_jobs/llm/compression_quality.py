@@ -18,9 +18,8 @@ from exposure_jobs.llm.linear import fit_logistic, sigmoid
 PIECE = 4096
 DICTIONARY_BYTES = 65536
 LEVEL = 3
-#: The documented bound of the fit: at most so many labelled documents of each class, of each at most so many bytes.
+#: The documented bound of the fit: at most so many labelled documents of each class, each with its whole text.
 SAMPLE_PER_CLASS = 2000
-SAMPLE_BYTES = 8 * PIECE
 THRESHOLD = 0.7
 
 
@@ -72,7 +71,7 @@ def fit(rows: list, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[tuple[by
     """Dictionaries of good and bad text, and a calibration of the size features to a probability; ``weights`` as of ``class_weights``."""
     dictionaries = []
     for y in (1, 0):
-        parts = [p for r in rows if r.y == y for p in pieces((r.text or "")[:SAMPLE_BYTES])]
+        parts = [p for r in rows if r.y == y for p in pieces(r.text)]
         try:
             dictionaries.append(zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes())
         except zstandard.ZstdError:  # too little text for a trained dictionary: its bytes serve as they are

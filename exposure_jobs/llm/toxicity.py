@@ -27,8 +27,8 @@ STRETCH, STRIDE = 12, 4
 #: Characters are one of 40 signs: a to z, digits as one, everything else (letters with marks, other scripts, marks) by its code.
 SIGNS = 40
 LANDMARKS, LONGEST_RUN = 128, 8
-#: The documented bound of the fit: at most so many labelled documents of each class, and of each at most so many characters.
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 1500, 20_000
+#: The documented bound of the fit: at most so many labelled documents of each class, each with its whole text.
+SAMPLE_PER_CLASS = 1500
 NEGATIVES, HARD, ROUNDS = 6000, 2000, 4
 #: A run of ORDER to LONGEST_RUN characters speaks for toxic texts if it stands in this share of the toxic sample (three texts at least) and so many times as often there as in clean texts.
 TELLING_SHARE, TELLING_RATIO = 0.01, 3.0
@@ -206,7 +206,7 @@ def fit(rows: list, weights: tuple[float, float] = (1.0, 1.0)) -> ToxicWords:
     counts a row as ``weights`` of its class."""
     y_all = np.array([r.y for r in rows], int)
     standing = np.array(weights)[y_all]
-    bags = [(r.y, sorted(w for s in _SENTENCE.split((r.text or "")[:SAMPLE_CHARS]) for w in tokens(s) if len(w) >= ORDER)) for r in rows]
+    bags = [(r.y, sorted(w for s in _SENTENCE.split(r.text or "") for w in tokens(s) if len(w) >= ORDER)) for r in rows]
     bags = [(y, sorted(set(b))) for y, b in bags]
     clean_words = sorted({w for y, b in bags if y == 0 for w in b})
     toxic = [b for y, b in bags if y == 1]

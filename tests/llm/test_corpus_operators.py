@@ -308,6 +308,19 @@ def test_quality_scores_mean_the_same_under_a_small_cap(spark, tmp_path, monkeyp
         assert logit(linear.sigmoid(x, small[1])[0]) == pytest.approx(logit(linear.sigmoid(x, full[1])[0]), abs=0.8)
 
 
+def test_fits_read_whole_texts():
+    from collections import namedtuple
+
+    row = namedtuple("row", "doc_id y text")
+    rng, words = random.Random(9), vocabulary(6)
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    machine = toxicity.fit([row(i, i % 2, f"{some(40)}. {'word ' * 4200}. {some(9)}{' blockhead' * (i % 2)}") for i in range(40)])
+    assert machine.word_scores(["blockhead"])[0] > 0.5 > 0 > machine.word_scores(["word"])[0]
+    late = "".join(f" quokkaland {some(3)}" for _ in range(900))
+    dictionaries, _ = compression_quality.fit([row(i, i % 2, some(7000) + late * (i % 2)) for i in range(24)])
+    assert b"quokkaland" in dictionaries[0] and b"quokkaland" not in dictionaries[1]
+
+
 def test_weights_count_as_repeated_rows():
     rng = np.random.default_rng(3)
     x, y, n = rng.normal(size=(80, 2)), np.r_[np.ones(20), np.zeros(60)], np.r_[np.full(20, 3), np.full(60, 2)]
