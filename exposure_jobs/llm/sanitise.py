@@ -178,8 +178,12 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(spans: str, number: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
+
+
 def op9_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
+    counts = [_count("spans", n).alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
