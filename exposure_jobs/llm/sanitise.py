@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and terms that reveal them by what the corpus shows; DataFrame operations only.
 
 A term discloses a protected value (an e-mail address, an IP number, a card, a phone number) if seeing it nearly tells the value:
-with the information content IC(e) = -log p(e), PMI(e; t) / IC(e) reaches DISCLOSURE. Co-occurrence is counted in contexts that differ
-on both sides of the value, so that exact and near copies of one document disclose nothing by being copied. What the contexts are set
-against is counted without copies too, so that copies hide nothing either: exact copies are one text, and near copies one context.
+with the information content IC(e) = -log p(e), PMI(e; t) / IC(e) reaches DISCLOSURE. Co-occurrence is counted over whole documents.
+Copies tell nothing and hide nothing: texts that hold a value count by near-duplicate class (exact copies are one text, texts that
+share a MinHash of their word shingles are of one class), and SUPPORT classes must show a value and a term together, in contexts that
+differ on both sides of the value; a value that mostly stands in one copied passage tells nothing either.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from exposure_jobs.llm.common import checkpointed, table
+from exposure_jobs.llm.common import checkpointed, packed_row, table
+from exposure_jobs.llm.components import connected_components, with_least
 from exposure_jobs.llm.decontaminate import bounded
 
 #: Kinds in their fixed order, each with its pattern. The patterns find what the plain ones
@@ -27,10 +29,14 @@ KINDS: dict[str, str] = {
 TERM = "term"
 #: What must stand in a text for a pattern to be worth trying.
 _HINTS = {"email": "contains(text, '@')", "ip": r"text RLIKE '[0-9][.][0-9]'", "card": r"text RLIKE '[0-9][ -]?[0-9]'", "phone": r"text RLIKE '[+][0-9]'"}
-#: Characters of context on either side of a value, and how many of them tell contexts apart; the letters of a term; contexts that
-#: must show a pair, and their share of its places in different texts (or, of near copies, that of unlinked contexts among all).
-CONTEXT, APART, TERM_LETTERS, SUPPORT, SHARE, DISCLOSURE = 96, 32, 4, 5, 0.5, 0.9
-_LETTERS = r"\p{L}++"
+#: Classes of texts that must show a value and a term together, and the share of the value's information that the term must give.
+SUPPORT, DISCLOSURE = 2, 0.9
+#: Characters on either side of a value that tell contexts apart, and the share of classes that must not be linked by an equal side.
+APART, SHARE = 32, 0.5
+#: MinHashes of a text and the words of a shingle. Texts whose shingles overlap by half miss each other once in 2^8 times.
+HASHES, SHINGLE = 8, 3
+#: Terms are runs of letters outside addresses: an address counts as a token of its own, and is then left out.
+_TERMS = rf"{KINDS['email']}|\p{{L}}++"
 _ID = ["doc_id", "th"]
 
 
@@ -39,27 +45,24 @@ def _same(a: str, b: str) -> Column:
 
 
 def _found(docs: DataFrame, kinds: dict[str, Column | None], patterns: dict[str, str]) -> DataFrame:
-    """``(doc_id, th, kind, start, end, value, before, after)``: all matches, with places in code points.
+    """``(doc_id, th, kind, start, end, value, left, right)``: all matches, with places in code points and hashes of their contexts.
 
-    The pieces between matches and the matches take turns, so running sums of their lengths are the places; a row carries only
-    the ends of its two pieces, never the text.
+    The pieces between matches and the matches take turns, so running sums of their lengths are the places; a row carries lengths
+    and the match, never the text.
     """
     found = []
     for n, (kind, hint) in enumerate(kinds.items()):
-        pattern = F.lit(patterns[kind])
-        pieces = F.struct(F.lit(n).alias("kind"), F.regexp_extract_all("text", pattern, 0).alias("m"), F.split("text", patterns[kind], -1).alias("g"))
+        pieces = F.struct(F.lit(n).alias("kind"), F.regexp_extract_all("text", F.lit(patterns[kind]), 0).alias("m"), F.split("text", patterns[kind], -1).alias("g"))
         found.append(pieces if hint is None else F.when(hint, pieces))
     each = docs.select(*_ID, F.explode(F.array_compact(F.array(*found))).alias("k")).filter(F.size("k.m") > 0)
     gap = lambda i: F.element_at("k.g", i)
-    parts = F.transform(
-        F.col("k.m"),
-        lambda m, i: F.struct(m.alias("value"), F.length(gap(i + 1)).alias("gap"), F.length(m).alias("len"), F.substring(gap(i + 1), -CONTEXT, CONTEXT).alias("before"), F.substring(gap(i + 2), 1, CONTEXT).alias("after")),
-    )
+    sides = lambda i: (F.xxhash64(F.substring(gap(i + 1), -APART, APART)).alias("left"), F.xxhash64(F.substring(gap(i + 2), 1, APART)).alias("right"))
+    parts = F.transform(F.col("k.m"), lambda m, i: F.struct(m.alias("value"), F.length(gap(i + 1)).alias("gap"), F.length(m).alias("len"), *sides(i)))
     rows = each.select(*_ID, "k.kind", F.posexplode(parts).alias("i", "p")).select(*_ID, "kind", "i", "p.*")
     rows = rows.dropDuplicates([*_ID, "kind", "i"])  # repeated rows of one document
     upto = Window.partitionBy(*_ID, "kind").orderBy("i")
     start = F.sum("gap").over(upto) + F.sum("len").over(upto) - F.col("len")
-    return rows.select(*_ID, "kind", start.alias("start"), (start + F.col("len")).alias("end"), "value", "before", "after")
+    return rows.select(*_ID, "kind", start.alias("start"), (start + F.col("len")).alias("end"), "value", "left", "right")
 
 
 def _valid() -> Column:
@@ -83,46 +86,68 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return _found(docs, {k: F.expr(h) for k, h in _HINTS.items()}, KINDS).filter(_valid())
 
 
+def _terms(text: str) -> Column:
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(_TERMS), 0), lambda t: ~F.contains(t, F.lit("@"))))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, not again for each element of an inner function."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _minhashes(text: str) -> Column:
+    """The least hash of a text's word shingles under HASHES hash functions."""
+    starts = lambda words: F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
+    hashed = lambda words: F.transform(starts(words), lambda s: F.xxhash64(F.array_join(F.slice(words, s, SHINGLE), " ")))
+    least = lambda hashes: F.transform(F.sequence(F.lit(1), F.lit(HASHES)), lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k))))
+    return _bound(_bound(F.split(F.lower(text), r"\s+"), hashed), least)
+
+
+def near_duplicate_classes(texts: DataFrame) -> DataFrame:
+    """``texts(th, minhashes)`` → ``(th, class)``: texts that share a MinHash, and what hangs together by such texts, are one class."""
+    marks = texts.select("th", F.posexplode("minhashes").alias("k", "mark"))
+    edges = with_least(marks, ["k", "mark"], "th").select(F.col("th").alias("a"), F.col("least").alias("b"))
+    roots = connected_components(edges).withColumnRenamed("node", "th")
+    return texts.select("th").join(roots, "th", "left").select("th", F.coalesce("root", "th").alias("class"))
+
+
 def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``(kind, value, term)``: terms by which the corpus gives a protected value away."""
-    beside = F.concat_ws(
-        " ",
-        F.when(F.length("before") < CONTEXT, F.col("before")).otherwise(F.regexp_replace("before", r"^\p{L}+", "")),
-        F.when(F.length("after") < CONTEXT, F.col("after")).otherwise(F.regexp_replace("after", r"\p{L}+$", "")),
-    )
-    terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(beside), F.lit(_LETTERS), 0), lambda t: F.length(t) >= TERM_LETTERS))
-    sides = F.xxhash64(F.substring("before", -APART, APART)).alias("left"), F.xxhash64(F.substring("after", 1, APART)).alias("right")
-    once = spans.dropDuplicates(["th", "kind", "start"])  # exact copies are one text
-    seen = once.select("th", "kind", "value", *sides, F.explode(terms).alias("term"))
-    contexts = seen.groupBy("kind", "value", "term", "left", "right").agg(F.count("*").alias("places"))  # copies collapse before they are shuffled
-    apart = F.least(F.count_distinct("left"), F.count_distinct("right"))
-    unlinked = F.count_distinct("left") + F.count_distinct("right") - F.count("*")  # at most the groups of contexts that share no side
-    pairs = contexts.groupBy("kind", "value", "term").agg(apart.alias("contexts"), unlinked.alias("unlinked"), F.count("*").alias("all"), F.sum("places").alias("places"))
-    shared = (F.col("contexts") >= SHARE * F.col("places")) | (F.col("unlinked") >= SHARE * F.col("all"))
-    pairs = checkpointed(pairs.filter((F.col("contexts") >= SUPPORT) & shared), few=True)
-    named = bounded(pairs.select("term").distinct())
-    own = F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), 0), lambda t: F.length(t) >= TERM_LETTERS)))
-    if pairs.isEmpty():
-        return pairs.select("kind", "value", "term")
-    frequency = docs.select("th", own.alias("term")).join(named, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    holding = seen.join(bounded(pairs.select("kind", "value", "term")), ["kind", "value", "term"], "left_semi").select("kind", "value", "term", "th").distinct()
-    holding = holding.groupBy("kind", "value", "term").agg(F.count("*").alias("holding"))
-    values = once.select("kind", "value", *sides).groupBy("kind", "value").agg(apart.alias("n"))
-    total = docs.select("th").distinct().agg(F.count("*").alias("total"))
-    met = pairs.join(values, ["kind", "value"]).join(holding, ["kind", "value", "term"]).join(frequency, "term").join(F.broadcast(total))  # total is one row
-    content = -F.log2(F.least(F.col("n") / F.greatest("total", "n"), F.lit(0.999999)))
-    others = F.greatest(F.col("df") - F.col("holding"), F.lit(0))  # texts that have the term, but not beside the value
-    told = F.log2(F.col("contexts") / (F.col("contexts") + others))  # log p(e | t)
-    return met.filter((told + content) / content >= DISCLOSURE).select("kind", "value", "term")
+    pair = ["kind", "value", "term"]
+    held = spans.groupBy("kind", "value", "th").agg(F.min(F.struct("left", "right")).alias("context"))  # exact copies are one text
+    repeated = held.groupBy("kind", "value").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("kind", "value")
+    held = checkpointed(held.join(bounded(checkpointed(repeated, few=True)), ["kind", "value"], "left_semi"), few=True)
+    nothing = spans.select("kind", "value", F.lit("").alias("term")).filter("false")
+    if held.isEmpty():
+        return nothing
+    holders = docs.join(bounded(held.select("th").distinct()), "th", "left_semi").select("th", _minhashes("text").alias("minhashes"), _terms("text").alias("terms"))
+    holders = checkpointed(holders.dropDuplicates(["th"]))
+    held = held.join(near_duplicate_classes(holders), "th")
+    values = held.select("kind", "value", "class").distinct().groupBy("kind", "value").agg(F.count("*").alias("n"))
+    held = checkpointed(held.join(bounded(checkpointed(values.filter(F.col("n") >= SUPPORT), few=True)), ["kind", "value"]), few=True)
+    if held.isEmpty():
+        return nothing
+    together = held.join(holders.select("th", F.explode("terms").alias("term")), "th")
+    by_class = together.groupBy(*pair, "n", "class").agg(F.count("*").alias("texts"), F.min("context").alias("context"))  # a class's copies collapse before they are shuffled
+    left, right = F.count_distinct("context.left"), F.count_distinct("context.right")
+    pairs = by_class.groupBy(*pair, "n").agg(F.least(left, right).alias("both"), (left + right - F.count("*")).alias("unlinked"), F.count("*").alias("classes"), F.sum("texts").alias("texts"))
+    pairs = checkpointed(pairs.filter((F.col("both") >= SUPPORT) & (F.col("unlinked") >= SHARE * F.col("classes"))))
+    mentions = docs.select("th", F.explode(_terms("text")).alias("term")).join(bounded(pairs.select("term").distinct()), "term", "left_semi")
+    frequency = mentions.distinct().groupBy("term").agg(F.count("*").alias("df"))
+    total = max(1, docs.select("th").distinct().count())
+    content = -F.log2(F.least(F.col("n") / F.greatest(F.lit(total), F.col("n")), F.lit(0.999999)))
+    others = F.greatest(F.col("df") - F.col("texts"), F.lit(0))  # texts that have the term without the value
+    told = F.log2(F.col("both") / (F.col("both") + others))  # log p(e | t)
+    return pairs.join(frequency, "term").filter((told + content) / content >= DISCLOSURE).select(*pair)
 
 
 def term_spans(docs: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:
     """Places of disclosing terms in the documents that hold the value they disclose."""
-    wanted = checkpointed(spans.join(terms, ["kind", "value"]).select(*_ID, "term").distinct(), few=True)
+    wanted = checkpointed(spans.join(bounded(terms), ["kind", "value"]).select(*_ID, "term").distinct(), few=True)
     if wanted.isEmpty():
         return spans.select(*_ID, F.lit(len(KINDS)).alias("kind"), "start", "end").filter("false")
     named = docs.alias("a").join(bounded(wanted.select(*_ID).distinct()).alias("b"), _same("a", "b"), "left_semi")
-    places = _found(named, {TERM: None}, {TERM: _LETTERS}).withColumn("term", F.lower("value"))
+    places = _found(named, {TERM: None}, {TERM: _TERMS}).withColumn("term", F.lower("value"))
     return places.alias("a").join(wanted.alias("b"), _same("a", "b") & (F.col("a.term") == F.col("b.term"))).select("a.doc_id", "a.th", F.lit(len(KINDS)).alias("kind"), "start", "end")
 
 
@@ -134,13 +159,13 @@ def all_spans(docs: DataFrame) -> DataFrame:
     return spans.groupBy(*_ID).agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("spans"))  # bounded by a document's own length
 
 
-def _with_spans(docs: DataFrame, columns: list) -> DataFrame:
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """``(row, spans)``: each row as a struct, and the spans of its text."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     spans = checkpointed(all_spans(keyed), few=True)
-    own = docs.withColumn("__th", F.xxhash64("text"))
-    joined = own.alias("a").join(spans.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__th") == F.col("b.th")), "left")
+    own = packed_row(docs, doc_id=F.col("doc_id"), th=F.xxhash64("text"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return joined.select(*columns, F.coalesce("b.spans", none).alias("__spans"))
+    return own.alias("a").join(spans.alias("b"), _same("a", "b"), "left").select("a.row", F.coalesce("b.spans", none).alias("spans"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -149,33 +174,38 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     Kinds are numbered as in KINDS, disclosing terms after them. Defined cases: null text counts as empty; repeated rows each
     get their row; rows that share a doc_id are judged by their own text; an empty table gives no rows; other columns are ignored.
     """
-    return _with_spans(docs.select("doc_id", "text"), ["a.doc_id"]).withColumnRenamed("__spans", "spans")
+    return _with_spans(docs.select("doc_id", "text")).select("row.doc_id", "spans")
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span generalised to its kind in brackets (spans that overlap become one), and ``n_chars`` brought up to date."""
-    names = [*KINDS, TERM]
-    rows = _with_spans(docs, [F.col(f"a.{c}") for c in docs.columns])
+    """``docs`` with each span generalised to its kind in brackets (spans that overlap become one), and ``n_chars`` brought up to date.
+
+    Defined cases: as :func:`find_personal_data`; null text stays null; all other columns stay as they are, whatever their names.
+    """
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-    text = F.col("text")
+    text = F.col("row.text")
 
     def step(acc: Column, s: Column) -> Column:
-        label = F.concat(F.lit("["), F.upper(F.element_at(F.array(*(F.lit(n) for n in names)), s["kind"] + 1)), F.lit("]"))
+        label = F.concat(F.lit("["), F.upper(F.element_at(_names(), s["kind"] + 1)), F.lit("]"))
         piece = F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), label)
         inside = s["start"] < acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(piece))).alias("parts"))
 
-    done = F.aggregate("__spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    changed = F.when(F.size("__spans") == 0, text).otherwise(done)
-    rows = rows.withColumn("text", changed)
+    done = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    changed = F.when(F.size("spans") == 0, text).otherwise(done)
+    rows = _with_spans(docs).select("row", "spans", changed.alias("changed"))
+    made = {"text": F.col("changed")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("__spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        made["n_chars"] = F.when(F.size("spans") == 0, F.col("row.n_chars")).otherwise(F.length("changed")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+def _names() -> Column:
+    return F.array(*(F.lit(n) for n in [*KINDS, TERM]))
 
 
 def _written(spans: Column) -> Column:
-    names = F.array(*(F.lit(n) for n in [*KINDS, TERM]))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(_names(), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def _count(spans: str, number: int) -> Column:
