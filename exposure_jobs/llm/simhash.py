@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from exposure_jobs.llm.common import checkpointed, table
+from exposure_jobs.llm.common import checkpointed, packed_row, table
 from exposure_jobs.llm.components import connected_components
+from exposure_jobs.llm.decontaminate import bounded
 
 BITS = 64
 SHINGLE = 3
@@ -22,8 +23,8 @@ MAX_DIFF = 3
 #: The ring has eight segments of eight bits. A chain of k consecutive segments may differ in at most k * MAX_DIFF / 8 bits:
 #: none in two, one in five, two in seven, three in all eight.
 SEGMENTS = 8
-#: A bucket with more fingerprints than this is searched by longer keys.
-DENSE_BUCKET = 256
+#: A bucket with more fingerprints than this is split by longer chains of the ring.
+DENSE_BUCKET = 64
 _CHUNK = 1 << 16
 
 
@@ -52,8 +53,8 @@ def _rotated(bits: Column, by: int) -> Column:
     return bits if by == 0 else F.shiftleft(bits, by).bitwiseOR(F.shiftrightunsigned(bits, BITS - by))
 
 
-def _bucket_keys() -> list[tuple[int, int]]:
-    """(rotation in bits, mask): what a pair within MAX_DIFF shares at one of the rotations.
+def _bucket_keys() -> list[tuple[int, int, int]]:
+    """(rotation in bits, segment left out, mask): what a pair within MAX_DIFF shares at one of the rotations.
 
     By the pigeonring principle some rotation has no difference in its first two segments and at most one in its first five,
     so one of the three masks that leave out the third, fourth or fifth segment meets the pair.
@@ -63,7 +64,7 @@ def _bucket_keys() -> list[tuple[int, int]]:
     for rotation in range(SEGMENTS):
         for left_out in (2, 3, 4):
             kept = [s for s in range(5) if s != left_out]
-            keys.append((rotation * wide, sum(((1 << wide) - 1) << (BITS - wide * (s + 1)) for s in kept)))
+            keys.append((rotation * wide, left_out, sum(((1 << wide) - 1) << (BITS - wide * (s + 1)) for s in kept)))
     return keys
 
 
@@ -85,23 +86,51 @@ def chain_within_budget(difference: Column) -> Column:
 def near_pairs(prints: DataFrame) -> DataFrame:
     """``prints(fp)``, each once → edges ``(a, b)`` that join all fingerprints that differ in MAX_DIFF bits or fewer.
 
-    In buckets of up to DENSE_BUCKET fingerprints every such pair is an edge. Fuller buckets, as a large group of near copies
-    makes them, go to :func:`_dense_edges`, which keeps what hangs together without writing all pairs of a group.
+    In buckets of up to DENSE_BUCKET fingerprints every such pair is an edge. Fuller buckets, as a large group of near copies makes
+    them, are split twice: the chain goes on around the ring (:func:`_longer_chains`), then by halves of the segments left over, which
+    leaves groups of 4,096 fingerprints at most; there only what hangs together is written (:func:`spanning_forest`).
     """
     rows = F.array(
-        *(F.struct(_key(F.col("fp"), n, rotation, mask).alias("k"), _rotated(F.col("fp"), rotation).alias("x"), F.lit(rotation).alias("r")) for n, (rotation, mask) in enumerate(_bucket_keys()))
+        *(F.struct(_key(F.col("fp"), n, rotation, mask).alias("k"), _rotated(F.col("fp"), rotation).alias("x"), F.lit(rotation).alias("r"), F.lit(out).alias("out")) for n, (rotation, out, mask) in enumerate(_bucket_keys()))
     )
-    keyed = prints.select(F.explode(rows).alias("e")).select("e.k", "e.x", "e.r")
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # 24 rows come of each
+    edges, full = _sparse_edges(spread.select(F.explode(rows).alias("e")).select("e.*"))
+    if full is not None:
+        more, full = _sparse_edges(_longer_chains(full))
+        edges = edges.union(more)
+    return edges if full is None else edges.union(_dense_edges(full))
+
+
+def _sparse_edges(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``keyed(k, x, r, ...)`` → the near pairs of buckets that are not full, and the rows of those that are (None if there are none)."""
     full = checkpointed(keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE_BUCKET).select("k"), few=True)
     sparse, dense = keyed, None
     if not full.isEmpty():
-        sparse = keyed.join(full, "k", "left_anti")
-        dense = keyed.join(full, "k", "left_semi").select(_rotated_back("x", "r").alias("fp")).distinct()
+        full = bounded(full)
+        sparse, dense = keyed.join(full, "k", "left_anti"), checkpointed(keyed.join(full, "k", "left_semi"))
     left = sparse.select("k", F.col("x").alias("xa"), "r")
     right = sparse.select("k", F.col("x").alias("xb"))
     pairs = left.join(right, (left.k == right.k) & (F.col("xa") < F.col("xb")) & chain_within_budget(F.col("xa").bitwiseXOR(F.col("xb"))))
-    edges = pairs.select(_rotated_back("xa", "r").alias("a"), _rotated_back("xb", "r").alias("b"))
-    return edges if dense is None else edges.union(_dense_edges(dense))
+    return pairs.select(_rotated_back("xa", "r").alias("a"), _rotated_back("xb", "r").alias("b")), dense
+
+
+def _segment(number: int) -> Column:
+    return F.shiftrightunsigned("x", BITS - 8 * (number + 1)).bitwiseAND(F.lit(255))
+
+
+def _longer_chains(full: DataFrame) -> DataFrame:
+    """Rows of full buckets under keys of one segment more.
+
+    A chain of seven segments may differ in two bits, so of the three that a key leaves open among its first seven (the one left out
+    of the first five, the sixth, the seventh) one is equal: it joins the key, and the other two with the eighth stay open in ``rest``.
+    """
+    left_out = F.when(F.col("out") == 2, _segment(2)).when(F.col("out") == 3, _segment(3)).otherwise(_segment(4))
+    three, last, made = [left_out, _segment(5), _segment(6)], _segment(7), []
+    for n, held in enumerate(three):
+        a, b = three[:n] + three[n + 1 :]
+        rest = F.shiftleft(a, 16).bitwiseOR(F.shiftleft(b, 8)).bitwiseOR(last)
+        made.append(F.struct(F.xxhash64("k", F.lit(n), held).alias("k"), F.col("x"), F.col("r"), rest.alias("rest")))
+    return full.select(F.explode(F.array(*made)).alias("e")).select("e.*")
 
 
 def _key(fp: Column, number: int, rotation: int, mask: int) -> Column:
@@ -117,16 +146,16 @@ def _rotated_back(x: str, r: str) -> Column:
     return result
 
 
-def _dense_edges(prints: DataFrame) -> DataFrame:
-    """Edges that join what lies within MAX_DIFF bits, for fingerprints from full buckets.
+def _dense_edges(full: DataFrame) -> DataFrame:
+    """Edges that join what lies within MAX_DIFF bits, for rows of buckets that are full under the longer keys too.
 
-    Of sixteen segments of four bits at most three differ, so each pair agrees on one of 560 sets of thirteen. Such a key
-    leaves twelve bits open: a group has 4,096 different fingerprints at most, however many documents there are.
+    Of the six halves of the three open segments at most three differ, so each pair agrees on one of twenty sets of three. Such a
+    key leaves twelve bits open: a group has 4,096 different fingerprints at most, however many documents there are.
     """
-    groups = [sum(0xF << (4 * s) for s in out) for out in combinations(range(16), MAX_DIFF)]
-    masks = F.array(*(F.lit(_signed(((1 << BITS) - 1) & ~g)) for g in groups))
-    keyed = prints.select("fp", F.posexplode(masks).alias("n", "mask")).select("n", F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
-    grouped = keyed.groupBy("n", "k").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    masks = [sum(0xF << (4 * s) for s in held) for held in combinations(range(6), 6 - MAX_DIFF)]
+    keys = F.array(*(F.xxhash64("k", F.lit(m), F.col("rest").bitwiseAND(F.lit(m))) for m in masks))
+    keyed = full.select(_rotated_back("x", "r").alias("fp"), F.explode(keys).alias("k"))
+    grouped = keyed.groupBy("k").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
     return grouped.select(F.explode(_forest("fps")).alias("e")).select("e.a", "e.b").distinct()
 
 
@@ -151,27 +180,46 @@ def spanning_forest(prints: np.ndarray) -> list[dict]:
     return edges
 
 
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, th, fp)`` of each row, ``th`` being a hash of its text; ``(fp, root, component_id)`` of each fingerprint."""
+    prints = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("th"), fingerprint("text").alias("fp")))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    roots = connected_components(near_pairs(nodes.select("fp")))
+    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return prints, checkpointed(linked.join(least, "root").select("fp", "root", "component_id"), few=True)
+
+
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` → ``(doc_id, fp, component_id)``, one row per input row.
 
     Defined cases: null or blank text has fingerprint zero and links like any other; repeated rows stay; a null doc_id counts
-    in no minimum; an empty table gives no rows; other columns are ignored whatever their names.
+    in no minimum (a group of null ids alone has a null component_id); an empty table gives no rows; other columns are ignored
+    whatever their names.
     """
-    prints = checkpointed(docs.select("doc_id", fingerprint("text").alias("fp")))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = connected_components(near_pairs(nodes.select("fp")))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labelled = checkpointed(linked.join(least, "root").select("fp", "component_id"), few=True)
+    prints, labelled = _groups(docs)
     return prints.join(labelled, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their group's least; of rows that share that doc_id, the first by text."""
-    groups = near_duplicate_groups(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text"), "text"))
-    return docs.join(kept, "doc_id", "left_semi").withColumn("__row", first).filter("__row = 1").select(*docs.columns)
+    """One row of ``docs`` for each near-duplicate group, in the same columns: that of the least doc_id.
+
+    Defined cases: a null doc_id comes after all others, so a group of null ids alone keeps one of them; of different texts under
+    the least id the one with the least hash stays, of repeated rows the one with the least hash of all its columns (maps left
+    out); an empty table gives no rows; other columns stay as they are, whatever their names.
+    """
+    prints, labelled = _groups(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")).alias("f")
+    survivors = prints.join(labelled, "fp").groupBy("root").agg(first).select(F.col("f.doc_id").alias("i"), F.col("f.th").alias("h"))
+    times = prints.groupBy(F.col("doc_id").alias("i2"), F.col("th").alias("h2")).agg(F.count("*").alias("times"))
+    survivors = checkpointed(survivors.join(times, F.col("i").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))).select("i", "h", "times"), few=True)
+    content = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    own = packed_row(docs, id=F.col("doc_id"), th=F.xxhash64("text"), content=content)
+    kept = own.join(bounded(survivors), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
+    if not survivors.filter("times > 1").isEmpty():  # only then do rows have to meet
+        order = F.row_number().over(Window.partitionBy("id", "th").orderBy("content"))
+        kept = kept.filter("times = 1").select("row").union(kept.filter("times > 1").withColumn("n", order).filter("n = 1").select("row"))
+    return kept.select("row.*")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
