@@ -1,4 +1,7 @@
-"""Quality scores from compression: which of two dictionaries, of good or of bad text, makes a document smaller?"""
+"""Quality scores from compression: which of two dictionaries, of good or of bad text, makes a document smaller?
+
+The score is the difference of the two compressed sizes over the text's length, calibrated to a probability by a logistic fit.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +10,20 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
-from exposure_jobs.llm.common import crc_remainder, table
+from exposure_jobs.llm.common import checkpointed, crc_remainder, table
 from exposure_jobs.llm.linear import fit_logistic, sigmoid
 
 #: Texts are compressed in pieces of this many bytes, so that a dictionary counts all through a long text.
-PIECE = 4096
-DICTIONARY_BYTES = 65536
+PIECE = 2048
+DICTIONARY_BYTES = 112_640
 LEVEL = 3
-#: The documented bound of the fit: at most so many labelled documents of each class, each with its whole text.
-SAMPLE_PER_CLASS = 2000
+#: The documented bounds of the fit: at most so many labelled documents of each class, and of all pieces of their whole texts at most
+#: so many, chosen by a hash, for the dictionary of a class (16 MB). The calibration reads the whole texts.
+SAMPLE_PER_CLASS, PIECES_PER_CLASS = 2000, 8192
 THRESHOLD = 0.7
 
 
@@ -30,16 +34,14 @@ def pieces(text: str | None) -> list[bytes]:
 
 @lru_cache(maxsize=4)
 def _compressors(dictionaries: tuple[bytes, bytes]) -> list:
-    made = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) if d else zstandard.ZstdCompressor(level=LEVEL) for d in dictionaries]
-    return [*made, zstandard.ZstdCompressor(level=LEVEL)]
+    return [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) if d else zstandard.ZstdCompressor(level=LEVEL) for d in dictionaries]
 
 
-def size_features(text: str | None, dictionaries: tuple[bytes, bytes]) -> list[float]:
-    """(bad - good) / length, good / length, bad / length, alone / length, log length; an empty text has length 1."""
+def size_difference(text: str | None, dictionaries: tuple[bytes, bytes]) -> float:
+    """How much smaller the good dictionary makes a text than the bad one, as a share of its length; 0 for an empty text."""
     parts = pieces(text)
-    total = max(1, sum(map(len, parts)))
-    good, bad, alone = (sum(len(c.compress(p)) for p in parts) / total for c in _compressors(dictionaries))
-    return [bad - good, good, bad, alone, float(np.log(total))]
+    good, bad = (sum(len(c.compress(p)) for p in parts) for c in _compressors(dictionaries))
+    return (bad - good) / max(1, sum(map(len, parts)))
 
 
 def _usable(labels: DataFrame, label: str, held_out) -> DataFrame:
@@ -52,34 +54,55 @@ def class_weights(labels: DataFrame, label: str, per_class: int, held_out) -> tu
     return max(1.0, totals.get(0, 0) / per_class), max(1.0, totals.get(1, 0) / per_class)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held_out) -> list:
-    """At most ``per_class`` labelled documents of each class, chosen by a hash of the id, never from held-out rows.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held_out) -> DataFrame:
+    """``(doc_id, y, text)``: at most ``per_class`` labelled documents of each class, chosen by a hash of the id, never from held-out rows.
 
-    The bound is on what the driver fits; ids are chosen from the labels alone, so the texts meet a list of known size.
+    Ids are chosen from the labels alone, so the texts meet a list of known size. Labels of one id that differ count as 1; of
+    several texts of one id the least is taken; a null id is never chosen.
     """
     usable = _usable(labels, label, held_out)
-    order = F.xxhash64("doc_id")
-    ids = [r for y in (0, 1) for r in usable.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class).collect()]
-    if not ids:
-        return []
+    ids = [r for y in (0, 1) for r in usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, int(r.y)) for r in ids], "doc_id long, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.first("text").alias("text")).collect()
-    return sorted(rows, key=lambda r: r.doc_id)
-
-
-def fit(rows: list, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[tuple[bytes, bytes], dict]:
-    """Dictionaries of good and bad text, and a calibration of the size features to a probability; ``weights`` as of ``class_weights``."""
-    dictionaries = []
-    for y in (1, 0):
-        parts = [p for r in rows if r.y == y for p in pieces(r.text)]
-        try:
-            dictionaries.append(zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes())
-        except zstandard.ZstdError:  # too little text for a trained dictionary: its bytes serve as they are
-            dictionaries.append(b"".join(parts)[-DICTIONARY_BYTES:])
-    good, bad = dictionaries
-    features = np.array([size_features(r.text, (good, bad)) for r in rows]).reshape(len(rows), 5)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+@F.pandas_udf(ArrayType(BinaryType()))
+def _pieces(texts: pd.Series) -> pd.Series:
+    return texts.map(pieces, na_action=None)
+
+
+def difference_column(text: str, dictionaries: tuple[bytes, bytes]):
+    @F.pandas_udf(DoubleType())
+    def difference(texts: pd.Series) -> pd.Series:
+        return pd.Series([size_difference(t, dictionaries) for t in texts], dtype="float64")
+
+    return difference(text)
+
+
+def trained(parts: list[bytes]) -> bytes:
+    """A dictionary of some text; too little text for a trained one serves as it is."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(parts)[-DICTIONARY_BYTES:]
+
+
+def fit(sample: DataFrame, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[tuple[bytes, bytes], dict]:
+    """Dictionaries of good and bad text from ``sample(doc_id, y, text)``, and a calibration of the size difference to a probability.
+
+    Pieces are cut, and differences measured, on the executors; the driver gets a bounded number of pieces and one number a
+    document. ``weights`` as of ``class_weights``. An empty sample gives empty dictionaries and a constant score.
+    """
+    sample = checkpointed(sample, few=True)
+    cut = sample.select("doc_id", "y", F.posexplode(_pieces("text")).alias("at", "piece"))
+    order = F.row_number().over(Window.partitionBy("y").orderBy("rank", "doc_id", "at"))
+    ranked = cut.withColumn("rank", F.xxhash64("doc_id", "at"))
+    picked = ranked.withColumn("n", order).filter(F.col("n") <= PIECES_PER_CLASS).select("y", "n", "piece").collect()
+    good, bad = (trained([bytes(r.piece) for r in sorted(picked, key=lambda r: r.n) if r.y == y]) for y in (1, 0))
+    rows = sample.select("doc_id", "y", difference_column("text", (good, bad)).alias("x")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.y for r in rows], int)
-    return (good, bad), fit_logistic(features, y.astype(float), weight=np.array(weights)[y])
+    return (good, bad), fit_logistic(np.array([r.x for r in rows]).reshape(-1, 1), y.astype(float), weight=np.array(weights)[y])
 
 
 def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], dict]) -> DataFrame:
@@ -88,8 +111,7 @@ def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], dict]) -> DataFrame
 
     @F.pandas_udf(DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
-        features = np.array([size_features(t, dictionaries) for t in texts]).reshape(len(texts), 5)
-        return pd.Series(sigmoid(features, calibration))
+        return pd.Series(sigmoid(np.array([size_difference(t, dictionaries) for t in texts]).reshape(-1, 1), calibration))
 
     return docs.select("doc_id", scored("text").alias("score"))
 

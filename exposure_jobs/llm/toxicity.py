@@ -1,12 +1,14 @@
 """Toxicity by a support vector machine over a subsequence string kernel, with Nyström landmarks.
 
 The kernel of order ORDER counts the character subsequences that two words share, gaps allowed, each weighted by DECAY to the power
-of the stretch it takes, and is normalised by the words' own kernels; so ``id.iot`` and ``idioot`` stay near ``idiot``. A sentence
-scores as its most toxic word, a document as its most toxic sentence.
+of the stretch it takes, and is normalised by the words' own kernels; so ``id.iot`` and ``idioot`` stay near ``idiot``. The machine is
+trained on labelled sentences: all sentences of clean texts are clean, those of toxic texts are toxic where a word speaks for it; a
+sentence stands for its most toxic word at that point of the training. A document is scored by its three most toxic words.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import lru_cache
 from itertools import combinations
@@ -15,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from exposure_jobs.llm.common import crc_remainder, table
 from exposure_jobs.llm.compression_quality import class_weights, labelled_sample
@@ -24,15 +26,20 @@ from exposure_jobs.llm.linear import fit_logistic, sigmoid
 ORDER, DECAY = 4, 0.5
 #: Words are compared in stretches of so many characters; a longer word is cut into stretches that overlap by all but STRIDE.
 STRETCH, STRIDE = 12, 4
-#: Characters are one of 40 signs: a to z, digits as one, everything else (letters with marks, other scripts, marks) by its code.
-SIGNS = 40
-LANDMARKS, LONGEST_RUN = 128, 8
-#: The documented bound of the fit: at most so many labelled documents of each class, each with its whole text.
+#: Characters are one of 41 signs: a to z, digits as one, everything else (letters with marks, other scripts, marks) by its code, and
+#: EDGE, which stands on both sides of words too short for the kernel.
+SIGNS, EDGE = 41, "\0"
+LANDMARKS, LONGEST_RUN, RIDGE = 128, 8, 1e-4
+#: The documented bounds of the fit: at most so many labelled documents of each class, each with all its sentences; so many rounds of
+#: choosing what sentences stand for; at most so many words to choose landmarks from, and different words of clean sentences in a round
+#: (the most toxic ones first).
 SAMPLE_PER_CLASS = 1500
-NEGATIVES, HARD, ROUNDS = 6000, 2000, 4
-#: A run of ORDER to LONGEST_RUN characters speaks for toxic texts if it stands in this share of the toxic sample (three texts at least) and so many times as often there as in clean texts.
-TELLING_SHARE, TELLING_RATIO = 0.01, 3.0
-REMEMBERED = 1 << 20
+ROUNDS, POOL, CLEAN_WORDS = 3, 1500, 6000
+#: A run of ORDER to LONGEST_RUN characters speaks for toxic texts if it stands so many times as often there as in clean texts, as far as
+#: the sample bears that out: the logarithm of the ratio, less so many of its standard errors, is compared.
+TELLING_RATIO, TELLING_ERRORS = 3.0, 2.5
+#: Words of a document that its score reads, and words whose margins a worker remembers.
+TOP, REMEMBERED = 3, 1 << 20
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -45,11 +52,17 @@ def tokens(text: str | None) -> set[str]:
     return found
 
 
+def sentence_words(text: str | None) -> list[list[str]]:
+    """The words of each different sentence of a text."""
+    return [list(s) for s in dict.fromkeys(tuple(sorted(tokens(s))) for s in _SENTENCE.split(text or "")) if s]
+
+
 @lru_cache(maxsize=1)
 def _sign_table() -> np.ndarray:
     signs = np.empty(0x10000, np.uint8)
     for code in range(0x10000):
-        signs[code] = code - 97 if 97 <= code <= 122 else 26 if chr(code).isdigit() else 27 + code % (SIGNS - 27)
+        signs[code] = code - 97 if 97 <= code <= 122 else 26 if chr(code).isdigit() else 27 + code % (SIGNS - 28)
+    signs[ord(EDGE)] = SIGNS - 1
     return signs
 
 
@@ -63,6 +76,8 @@ def stretches(words: list[str]) -> tuple[dict[int, np.ndarray], dict[int, np.nda
         if not core.isalnum():
             forms.append("".join(filter(str.isalnum, core)))
         for form in forms:
+            if 2 <= len(form) < ORDER:
+                form = f"{EDGE}{form}{EDGE}"
             for at in range(0, max(1, len(form) - STRETCH + STRIDE), STRIDE):
                 part = form[at : at + STRETCH]
                 if len(part) >= ORDER:
@@ -127,18 +142,24 @@ def normalised_profiles(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
 def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
     """The normalised kernel of each word with each landmark (a landmark is one stretch); the greatest over a word's stretches."""
     out = np.zeros((len(words), len(landmarks)), np.float64)
-    s_l, c_l, w_l, _ = normalised_profiles([m[:STRETCH] for m in landmarks])
-    order = _stretch_owner([m[:STRETCH] for m in landmarks])
-    dense = np.zeros((SIGNS**ORDER,), np.float32)
+    near, c_l, w_l, order = normalised_profiles([m[:STRETCH] for m in landmarks])
     stretch, codes, weights, owner = normalised_profiles(words)
-    if not len(owner):
+    if not len(owner) or not len(order):
         return out
-    for n in np.unique(s_l):
-        mine = s_l == n
-        np.add.at(dense, c_l[mine], w_l[mine])
-        value = np.bincount(stretch, weights * dense[codes], len(owner))
-        np.maximum.at(out[:, order[n]], owner, value)
-        dense[c_l[mine]] = 0
+    own = np.unique(c_l)  # only subsequences that a landmark has can count
+    profile = np.zeros((len(own), len(landmarks)), np.float32)
+    np.add.at(profile, (np.searchsorted(own, c_l), order[near]), w_l)
+    column = np.full(SIGNS**ORDER, -1, np.int32)
+    column[own] = np.arange(len(own))
+    met = np.flatnonzero(column[codes] >= 0)
+    for at in range(0, len(met), 1 << 17):
+        part = met[at : at + (1 << 17)]
+        begins = np.flatnonzero(np.r_[True, np.diff(stretch[part]) != 0])
+        sums = np.add.reduceat(weights[part][:, None] * profile[column[codes[part]]], begins, axis=0)
+        if at and stretch[part[0]] == last:
+            sums[0] += carry
+        last, carry = stretch[part[-1]], sums[-1]
+        np.maximum.at(out, owner[stretch[part[begins]]], sums)
     return out
 
 
@@ -151,9 +172,10 @@ class ToxicWords:
 
     def __init__(self, weights: np.ndarray, bias: float, calibration: dict):
         self.weights, self.bias, self.calibration = weights, bias, calibration
+        self.known: dict[str, float] = {}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """The margin of each word; words too short for the kernel have the bias, as words that share nothing with a landmark."""
+        """The margin of each word; words of one character have the bias, as words that share nothing with a landmark."""
         best = np.zeros(len(words))
         rows, whose = stretches(words)
         for length, signs in rows.items():
@@ -166,28 +188,28 @@ class ToxicWords:
                     np.maximum.at(best, whose[length][at : at + 4096][up], raw[up] / np.sqrt(own_kernel(part[up])))
         return best + self.bias
 
-    def sentence_scores(self, text: str) -> list[tuple[str, float]]:
-        return [(s, float(max(self.word_scores(sorted(tokens(s))), default=self.bias))) for s in _SENTENCE.split(text) if s.strip()]
-
-    def margins(self, texts, known: dict[str, float]) -> np.ndarray:
-        """The margin of each text, the greatest of its words'; ``known`` remembers words' margins."""
-        found = [tokens(t) for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = sorted(set().union(*found) - known.keys())
+    def margins(self, bags: list[set[str]]) -> np.ndarray:
+        """The TOP greatest margins of each set of words, the bias where there are fewer; words' margins are remembered."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = sorted(set().union(*bags) - self.known.keys())
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
-            known.update(zip(part, self.word_scores(part).tolist(), strict=True))
-        return np.array([max(map(known.__getitem__, f), default=self.bias) for f in found])
+            self.known.update(zip(part, self.word_scores(part).tolist(), strict=True))
+        out = np.full((len(bags), TOP), self.bias)
+        for n, bag in enumerate(bags):
+            top = heapq.nlargest(TOP, map(self.known.__getitem__, bag))
+            out[n, : len(top)] = top
+        return out
 
     def probabilities(self, margins: np.ndarray) -> np.ndarray:
-        return sigmoid(margins.reshape(-1, 1), self.calibration)
+        return sigmoid(margins.reshape(len(margins), -1), self.calibration)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, steps: int = 40) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps on the rows inside the margin; y is +1 or -1."""
     z = np.column_stack([x, np.ones(len(x))])
-    penalty = np.full(z.shape[1], ridge)
+    penalty = np.full(z.shape[1], ridge * weight.sum())
     penalty[-1] = 1e-6
     w = np.zeros(z.shape[1])
     for _ in range(steps):
@@ -201,51 +223,56 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2,
 
 
 def fit(rows: list, weights: tuple[float, float] = (1.0, 1.0)) -> ToxicWords:
-    """A machine from labelled texts ``(doc_id, y, text)``: sentences of toxic texts are labelled by their most telling word,
-    those of clean texts are all clean. Rounds of fitting choose the telling words and the hardest clean ones anew. The calibration
-    counts a row as ``weights`` of its class."""
+    """A machine from labelled texts ``(doc_id, y, sentences)``, the sentences as :func:`sentence_words` gives them.
+
+    In each round every clean sentence stands for its most toxic word (so a word weighs by the clean sentences it stands for), every
+    sentence of a toxic text that has telling words for the most telling one. The calibration counts a row as ``weights`` of its class.
+    """
     y_all = np.array([r.y for r in rows], int)
     standing = np.array(weights)[y_all]
-    bags = [(r.y, sorted(w for s in _SENTENCE.split(r.text or "") for w in tokens(s) if len(w) >= ORDER)) for r in rows]
-    bags = [(y, sorted(set(b))) for y, b in bags]
-    clean_words = sorted({w for y, b in bags if y == 0 for w in b})
-    toxic = [b for y, b in bags if y == 1]
-    n_clean = sum(y == 0 for y, _ in bags)
-    if not toxic or not n_clean:
-        return ToxicWords(np.zeros(SIGNS**ORDER, np.float32), 0.0, fit_logistic(np.zeros((len(rows), 1)), y_all.astype(float), weight=standing))
-    telling = _telling(bags)
-    picked = {w for b in toxic for w in sorted(b, key=lambda w: (-telling.get(w, 0.0), w))[:3] if telling.get(w, 0.0) > 0}
+    bags = [set().union(*r.sentences) for r in rows]
+    clean = [s for r in rows if r.y == 0 for s in r.sentences]
+    toxic = [s for r in rows if r.y == 1 for s in r.sentences]
+    if not toxic or not clean:
+        return ToxicWords(np.zeros(SIGNS**ORDER, np.float32), 0.0, fit_logistic(np.zeros((len(rows), TOP)), y_all.astype(float), weight=standing))
+    telling = _telling([(r.y, sorted(b)) for r, b in zip(rows, bags, strict=True)])
+    words = sorted({w for s in clean for w in s} | {w for w, v in telling.items() if v > 0})
+    place = {w: n for n, w in enumerate(words)}
+    flat, ends = np.array([place[w] for s in clean for w in s]), np.cumsum([0, *map(len, clean)])
+    told = [np.array([place[w] for w in s if telling.get(w, 0.0) > 0], int) for s in toxic]
+    told = [t for t in told if len(t)]
+    values = np.array([telling.get(w, 0.0) for w in words])
+    seen = np.zeros(len(words))  # how many clean sentences a word stands for, the greatest number of all rounds
     rng = np.random.default_rng(7)
-    negatives = [clean_words[i] for i in rng.choice(len(clean_words), min(NEGATIVES, len(clean_words)), replace=False)]
-    weights, bias, hard = np.zeros(SIGNS**ORDER, np.float32), 0.0, []
-    for _ in range(ROUNDS):
-        positives = sorted(picked)
-        landmarks = _landmarks(positives, hard, negatives)
-        words = positives + negatives
-        k = kernel_rows(words, landmarks)
-        values, vectors = np.linalg.eigh(kernel_rows(landmarks, landmarks) + 1e-6 * np.eye(len(landmarks)))
-        root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-        y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
-        share = np.r_[np.full(len(positives), len(negatives) / max(1, len(positives))), np.ones(len(negatives))]
-        w, bias = _svm(k @ root, y, share)
-        weights = _folded(landmarks, root @ w)
-        machine = ToxicWords(weights, bias, {})
-        scores = dict(zip(clean_words, machine.word_scores(clean_words), strict=True))
-        hard = sorted(clean_words, key=lambda c: (-scores[c], c))[:HARD]
-        negatives = sorted({*negatives, *hard})
-        picked = set()
-        for b in toxic:
-            s = machine.word_scores(b)
-            top = np.argsort(-s, kind="stable")[:2]
-            picked.update(b[i] for i in top if s[i] > -0.5 and telling.get(b[i], 0.0) > 0)
-        if not picked:
-            picked = set(positives)
-    machine = ToxicWords(weights, bias, {})
-    margins = machine.margins([(r.text or "") for r in rows], {})
-    machine.calibration = fit_logistic(margins.reshape(-1, 1), y_all.astype(float), ridge=1e-3, weight=standing)
+    best = [t[np.argmax(values[t])] for t in told] or [int(np.argmax(values))]
+    positive, many = np.unique(best, return_counts=True)
+    scores, machine = values + 1e-6 * rng.random(len(words)), None  # at first any word may stand for a clean sentence
+    for _ in range(ROUNDS + 1):
+        top = np.maximum.reduceat(scores[flat], ends[:-1])
+        first = np.flatnonzero(scores[flat] == np.repeat(top, np.diff(ends)))
+        _, once = np.unique(np.searchsorted(ends, first, side="right"), return_index=True)
+        seen = np.maximum(seen, np.bincount(flat[first[once]], minlength=len(words)))
+        met = np.flatnonzero(seen)
+        met = met[np.argsort(-scores[met], kind="stable")]
+        half = CLEAN_WORDS // 2
+        negative = np.r_[met[:half], rng.permutation(met[half:])[:half]]
+        landmarks = _landmarks([words[i] for i in positive], [words[i] for i in negative[: CLEAN_WORDS // 4]], [words[i] for i in negative])
+        k = kernel_rows([words[i] for i in [*positive, *negative]], landmarks)
+        root = _inverse_root(kernel_rows(landmarks, landmarks))
+        share = np.r_[many / many.sum(), seen[negative] / seen[negative].sum()] * (len(positive) + len(negative)) / 2
+        w, bias = _svm(k @ root, np.r_[np.ones(len(positive)), -np.ones(len(negative))], share)
+        machine = ToxicWords(_folded(landmarks, root @ w), bias, {})
+        scores = machine.word_scores(words)
+    machine.calibration = fit_logistic(machine.margins(bags), y_all.astype(float), ridge=1e-3, weight=standing)
+    machine.known.clear()
     return machine
 
 
+def _inverse_root(kernel: np.ndarray) -> np.ndarray:
+    values, vectors = np.linalg.eigh(kernel + 1e-6 * np.eye(len(kernel)))
+    return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+
+
 def _runs(word: str) -> set[str]:
     return {word[i : i + n] for n in range(ORDER, LONGEST_RUN + 1) for i in range(len(word) - n + 1)}
 
@@ -258,8 +285,12 @@ def _telling(bags: list) -> dict[str, float]:
             if y or run in counts[1]:
                 counts[y][run] = counts[y].get(run, 0) + 1
     n = [max(1, sum(y == k for y, _ in bags)) for k in (0, 1)]
-    ratio = {run: np.log((c + 0.1) / n[1]) - np.log((counts[0].get(run, 0) + 0.5) / n[0]) for run, c in counts[1].items() if c >= max(3, TELLING_SHARE * n[1])}
-    value = {run: r * counts[1][run] ** 0.5 for run, r in ratio.items() if r > np.log(TELLING_RATIO)}
+    value = {}
+    for run, c in counts[1].items():
+        other = counts[0].get(run, 0)
+        least = np.log((c + 0.1) / n[1]) - np.log((other + 0.5) / n[0]) - TELLING_ERRORS * (1 / c + 1 / (other + 1)) ** 0.5
+        if least > np.log(TELLING_RATIO):
+            value[run] = least * c**0.5
     return {w: max((value.get(run, 0.0) for run in _runs(w)), default=0.0) for y, b in bags if y == 1 for w in b}
 
 
@@ -269,7 +300,7 @@ def _landmarks(positives: list[str], hard: list[str], negatives: list[str]) -> l
     rng = np.random.default_rng(11)
     chosen: list[str] = []
     for words, many in ((positives, LANDMARKS // 2), (hard, LANDMARKS // 4)):
-        pool = words if len(words) <= 1500 else [words[i] for i in sorted(rng.choice(len(words), 1500, replace=False))]
+        pool = words if len(words) <= POOL else [words[i] for i in sorted(rng.choice(len(words), POOL, replace=False))]
         pool = _stems(pool)
         near = np.zeros(len(pool))
         for _ in range(min(len(pool), many)):
@@ -287,7 +318,7 @@ def _landmarks(positives: list[str], hard: list[str], negatives: list[str]) -> l
 def _stems(words: list[str]) -> list[str]:
     """Words as landmarks: no marks, one stretch, each once, in their order."""
     plain = ("".join(filter(str.isalnum, w))[:STRETCH] for w in words)
-    return list(dict.fromkeys(w for w in plain if len(w) >= ORDER))
+    return list(dict.fromkeys(w for w in plain if len(w) >= 2))
 
 
 def _folded(landmarks: list[str], alpha: np.ndarray) -> np.ndarray:
@@ -301,26 +332,28 @@ def _folded(landmarks: list[str], alpha: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, machine: ToxicWords) -> DataFrame:
     """``docs`` → ``(doc_id, score)``: null text counts as empty, rows stay as they are, an empty table gives no rows.
 
-    The machine (10 MB whatever the corpus) goes to the executors as a broadcast.
+    The machine (12 MB whatever the corpus) goes to the executors as a broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf(DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
         model = shared.value
-        known = _KNOWN.setdefault(id(model), {})
-        return pd.Series(model.probabilities(model.margins(texts, known)))
+        return pd.Series(model.probabilities(model.margins([tokens(t) for t in texts])))
 
     return docs.select("doc_id", scored("text").alias("score"))
 
 
-#: In a worker: the margins of words seen so far, for the machine at hand.
-_KNOWN: dict[int, dict[str, float]] = {}
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def sentences(texts: pd.Series) -> pd.Series:
+    return texts.map(sentence_words, na_action=None)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = crc_remainder("doc_id", 5) == 0
     labels = table(spark, sf_dir, "labels")
-    machine = fit(labelled_sample(docs, labels, "toxic", SAMPLE_PER_CLASS, out), class_weights(labels, "toxic", SAMPLE_PER_CLASS, out))
+    sample = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", SAMPLE_PER_CLASS, out)
+    rows = sample.select("doc_id", "y", sentences("text").alias("sentences")).orderBy("doc_id").collect()  # words of a bounded sample, not texts
+    machine = fit(rows, class_weights(labels, "toxic", SAMPLE_PER_CLASS, out))
     return score(docs, machine).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
