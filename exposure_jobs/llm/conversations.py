@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from exposure_jobs.llm.common import table
+from exposure_jobs.llm.common import checkpointed, table
 
 
 def turn_prefixes(turns: DataFrame) -> DataFrame:
-    """``turns(conv_id, turn, role, text)`` → ``(conv_id, k, h1, h2, n)``: a rolling 128-bit hash of each conversation's first k turns.
+    """``turns(conv_id, turn, role, text)`` → ``(conv_id, k, n, h1, h2)``: a rolling 128-bit hash of each conversation's first k of n turns.
 
     A turn's hash covers its place, so the xor of the first k tells their sequence; it rolls on in one window, without gathering turns.
     """
     once = turns.filter(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text").distinct()
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    numbered = once.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("conv_id")))
     content = [F.col("k"), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
+    hashed = once.withColumn("k", F.row_number().over(order)).select("conv_id", "k", *(F.xxhash64(F.lit(seed), *content).alias(name) for seed, name in ((1, "h1"), (2, "h2"))))
     upto = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    rolling = [F.bit_xor(F.xxhash64(F.lit(seed), *content)).over(upto).alias(name) for seed, name in ((1, "h1"), (2, "h2"))]
-    return numbered.select("conv_id", "k", "n", "role", "text", *rolling)
+    return hashed.select("conv_id", "k", F.count("*").over(Window.partitionBy("conv_id")).alias("n"), *(F.bit_xor(h).over(upto).alias(h) for h in ("h1", "h2")))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """``(conv_id)`` of conversations that no other one continues; of equal conversations the one with the least id."""
-    prefixes = turn_prefixes(turns)
-    longest = prefixes.groupBy("h1", "h2", "k").agg(F.max("n").alias("longest"), F.min(F.when(F.col("k") == F.col("n"), F.col("conv_id"))).alias("first"))
-    whole = prefixes.filter(F.col("k") == F.col("n")).select("conv_id", "h1", "h2", "k")
-    covered = longest.filter((F.col("longest") > F.col("k")) & F.col("first").isNotNull()).select("h1", "h2", "k")
-    kept = whole.join(covered, ["h1", "h2", "k"], "left_anti")
-    firsts = longest.select("h1", "h2", "k", F.col("first").alias("conv_id"))
-    return kept.join(firsts, ["h1", "h2", "k", "conv_id"], "left_semi").select("conv_id")
+    """``(conv_id)`` of conversations that no other one continues; of equal conversations the one with the least id.
+
+    Prefixes are counted into one row each before anything is joined, so a prefix that very many conversations share is one row on
+    either side of the anti-join.
+    """
+    prefixes = checkpointed(turn_prefixes(turns))
+    each = prefixes.groupBy("h1", "h2", "k").agg(F.max("n").alias("longest"), F.min(F.when(F.col("k") == F.col("n"), F.col("conv_id"))).alias("first"))
+    ends, continued = each.filter(F.col("first").isNotNull()), each.filter(F.col("longest") > F.col("k"))
+    return ends.join(continued, ["h1", "h2", "k"], "left_anti").select(F.col("first").alias("conv_id"))
 
 
 def rendered(turns: DataFrame) -> DataFrame:
@@ -39,10 +39,10 @@ def rendered(turns: DataFrame) -> DataFrame:
     Defined cases: turns are ordered by number, then role and text, nulls first; repeated rows count once; rows without a conv_id
     are left out; a null role is rendered as ``unknown``, a null text as nothing; an empty table gives no rows; other columns are ignored.
     """
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    kept = turn_prefixes(turns).select("conv_id", "k", line.alias("line")).join(maximal(turns), "conv_id", "left_semi")
-    whole = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("t"))  # one conversation, as it is rendered
-    return whole.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.concat_ws("", F.transform("t", lambda t: t["line"])).alias("text"))
+    kept = turns.select("conv_id", "turn", "role", "text").join(maximal(turns), "conv_id", "left_semi")
+    whole = kept.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("t"))  # one conversation, as it is rendered
+    line = lambda t: F.concat(F.lit("<|"), F.coalesce(t["role"], F.lit("unknown")), F.lit("|>\n"), F.coalesce(t["text"], F.lit("")), F.lit("\n"))
+    return whole.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.concat_ws("", F.transform("t", line)).alias("text"))
 
 
 def op6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
