@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from exposure_jobs.llm.common import table
+from exposure_jobs.llm.common import packed_row, table
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower")
 _SYMBOLS, _UPPER, _LOWER = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123))
@@ -80,8 +80,13 @@ def ledger(docs: DataFrame) -> DataFrame:
     an empty table gives no rows; other columns are ignored whatever their names.
     """
     measured = docs.select("doc_id", measure("text").alias("m")).select("doc_id", "m.*")
+    return measured.withColumn("failed", failed_bits())
+
+
+def failed_bits() -> Column:
+    """A bit for each rule that fails, over columns named as MEASURES."""
     bits = [F.when(F.expr(rule), F.lit(1 << n)).otherwise(0) for n, rule in enumerate(RULES.values())]
-    return measured.withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("int"))
+    return reduce(lambda a, b: a.bitwiseOR(b), bits).cast("int")
 
 
 def passes(failed: str | Column, policy: str = PRODUCTION) -> Column:
@@ -107,16 +112,12 @@ def ablations(rows: DataFrame, policy: str = PRODUCTION) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, in the same columns."""
-    measured = docs.withColumn("__m", measure("text"))
-    good = reduce(lambda a, b: a & b, (~F.expr(_over("__m", RULES[r])) for r in POLICIES[policy]))
-    return measured.filter(good).select(*docs.columns)
-
+    """The rows of ``docs`` that the policy keeps by their ledger bits, in the same columns.
 
-def _over(struct: str, rule: str) -> str:
-    for name in MEASURES:
-        rule = rule.replace(name, f"{struct}.{name}")
-    return rule
+    Defined cases: as :func:`ledger`; other columns stay as they are, whatever their names.
+    """
+    judged = packed_row(docs, m=measure("text")).select("row", "m.*").withColumn("failed", failed_bits())
+    return judged.filter(passes("failed", policy)).select("row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP8_SQL = r"""
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy costs, from the ledger of the whole table."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
+_LEDGER_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -142,6 +148,15 @@ a AS (SELECT m.*, coalesce(r.n_repeat_words, 0) AS n_repeat_words FROM m LEFT JO
 f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
              + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
              + CASE WHEN n_upper + n_lower >= 50 AND 2 * n_upper > n_upper + n_lower THEN 16 ELSE 0 END
-             + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 32 ELSE 0 END)::INTEGER AS failed FROM a)
+             + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 32 ELSE 0 END)::INTEGER AS failed FROM a)"""
+
+OP8_SQL = f"""{_LEDGER_SQL}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed, 'v2' AS policy FROM f
 """
+
+ABLATIONS_SQL = f"""{_LEDGER_SQL},
+u AS (SELECT unnest([{", ".join(f"'{r}'" for r in POLICIES[PRODUCTION])}]) AS rule, unnest([{", ".join(str(1 << n) for n, r in enumerate(RULES) if r in POLICIES[PRODUCTION])}]) AS bit)
+SELECT rule, count(*) FILTER ((failed & bit) <> 0)::BIGINT AS n_failed, count(*) FILTER (failed = bit)::BIGINT AS n_failed_alone,
+       count(*) FILTER (failed = bit OR failed = 0)::BIGINT AS n_kept_without, coalesce(bit_or(failed - bit) FILTER ((failed & bit) <> 0), 0)::INTEGER AS together
+FROM f, u GROUP BY rule
+"""

@@ -11,6 +11,7 @@ QUERIES = {
     "op6_conversations": conversations.op6_conversations,
     "op7_bpe": bpe.op7_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "rule_ablations": quality_rules.rule_ablations,
     "op9_sanitise": sanitise.op9_sanitise,
     "op10_compression_quality": compression_quality.op10_compression_quality,
 }
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op6_conversations": conversations.OP6_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "rule_ablations": quality_rules.ABLATIONS_SQL,
 }
