@@ -4,7 +4,9 @@ Counts of all n-grams up to ORDER are too many to send one row each, so document
 1. each block sends its distinct n-grams, as sorted 64-bit hashes with their counts, to the hash partitions of the count table;
 2. each partition adds them up and answers every block with the totals of what it asked, in the order asked;
 3. the block, joined with its answers, has the counts of every place and sums the scores of its documents.
-A frequent n-gram is one entry of each block, so it makes no partition larger than the number of blocks does.
+A frequent n-gram is one entry of each block, so it makes no partition larger than the number of blocks does. A block sends a message
+to a partition only if it has an n-gram for it: messages grow with the square of the data while they hold many n-grams, and never
+outnumber the blocks' distinct n-grams, which grow in proportion.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ ORDER, ALPHA = 3, 0.4
 #: An n-gram that no other document has counts as this many at the lowest order.
 UNSEEN = 0.5
 #: Characters of text that a block should hold, and partitions of the count table for each block.
-BLOCK_CHARS, PARTITIONS_PER_BLOCK = 8_000_000, 4
+BLOCK_CHARS, PARTITIONS_PER_BLOCK = 8_000_000, 1
 _STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
