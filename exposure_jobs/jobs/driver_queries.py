@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from exposure_jobs.functions.timing import micros
@@ -161,23 +161,77 @@ def class_weights(s, d, horizons=SCORED):
 
 
 def exposure_models(s, d):
-    parameters, _ = train.train(testbed.tables(s, d).matrix.cache(), skip_single_class=True)
-    each = parameters.select("region_id", "horizon", F.posexplode("features").alias("i", "feature"), "coefs", "intercept", "n_fit")
-    return each.select("region_id", "horizon", "feature", F.round(F.element_at("coefs", F.col("i") + 1), 6).alias("coef"), F.round("intercept", 6).alias("intercept"), "n_fit")
+    parameters, _ = train.train(testbed.tables(s, d).matrix.cache(), constant_single_class=True)
+    each = parameters.select("region_id", "horizon", F.posexplode("features").alias("i", "feature"), "coefs", "intercept", "n_fit", "status")
+    return each.select("region_id", "horizon", "feature", F.round(F.element_at("coefs", F.col("i") + 1), 6).alias("coef"), F.round("intercept", 6).alias("intercept"), "n_fit", "status")
 
 
 def model_report(s, d):
     matrix = testbed.tables(s, d).matrix.cache()
-    return _rounded(train.report(matrix, *train.train(matrix, skip_single_class=True)))
+    return _rounded(train.report(matrix, *train.train(matrix, constant_single_class=True)))
 
 
 def forecast_latest(s, d):
     matrix = testbed.tables(s, d).matrix.cache()
-    parameters, calibrators = train.train(matrix, skip_single_class=True)
+    parameters, calibrators = train.train(matrix, constant_single_class=True)
     made = forecast.forecast(matrix, parameters, calibrators, testbed.regions(s, d), features.matrix_features(matrix.columns), testbed.SETTINGS.display_timezone)
     return _rounded(_us(made))
 
 
+def report_table(s, d):
+    matrix = testbed.tables(s, d).matrix.cache()
+    return train.report_table(train.report(matrix, *train.train(matrix, constant_single_class=True)), train.report_header(matrix))
+
+
+def report_header(s, d):
+    return train.report_header(testbed.tables(s, d).matrix)
+
+
+def forecast_listing(s, d):
+    matrix = testbed.tables(s, d).matrix.cache()
+    made = forecast.forecast(matrix, *train.train(matrix, constant_single_class=True), testbed.regions(s, d), features.matrix_features(matrix.columns), testbed.SETTINGS.display_timezone)
+    return forecast.listing(made)
+
+
+def model_stationary(s, d):
+    """Is each fitted model at the optimum of its objective? The gradient there is recomputed from the rows."""
+    matrix = testbed.tables(s, d).matrix.cache()
+    found = model.gradients(matrix, model.fit_exposure_models(matrix, constant_single_class=True))
+    return found.select("region_id", "horizon", "status", (F.col("steepest") < 1e-6).alias("stationary")).filter("status = 'fitted'")
+
+
+def baseline_log_loss(s, d, horizons=SCORED):
+    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons))
+    return _rounded(metrics.proper_scores(rows, ["region_id", "horizon", "predictor"]).select("region_id", "horizon", "predictor", "log_loss"))
+
+
+def isotonic_midpoints(s, d, horizons=SCORED):
+    """What isotonic calibration makes of the middle between neighbouring seasonal rates of the validation rows."""
+    matrix = testbed.tables(s, d).matrix
+    made = baselines.predict_baselines(baselines.fit_baselines(matrix), matrix.filter("split = 'validation'"), list(horizons), ("seasonal",))
+    rows = baselines.long_predictions(made, list(horizons), ("seasonal",)).withColumn("p", F.round("p", 9))
+    order = Window.partitionBy("region_id", "horizon").orderBy("p")
+    points = rows.select("region_id", "horizon", "p").distinct().select("region_id", "horizon", F.row_number().over(order).alias("i"), ((F.col("p") + F.lead("p").over(order)) / 2).alias("p"))
+    done = model.calibrated(points.filter("p IS NOT NULL"), model.fit_calibrators(rows))
+    return done.select("region_id", "horizon", "i", F.round("p", 6).alias("fitted"))
+
+
+def qc_planted_durations(s, d):
+    """The duration check over events of which some, by a rule on the start, have their ends swapped."""
+    swapped = (F.unix_seconds("started_at") % 97 == 0) & F.col("finished_at").isNotNull()
+    either = lambda a, b: F.when(swapped, F.col(a)).otherwise(F.col(b)).alias(b)
+    rows = testbed.events(s, d).select("oblast", "admin_level", either("finished_at", "started_at"), either("started_at", "finished_at"))
+    return _us(qc.negative_durations(rows))
+
+
+def qc_planted_labels(s, d, horizons=SCORED):
+    """The label check over a panel in which every fiftieth hour has the other label."""
+    t = testbed.tables(s, d)
+    wrong = F.floor(F.unix_seconds("origin_hour") / 3600) % 50 == 0
+    origins = t.origins.withColumns({f"y_{k}": F.when(wrong, 1 - F.col(f"y_{k}")).otherwise(F.col(f"y_{k}")) for k in horizons})
+    return _us(qc.label_mismatches(origins, t.merged, list(horizons)).select("region_id", "origin_hour", "horizon", "y", "want"))
+
+
 def isotonic_seasonal(s, d, horizons=SCORED):
     """The seasonal rates of the validation rows and what isotonic calibration makes of them."""
     matrix = testbed.tables(s, d).matrix
@@ -248,7 +302,7 @@ def x_overlapping_types(s, d):
 
 def x_older_weight(s, d):
     matrix = testbed.tables(s, d).matrix
-    made = model.fit_exposure_models(matrix, older_weight=0.25, skip_single_class=True)
+    made = model.fit_exposure_models(matrix, older_weight=0.25, constant_single_class=True)
     return made.select("region_id", "horizon", F.round("intercept", 6).alias("intercept"), "n_fit")
 
 
@@ -312,6 +366,17 @@ l6 AS (SELECT region_id, t, horizon, y, predictor, round(p, 6) AS p FROM lp)"""
 _SCORES = f"{_PRED},\nsc AS (SELECT region_id, horizon, predictor, count(*)::BIGINT AS n_samples, avg(y) AS positive_rate, avg((p - y) * (p - y)) AS brier_score FROM lp GROUP BY ALL)"
 
 
+_ISOTONIC = f"""WITH {_RATES}, va AS ({" UNION ALL ".join(f"SELECT region_id, hour_of_week_kyiv AS how, {k} AS horizon, y_{k} AS y FROM matrix WHERE split = 'validation'" for k in SCORED)}),
+        q AS (SELECT va.region_id, va.horizon, va.y, round(coalesce(rs.hits::DOUBLE / rs.n, rm.hits::DOUBLE / rm.n), 9) AS x FROM va JOIN rm ON va.region_id = rm.region_id AND va.horizon = rm.horizon
+              LEFT JOIN rs ON va.region_id = rs.region_id AND va.horizon = rs.horizon AND va.how = rs.how),
+        pt AS (SELECT region_id, horizon, x, count(*) AS n, sum(y) AS s FROM q GROUP BY ALL),
+        pr AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(s) OVER w AS cs, sum(s) OVER v AS ts, sum(n) OVER v AS tn FROM pt
+               WINDOW w AS (PARTITION BY region_id, horizon ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY region_id, horizon)),
+        mm AS (SELECT a.region_id, a.horizon, a.i AS j, i.i AS i, min((k.cs - a.cs + a.s)::DOUBLE / (k.cn - a.cn + a.n)::DOUBLE) AS lo FROM pr a
+               JOIN pr i ON a.region_id = i.region_id AND a.horizon = i.horizon AND a.i <= i.i JOIN pr k ON a.region_id = k.region_id AND a.horizon = k.horizon AND k.i >= i.i GROUP BY ALL),
+        ft AS (SELECT region_id, horizon, i, max(lo) AS f FROM mm GROUP BY ALL)"""
+
+
 def _typed_sql(name: str) -> str:
     return f"{name} AS (SELECT region_id, level AS kind, s, e FROM closed)"
 
@@ -353,16 +418,22 @@ ORACLE_SQL = {
         SELECT f.region_id, f.feature, round(any_value(m.median), 9) AS median, round(avg(coalesce(v, m.median, 0)), 9) AS mean, round(stddev_pop(coalesce(v, m.median, 0)), 9) AS deviation FROM f JOIN m ON f.region_id = m.region_id AND f.feature = m.feature GROUP BY f.region_id, f.feature""",
     "class_weights": f"""WITH {_FEATURES}, l AS ({" UNION ALL ".join(f"SELECT region_id, {k} AS horizon, y_{k} AS y FROM matrix WHERE in_primary_train" for k in SCORED)}), c AS (SELECT region_id, horizon, count(*) AS n, sum(y) AS p FROM l GROUP BY ALL)
         SELECT region_id, horizon, n::BIGINT AS n, round(n::DOUBLE / nullif(2 * (n - p), 0)::DOUBLE, 6) AS weight_0, round(n::DOUBLE / nullif(2 * p, 0)::DOUBLE, 6) AS weight_1 FROM c""",
-    "isotonic_seasonal": f"""WITH {_RATES}, va AS ({" UNION ALL ".join(f"SELECT region_id, hour_of_week_kyiv AS how, {k} AS horizon, y_{k} AS y FROM matrix WHERE split = 'validation'" for k in SCORED)}),
-        q AS (SELECT va.region_id, va.horizon, va.y, round(coalesce(rs.hits::DOUBLE / rs.n, rm.hits::DOUBLE / rm.n), 9) AS x FROM va JOIN rm ON va.region_id = rm.region_id AND va.horizon = rm.horizon
-              LEFT JOIN rs ON va.region_id = rs.region_id AND va.horizon = rs.horizon AND va.how = rs.how),
-        pt AS (SELECT region_id, horizon, x, count(*) AS n, sum(y) AS s FROM q GROUP BY ALL),
-        pr AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(s) OVER w AS cs, sum(s) OVER v AS ts, sum(n) OVER v AS tn FROM pt
-               WINDOW w AS (PARTITION BY region_id, horizon ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY region_id, horizon)),
-        mm AS (SELECT a.region_id, a.horizon, a.i AS j, i.i AS i, min((k.cs - a.cs + a.s)::DOUBLE / (k.cn - a.cn + a.n)::DOUBLE) AS lo FROM pr a
-               JOIN pr i ON a.region_id = i.region_id AND a.horizon = i.horizon AND a.i <= i.i JOIN pr k ON a.region_id = k.region_id AND a.horizon = k.horizon AND k.i >= i.i GROUP BY ALL),
-        ft AS (SELECT region_id, horizon, i, max(lo) AS f FROM mm GROUP BY ALL)
+    "isotonic_seasonal": f"""{_ISOTONIC}
         SELECT pr.region_id, pr.horizon, round(pr.x, 9) AS x, round(CASE WHEN ts = 0 OR ts = tn THEN pr.x ELSE f END, 9) AS fitted FROM pr JOIN ft ON pr.region_id = ft.region_id AND pr.horizon = ft.horizon AND pr.i = ft.i""",
+    "isotonic_midpoints": f"""{_ISOTONIC},
+        nb AS (SELECT pr.region_id, pr.horizon, pr.i, CASE WHEN ts = 0 OR ts = tn THEN pr.x ELSE f END AS v FROM pr JOIN ft ON pr.region_id = ft.region_id AND pr.horizon = ft.horizon AND pr.i = ft.i),
+        md AS (SELECT region_id, horizon, i::INTEGER AS i, (v + lead(v) OVER (PARTITION BY region_id, horizon ORDER BY i)) / 2 AS m FROM nb)
+        SELECT region_id, horizon, i, round(m, 6) AS fitted FROM md WHERE m IS NOT NULL""",
+    "report_header": f"""WITH {_FEATURES} SELECT region_id, count(*) FILTER (in_primary_train)::BIGINT AS train_rows, count(*) FILTER (split = 'validation')::BIGINT AS validation_rows,
+        count(*) FILTER (split = 'test')::BIGINT AS test_rows, {len(features.feature_columns(LAGS))} AS feature_count, 'isotonic' AS calibration_method FROM matrix GROUP BY region_id""",
+    "model_stationary": f"""WITH {_FEATURES}, l AS ({" UNION ALL ".join(f"SELECT region_id, {k} AS horizon, y_{k} AS y FROM matrix WHERE in_primary_train" for k in HORIZONS)})
+        SELECT region_id, horizon, 'fitted' AS status, true AS stationary FROM l GROUP BY region_id, horizon HAVING min(y) < max(y)""",
+    "baseline_log_loss": f"""WITH {_PRED}, q AS (SELECT *, least(greatest(p, {metrics.EPSILON!r}::DOUBLE), 1 - {metrics.EPSILON!r}::DOUBLE) AS q FROM lp)
+        SELECT region_id, horizon, predictor, round(avg(-ln(CASE WHEN y = 1 THEN q ELSE 1 - q END)), 6) AS log_loss FROM q GROUP BY ALL""",
+    "qc_planted_durations": f"""WITH {_RAW}, w AS (SELECT *, epoch_us(s) // 1000000 % 97 = 0 AND e0 IS NOT NULL AS swapped FROM raw),
+        x AS (SELECT region_id AS oblast, level AS admin_level, CASE WHEN swapped THEN e0 ELSE s END AS a, CASE WHEN swapped THEN s ELSE e0 END AS b FROM w)
+        SELECT oblast, admin_level, epoch_us(a) AS started_at_us, epoch_us(b) AS finished_at_us FROM x WHERE b < a""",
+    "qc_planted_labels": f"WITH {_GRID} " + " UNION ALL ".join(f"SELECT region_id, epoch_us(t) AS origin_hour_us, {k} AS horizon, 1 - y_{k} AS y, y_{k} AS want FROM panel WHERE epoch_us(t) // 3600000000 % 50 = 0" for k in SCORED),
     "manifest": f"""WITH {_GRID}, i AS (SELECT region_id, count(*) AS n FROM merged GROUP BY region_id)
         SELECT p.region_id, any_value(i.n)::BIGINT AS interval_count, count(*)::BIGINT AS origin_count, sum(active)::BIGINT AS active_origin_count, epoch_us(min(t)) AS range_start_us, epoch_us(max(t)) AS range_end_us, epoch_us(any_value(c)) AS test_end_us, 'events' AS source
         FROM panel p JOIN i ON p.region_id = i.region_id JOIN cut ON p.region_id = cut.region_id GROUP BY p.region_id""",
@@ -387,6 +458,7 @@ QUERIES = {
         baseline_rates, baseline_predictions, baseline_scores, average_precision, brier_uplift, era_scores, reliability_bins, calibration_error, false_alarm_threshold, monotone_forecast,
         feature_scaling, class_weights, isotonic_seasonal, exposure_models, model_report, forecast_latest, manifest, qc_raw_drift, qc_negative_durations, qc_overlaps, qc_label_mismatches,
         x_deduped, x_sub_units, x_minutes, x_type_union, x_activity_by_type, x_overlapping_types, x_older_weight, x_sufficiency, x_durations,
+        report_table, report_header, forecast_listing, model_stationary, baseline_log_loss, isotonic_midpoints, qc_planted_durations, qc_planted_labels,
     )
 }
 

@@ -11,26 +11,35 @@ from exposure_jobs.config import Settings
 from exposure_jobs.operators.baselines import fit_baselines, long_predictions, predict_baselines
 from exposure_jobs.operators.features import matrix_features
 from exposure_jobs.operators.metrics import evaluate
-from exposure_jobs.operators.model import calibrated, fit_calibrators, fit_exposure_models, predict_raw, with_labels
+from exposure_jobs.operators.model import calibrated, fit_calibrators, fit_exposure_models, predict_raw
 from exposure_jobs.operators.panel import label_columns
 from exposure_jobs.sources.alerts import read_by_region, save_models, write_report
 
 
-def train(matrix: DataFrame, method: str = "isotonic", skip_single_class: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Parameters fitted on primary-train rows, calibrators on validation rows."""
+def train(matrix: DataFrame, method: str = "isotonic", constant_single_class: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Parameters fitted on primary-train rows, calibrators on validation rows; a matrix without validation rows is an error."""
     features = matrix_features(matrix.columns)
     horizons = [int(c[2:]) for c in label_columns(matrix.columns)]
-    parameters = fit_exposure_models(matrix, skip_single_class=skip_single_class).cache()
-    validation = matrix.filter("split = 'validation'")
-    return parameters, fit_calibrators(with_labels(predict_raw(validation, parameters, features), validation, horizons), method).cache()
+    validation = _some(matrix, "validation")
+    parameters = fit_exposure_models(matrix, constant_single_class=constant_single_class).cache()
+    return parameters, fit_calibrators(predict_raw(validation, parameters, features, horizons), method).cache()
+
+
+def _some(matrix: DataFrame, split: str) -> DataFrame:
+    rows = matrix.filter(F.col("split") == split)
+    if rows.isEmpty():
+        raise ValueError(f"no {split} rows")
+    return rows
 
 
 def report(matrix: DataFrame, parameters: DataFrame, calibrators: DataFrame, baselines: tuple[str, ...] = ("persistence", "seasonal", "marginal")) -> DataFrame:
-    """Model and baselines on the test rows: all metrics, and the uplift over each baseline beside the model's row."""
+    """Model and baselines on the test rows: all metrics, and the uplift over each baseline beside the model's row. A matrix without
+    test rows, or without train rows for the baselines, is an error."""
     features = matrix_features(matrix.columns)
     horizons = [int(c[2:]) for c in label_columns(matrix.columns)]
-    test = matrix.filter("split = 'test'")
-    model = with_labels(calibrated(predict_raw(test, parameters, features), calibrators), test, horizons).withColumn("predictor", F.lit("model"))
+    test = _some(matrix, "test")
+    _some(matrix, "train")
+    model = calibrated(predict_raw(test, parameters, features, horizons), calibrators).withColumn("predictor", F.lit("model"))
     rates = fit_baselines(matrix)
     based = long_predictions(predict_baselines(rates, test, horizons, baselines), horizons, baselines)
     scores = evaluate(model.select(*based.columns).unionByName(based))
@@ -39,18 +48,36 @@ def report(matrix: DataFrame, parameters: DataFrame, calibrators: DataFrame, bas
     return scores.join(own, ["region_id", "horizon"]).withColumn("model_uplift", F.col("brier_score") - F.col("__own")).drop("__own")
 
 
+def report_header(matrix: DataFrame, method: str = "isotonic") -> DataFrame:
+    """``region_id, train_rows, validation_rows, test_rows, feature_count, calibration_method``: what a region's report rests on."""
+    count = lambda rows: F.sum(F.when(rows, 1).otherwise(0)).cast("bigint")
+    counts = matrix.groupBy("region_id").agg(count(F.col("in_primary_train")).alias("train_rows"), *(count(F.col("split") == s).alias(f"{s}_rows") for s in ("validation", "test")))
+    return counts.withColumns({"feature_count": F.lit(len(matrix_features(matrix.columns))), "calibration_method": F.lit(method)})
+
+
+def report_table(scores: DataFrame, header: DataFrame) -> DataFrame:
+    """The report as lines, ``(region_id, line_number, line)``: first what it rests on, then a line for each horizon with the Brier
+    scores of model and baselines."""
+    top = header.select("region_id", F.lit(0).alias("line_number"), F.format_string("%s: %d train, %d validation, %d test rows, %d features, %s", "region_id", "train_rows", "validation_rows", "test_rows", "feature_count", "calibration_method").alias("line"))
+    brier = lambda name: F.coalesce(F.format_number(F.max(F.when(F.col("predictor") == name, F.col("brier_score"))), 3), F.lit("-"))
+    each = F.concat_ws("  ", F.concat(F.lit("+"), F.col("horizon"), F.lit("h")), *(F.concat(F.lit(f"{n} "), brier(n)) for n in ("model", "persistence", "seasonal", "marginal")))
+    lines = scores.groupBy("region_id", "horizon").agg(each.alias("line")).select("region_id", F.col("horizon").alias("line_number"), "line")
+    return top.unionByName(lines).orderBy("region_id", "line_number")
+
+
 def main(argv: list[str] | None = None) -> None:
     asked = argparse.ArgumentParser(description=__doc__)
     asked.add_argument("matrix")
     asked.add_argument("out")
     asked.add_argument("--calibration", default=Settings().calibration)
+    asked.add_argument("--constant-single-class", action="store_true", help="a horizon whose labels are all alike gets a constant model, not an error")
     given = asked.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     matrix = read_by_region(spark, given.matrix).cache()
-    parameters, calibrators = train(matrix, given.calibration)
+    parameters, calibrators = train(matrix, given.calibration, given.constant_single_class)
     save_models(parameters, f"{given.out}/parameters")
     save_models(calibrators, f"{given.out}/calibrators")
-    write_report(report(matrix, parameters, calibrators), f"{given.out}/report")
+    write_report(report(matrix, parameters, calibrators), report_header(matrix, given.calibration), f"{given.out}/report")
 
 
 if __name__ == "__main__":

@@ -11,7 +11,7 @@ from exposure_jobs.functions.solvers import newton_logistic, pool_adjacent_viola
 from exposure_jobs.operators.features import matrix_features
 from exposure_jobs.operators.panel import label_columns
 
-PARAMETERS = "region_id string, horizon int, features array<string>, medians array<double>, means array<double>, scales array<double>, coefs array<double>, intercept double, n_fit long"
+PARAMETERS = "region_id string, horizon int, features array<string>, medians array<double>, means array<double>, scales array<double>, coefs array<double>, intercept double, n_fit long, status string"
 CALIBRATION = "region_id string, horizon int, method string, knots_x array<double>, knots_y array<double>"
 
 
@@ -36,12 +36,16 @@ def class_weights(matrix: DataFrame, horizons: list[int], fit_rows: str = "in_pr
     return rows.select("region_id", "horizon", "n", weight(F.col("n") - F.col("pos")).alias("weight_0"), weight(F.col("pos")).alias("weight_1"))
 
 
-def fit_exposure_models(matrix: DataFrame, fit_rows: str = "in_primary_train", older_weight: float | None = None, skip_single_class: bool = False) -> DataFrame:
-    """One row of parameters for each region and horizon. A region's rows go to one task once (24 months of hours at most) and all
-    its horizons share the imputed, scaled matrix.
+#: The margin of a constant model: a probability of 0 or 1 as far as six digits go.
+CERTAIN = 35.0
 
-    A horizon whose labels are all alike fails, or is left out with ``skip_single_class``. With ``older_weight`` training rows before
-    the primary window take part with that weight.
+
+def fit_exposure_models(matrix: DataFrame, fit_rows: str = "in_primary_train", older_weight: float | None = None, constant_single_class: bool = False) -> DataFrame:
+    """One row of parameters for each region and horizon. A region's rows go to one task once (its primary window, or with
+    ``older_weight`` all its training hours) and all its horizons share the imputed, scaled matrix.
+
+    A horizon whose labels are all alike fails, or with ``constant_single_class`` gets a model that always says so (``status`` is then
+    ``constant``, else ``fitted``). With ``older_weight`` training rows before the primary window take part with that weight.
     """
     features, labels = matrix_features(matrix.columns), label_columns(matrix.columns)
     rows = matrix.filter(fit_rows) if older_weight is None else matrix.filter("split = 'train'")
@@ -60,60 +64,78 @@ def fit_exposure_models(matrix: DataFrame, fit_rows: str = "in_primary_train", o
         for label in labels:
             y = frame[label].to_numpy(np.float64)
             if y.min() == y.max():
-                if skip_single_class:
+                if constant_single_class:
+                    out.append((frame["region_id"].iloc[0], int(label[2:]), features, medians, mean, scale, np.zeros(len(features)), CERTAIN if y[0] else -CERTAIN, len(y), "constant"))
                     continue
                 raise ValueError(f"{frame['region_id'].iloc[0]}, {label}: the labels are all alike")
             share = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
             w, b = newton_logistic(z, y, share * base)
-            out.append((frame["region_id"].iloc[0], int(label[2:]), features, medians, mean, scale, w, b, len(y)))
-        return pd.DataFrame(out, columns=["region_id", "horizon", "features", "medians", "means", "scales", "coefs", "intercept", "n_fit"])
+            out.append((frame["region_id"].iloc[0], int(label[2:]), features, medians, mean, scale, w, b, len(y), "fitted"))
+        return pd.DataFrame(out, columns=["region_id", "horizon", "features", "medians", "means", "scales", "coefs", "intercept", "n_fit", "status"])
 
     return rows.groupBy("region_id").applyInPandas(fit, PARAMETERS)
 
 
-def predict_raw(rows: DataFrame, parameters: DataFrame, features: list[str]) -> DataFrame:
-    """``(region_id, origin_hour, horizon, p)`` for all rows and horizons; a missing feature column is an error."""
+def predict_raw(rows: DataFrame, parameters: DataFrame, features: list[str], horizons: list[int] | None = None) -> DataFrame:
+    """``(region_id, origin_hour, horizon, p)`` for all rows and horizons, with the label ``y`` of the row for ``horizons``; a missing
+    feature column is an error. Labels ride along with their row, so nothing is joined back."""
     if missing := sorted(set(features) - set(rows.columns)):
         raise ValueError(f"missing features {missing}")
     x = F.array(*(F.col(f).cast("double") for f in features))
-    joined = rows.select("region_id", "origin_hour", x.alias("x")).join(parameters, "region_id")
+    labels = [] if horizons is None else [F.array(*(F.col(f"y_{k}") for k in horizons)).alias("labels")]
+    joined = rows.select("region_id", "origin_hour", x.alias("x"), *labels).join(parameters, "region_id")
     filled = F.zip_with("x", "medians", lambda a, m: F.coalesce(a, m))
     centred = F.zip_with(F.zip_with(filled, "means", lambda a, m: a - m), "scales", lambda a, s: a / s)
     margin = F.aggregate(F.zip_with(centred, "coefs", lambda a, w: a * w), F.col("intercept"), lambda t, v: t + v)
-    return joined.select("region_id", "origin_hour", "horizon", (1 / (1 + F.exp(-margin))).alias("p"))
+    own = [] if horizons is None else [F.element_at("labels", F.array_position(F.array(*map(F.lit, horizons)), F.col("horizon")).cast("int")).alias("y")]
+    return joined.select("region_id", "origin_hour", "horizon", *own, (1 / (1 + F.exp(-margin))).alias("p"))
 
 
-def with_labels(predictions: DataFrame, matrix: DataFrame, horizons: list[int]) -> DataFrame:
-    each = F.array(*(F.struct(F.lit(k).alias("horizon"), F.col(f"y_{k}").alias("y")) for k in horizons))
-    labels = matrix.select("region_id", "origin_hour", F.explode(each).alias("e")).select("region_id", "origin_hour", "e.*")
-    return predictions.join(labels, ["region_id", "origin_hour", "horizon"])
+def gradients(matrix: DataFrame, parameters: DataFrame, fit_rows: str = "in_primary_train") -> DataFrame:
+    """``(region_id, horizon, status, steepest)``: the greatest component of the fit's gradient at the returned coefficients.
+
+    Recomputed row by row from the written objective, apart from the solver: at the optimum it is zero.
+    """
+    features, labels = matrix_features(matrix.columns), label_columns(matrix.columns)
+    horizons = [int(c[2:]) for c in labels]
+    rows = matrix.filter(fit_rows)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("horizon"), F.col(f"y_{k}").cast("double").alias("y")) for k in horizons))).alias("e")
+    x = F.array(*(F.col(f).cast("double") for f in features)).alias("x")
+    met = rows.select("region_id", x, each).select("region_id", "x", "e.*").join(parameters, ["region_id", "horizon"]).join(class_weights(matrix, horizons, fit_rows).drop("n"), ["region_id", "horizon"])
+    z = F.transform(F.zip_with(F.zip_with("x", "medians", lambda a, m: F.coalesce(a, m)), "means", lambda a, m: a - m), lambda d, i: d / F.col("scales")[i])
+    met = met.select("region_id", "horizon", "status", "coefs", "intercept", "y", F.when(F.col("y") == 1, F.col("weight_1")).otherwise(F.col("weight_0")).alias("w"), z.alias("z"))
+    margin = F.aggregate(F.zip_with("z", "coefs", lambda a, w: a * w), F.col("intercept"), lambda t, v: t + v)
+    pull = met.select("region_id", "horizon", "status", "coefs", "z", (F.col("w") * (1 / (1 + F.exp(-margin)) - F.col("y"))).alias("r"))
+    sums = pull.groupBy("region_id", "horizon", "status").agg(F.first("coefs").alias("coefs"), F.sum("r").alias("free"), F.array(*(F.sum(F.col("r") * F.col("z")[i]) for i in range(len(features)))).alias("g"))
+    steepest = F.greatest(F.abs("free"), F.array_max(F.transform(F.zip_with("g", "coefs", lambda a, w: a + w), F.abs)))
+    return sums.select("region_id", "horizon", "status", steepest.alias("steepest"))
 
 
 def fit_calibrators(labelled: DataFrame, method: str = "isotonic") -> DataFrame:
     """``(region_id, horizon, p, y)`` of validation rows → a calibrator for each region and horizon.
 
     Labels of one class give the identity; ``isotonic`` knots of the non-decreasing fit; ``sigmoid`` the two numbers of a logistic
-    fit on the probability itself. Scores of a group are counted before they go to one task.
+    fit on the probability itself. A region's validation rows go to one task (a few weeks of hours for each horizon).
     """
     if method not in ("isotonic", "sigmoid"):
         raise ValueError(f"unknown calibration {method!r}")
     rows = labelled.select("region_id", "horizon", F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)).alias("p"), F.col("y").cast("double").alias("y"))
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        p, y = frame["p"].to_numpy(), frame["y"].to_numpy()
-        key = frame["region_id"].iloc[0], int(frame["horizon"].iloc[0])
+    def fit_one(key: tuple, p: np.ndarray, y: np.ndarray) -> tuple:
         if y.min() == y.max():
-            made = (*key, "identity", [], [])
-        elif method == "isotonic":
+            return (*key, "identity", [], [])
+        if method == "isotonic":
             x, level = pool_adjacent_violators(p, y)
             bend = np.r_[True, level[1:] != level[:-1]] | np.r_[level[:-1] != level[1:], True]  # a level stretch needs its ends only
-            made = (*key, method, list(x[bend]), list(level[bend]))
-        else:
-            w, b = newton_logistic(p.reshape(-1, 1), y, np.ones(len(y)))
-            made = (*key, method, [float(w[0])], [b])
-        return pd.DataFrame([made], columns=["region_id", "horizon", "method", "knots_x", "knots_y"])
+            return (*key, method, list(x[bend]), list(level[bend]))
+        w, b = newton_logistic(p.reshape(-1, 1), y, np.ones(len(y)))
+        return (*key, method, [float(w[0])], [b])
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        made = [fit_one((region, int(horizon)), part["p"].to_numpy(), part["y"].to_numpy()) for (region, horizon), part in frame.groupby(["region_id", "horizon"])]
+        return pd.DataFrame(made, columns=["region_id", "horizon", "method", "knots_x", "knots_y"])
 
-    return rows.groupBy("region_id", "horizon").applyInPandas(fit, CALIBRATION)
+    return rows.groupBy("region_id").applyInPandas(fit, CALIBRATION)
 
 
 def calibrated(predictions: DataFrame, calibrators: DataFrame) -> DataFrame:

@@ -45,10 +45,16 @@ def manifest(merged: DataFrame, origins: DataFrame, boundaries: DataFrame, sourc
     return joined.withColumns(counts).withColumn("columns", F.lit(",".join(origins.columns))).withColumn("source", F.lit(source))
 
 
-def write_report(metrics: DataFrame, path: str) -> None:
-    """Metrics nested by region, as JSON lines."""
+def write_report(metrics: DataFrame, header: DataFrame, path: str) -> None:
+    """Metrics nested by region beside what they rest on, as JSON lines."""
     rest = [c for c in metrics.columns if c != "region_id"]
-    metrics.groupBy("region_id").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("horizons")).write.mode("overwrite").json(path)
+    metrics.groupBy("region_id").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("horizons")).join(header, "region_id").write.mode("overwrite").json(path)
+
+
+def read_raw_manifest(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """Column list and row count that a raw feed's JSON manifest (``columns``, ``row_count``) states."""
+    row = spark.read.option("multiLine", True).json(path).select("columns", F.col("row_count").cast("bigint")).first()
+    return list(row[0]), row[1]
 
 
 save_models, load_models = write_by_region, read_by_region
