@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from exposure_jobs.llm.common import checkpointed, packed_row, table
-from exposure_jobs.llm.components import connected_components
+from exposure_jobs.llm.components import connected_components, with_least
 from exposure_jobs.llm.decontaminate import bounded
 
 BITS = 64
@@ -186,8 +186,7 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = connected_components(near_pairs(nodes.select("fp")))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints, checkpointed(linked.join(least, "root").select("fp", "root", "component_id"), few=True)
+    return prints, checkpointed(with_least(linked, ["root"], "least_id").select("fp", "root", F.col("least").alias("component_id")), few=True)
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
