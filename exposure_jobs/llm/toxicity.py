@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from functools import lru_cache
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,9 @@ ROUNDS, POOL, CLEAN_WORDS = 3, 1500, 6000
 #: the sample bears that out: the logarithm of the ratio, less so many of its standard errors, is compared.
 TELLING_RATIO, TELLING_ERRORS = 3.0, 2.5
 #: Words of a document that its score reads, and words whose margins a worker remembers.
-TOP, REMEMBERED = 3, 1 << 20
+TOP, REMEMBERED = 3, 1 << 18
+#: Texts and words worked on at a time, for memory.
+TEXTS, WORDS = 256, 4096
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -141,6 +145,10 @@ def normalised_profiles(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
     """The normalised kernel of each word with each landmark (a landmark is one stretch); the greatest over a word's stretches."""
+    return np.concatenate([_kernel_rows(words[at : at + WORDS], landmarks) for at in range(0, max(1, len(words)), WORDS)])
+
+
+def _kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(landmarks)), np.float64)
     near, c_l, w_l, order = normalised_profiles([m[:STRETCH] for m in landmarks])
     stretch, codes, weights, owner = normalised_profiles(words)
@@ -176,6 +184,9 @@ class ToxicWords:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """The margin of each word; words of one character have the bias, as words that share nothing with a landmark."""
+        return np.concatenate([self._word_scores(words[at : at + WORDS]) for at in range(0, max(1, len(words)), WORDS)])
+
+    def _word_scores(self, words: list[str]) -> np.ndarray:
         best = np.zeros(len(words))
         rows, whose = stretches(words)
         for length, signs in rows.items():
@@ -193,9 +204,7 @@ class ToxicWords:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = sorted(set().union(*bags) - self.known.keys())
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            self.known.update(zip(part, self.word_scores(part).tolist(), strict=True))
+        self.known.update(zip(new, self.word_scores(new).tolist(), strict=True))
         out = np.full((len(bags), TOP), self.bias)
         for n, bag in enumerate(bags):
             top = heapq.nlargest(TOP, map(self.known.__getitem__, bag))
@@ -222,8 +231,13 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE,
     return w[:-1], float(w[-1])
 
 
+class Labelled(NamedTuple):
+    y: int
+    sentences: list[list[str]]
+
+
 def fit(rows: list, weights: tuple[float, float] = (1.0, 1.0)) -> ToxicWords:
-    """A machine from labelled texts ``(doc_id, y, sentences)``, the sentences as :func:`sentence_words` gives them.
+    """A machine from labelled texts ``(y, sentences)``, the sentences as :func:`sentence_words` gives them.
 
     In each round every clean sentence stands for its most toxic word (so a word weighs by the clean sentences it stands for), every
     sentence of a toxic text that has telling words for the most telling one. The calibration counts a row as ``weights`` of its class.
@@ -339,7 +353,9 @@ def score(docs: DataFrame, machine: ToxicWords) -> DataFrame:
     @F.pandas_udf(DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
         model = shared.value
-        return pd.Series(model.probabilities(model.margins([tokens(t) for t in texts])))
+        parts = (texts.iloc[at : at + TEXTS] for at in range(0, len(texts), TEXTS))
+        made = [model.probabilities(model.margins([tokens(t) for t in part])) for part in parts]
+        return pd.Series(np.concatenate(made) if made else np.zeros(0))
 
     return docs.select("doc_id", scored("text").alias("score"))
 
@@ -354,6 +370,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = crc_remainder("doc_id", 5) == 0
     labels = table(spark, sf_dir, "labels")
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", SAMPLE_PER_CLASS, out)
-    rows = sample.select("doc_id", "y", sentences("text").alias("sentences")).orderBy("doc_id").collect()  # words of a bounded sample, not texts
+    found = sample.select("doc_id", "y", sentences("text").alias("sentences")).orderBy("doc_id").toLocalIterator()  # words of a bounded sample, not texts
+    rows = [Labelled(r.y, [list(map(sys.intern, s)) for s in r.sentences]) for r in found]  # each word once
     machine = fit(rows, class_weights(labels, "toxic", SAMPLE_PER_CLASS, out))
     return score(docs, machine).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
