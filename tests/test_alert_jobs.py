@@ -14,6 +14,7 @@ from exposure_jobs.jobs import train
 from exposure_jobs.jobs.process import build_tables
 from exposure_jobs.operators import baselines, features, forecast, intervals, metrics, model, panel, qc, splits
 from exposure_jobs.operators.clean import canonical_events
+from exposure_jobs.sources import alerts
 from exposure_jobs.sources import regions as registry_module
 from exposure_jobs.sources.alerts import RAW_COLUMNS, RAW_SCHEMA, read_by_region, read_raw_alerts, write_by_region
 from exposure_jobs.sources.regions import attach_region, registry, slug, slugify
@@ -255,3 +256,102 @@ def test_a_wrong_label_of_any_horizon_is_reported(spark, tables, monkeypatch):
     monkeypatch.setattr(testbed, "tables", lambda s, d: SimpleNamespace(origins=origins, merged=tables.merged))
     found = driver_queries.qc_label_mismatches(spark, "").collect()
     assert len(found) == origins.count() and {r.horizon for r in found} == {5}
+
+
+def generated_alerts(regions, days, seed=2):
+    rng, start, rows = random.Random(seed), datetime(2024, 1, 1, tzinfo=UTC), []
+    for region in regions:
+        at = start
+        while at < start + timedelta(days=days):
+            length = timedelta(minutes=rng.randrange(10, 200))
+            rows.append((region, at, at + length))
+            at += length + timedelta(minutes=rng.randrange(20, 900))
+    return rows
+
+
+def test_mains_from_feed_to_forecast(spark, tmp_path):
+    """process, train and predict on files, as a user starts them."""
+    import json
+
+    from exposure_jobs.jobs import predict, process
+
+    lines = [",".join(RAW_COLUMNS)]
+    for name, a, b in generated_alerts(["Kyiv City", "Lvivska oblast", "Nowhere"], 120):
+        lines.append(f"{name},,,oblast,{a:%Y-%m-%d %H:%M:%S}+00:00,{b:%Y-%m-%d %H:%M:%S}+00:00,official")
+    (tmp_path / "raw.csv").write_text("\n".join(lines) + "\n")
+    out = str(tmp_path / "tables")
+    process.main([str(tmp_path / "raw.csv"), out, "--data-cutoff", "2024-05-01 00:00:00"])
+    counts = spark.read.json(f"{out}/manifest").collect()
+    assert {r.region_id for r in counts} == {"kyiv_city", "lvivska_oblast"} and all(r.interval_count > 0 and r.origin_count > r.active_origin_count for r in counts)
+    train.main([f"{out}/matrix", str(tmp_path / "models"), "--constant-single-class"])
+    reports = spark.read.json(f"{tmp_path}/models/report").collect()
+    assert {r.region_id for r in reports} == {"kyiv_city", "lvivska_oblast"}
+    assert all(r.train_rows > 0 and r.validation_rows == 8 * 7 * 24 and r.test_rows == 4 * 7 * 24 and r.feature_count == 12 and r.calibration_method == "isotonic" and len(r.horizons) == 24 * 4 for r in reports)
+    predict.main([f"{out}/matrix", str(tmp_path / "models"), str(tmp_path / "forecast"), "--region", "kyiv_city"])
+    made = spark.read.json(str(tmp_path / "forecast")).collect()
+    assert sorted(r.horizon for r in made) == list(range(1, 25)) and all(0 <= r.probability <= 1 and r.display_name == "Kyiv City" for r in made)
+    # saved parameters give what the fitted ones give
+    matrix = read_by_region(spark, f"{out}/matrix")
+    parameters, _ = train.train(matrix, constant_single_class=True)
+    both = [{(r.region_id, r.horizon): (tuple(r.coefs), r.intercept) for r in p.collect()} for p in (parameters, read_by_region(spark, f"{tmp_path}/models/parameters"))]
+    assert both[0].keys() == both[1].keys() and all(np.allclose([*both[0][k][0], both[0][k][1]], [*both[1][k][0], both[1][k][1]]) for k in both[0])
+    manifest = {"columns": RAW_COLUMNS, "row_count": len(lines) - 1}
+    (tmp_path / "raw.json").write_text(json.dumps(manifest))
+    columns, rows = alerts.read_raw_manifest(spark, str(tmp_path / "raw.json"))
+    raw = read_raw_alerts(spark, str(tmp_path / "raw.csv"))
+    assert qc.validate_raw(raw, columns, rows).count() == 0
+    assert [r.check for r in qc.validate_raw(raw, columns, 2 * rows).collect()] == ["row_count"]
+    assert sorted(r.check for r in qc.validate_raw(raw.drop("source"), columns, 2 * rows).collect()) == ["header", "row_count"]
+
+
+@pytest.fixture(scope="module")
+def small_matrix(spark):
+    rows = [(r, us(a), us(b)) for r, a, b in generated_alerts(["kyiv_city"], 60)]
+    return build_tables(frame(spark, rows), registry(spark), Settings(horizons=(1, 6, 24), validation_weeks=2, test_weeks=1)).matrix.cache()
+
+
+def test_missing_splits_are_errors(small_matrix):
+    with pytest.raises(ValueError, match="no validation rows"):
+        train.train(small_matrix.filter("split <> 'validation'"))
+    parameters, calibrators = train.train(small_matrix)
+    for split in ("test", "train"):
+        with pytest.raises(ValueError, match=f"no {split} rows"):
+            train.report(small_matrix.filter(f"split <> '{split}'"), parameters, calibrators)
+
+
+def test_single_class_horizons(small_matrix):
+    alike = small_matrix.withColumn("y_24", F.lit(1))
+    with pytest.raises(Exception, match="all alike"):
+        model.fit_exposure_models(alike).collect()
+    found = {r.horizon: r for r in model.fit_exposure_models(alike, constant_single_class=True).collect()}
+    assert set(found) == {1, 6, 24} and found[24].status == "constant" and found[1].status == "fitted"
+    parameters, calibrators = train.train(alike, constant_single_class=True)
+    made = forecast.forecast(alike, parameters, calibrators, registry(alike.sparkSession), features.matrix_features(alike.columns), "Europe/Kyiv")
+    assert {r.horizon: round(r.probability, 6) for r in made.collect()}[24] == 1.0
+    lines = [r.line for r in forecast.listing(made).collect()]
+    assert len(lines) == 3 and lines[2].startswith("Kyiv City") and lines[2].endswith("+24h  1.00")
+    table = train.report_table(train.report(alike, parameters, calibrators), train.report_header(alike)).collect()
+    assert [r.line_number for r in table] == [0, 1, 6, 24] and table[0].line.startswith("kyiv_city: ")
+
+
+def test_gradient_is_zero_at_the_fit_and_not_beside_it(small_matrix):
+    matrix = small_matrix.drop("y_24")  # all alike there
+    parameters = model.fit_exposure_models(matrix)
+    assert all(r.steepest < 1e-6 for r in model.gradients(matrix, parameters).collect())
+    beside = parameters.withColumn("intercept", F.col("intercept") + 0.01)
+    assert all(r.steepest > 1e-3 for r in model.gradients(matrix, beside).collect())
+
+
+def test_sigmoid_calibration_and_points_between_knots(spark):
+    rng = np.random.default_rng(5)
+    p = rng.random(200)
+    y = (rng.random(200) < p**2).astype(int)
+    rows = spark.createDataFrame([("r", 1, float(a), int(b)) for a, b in zip(p, y)], "region_id string, horizon int, p double, y int")
+    asked = spark.createDataFrame([("r", 1, float(x)) for x in np.linspace(-0.2, 1.2, 57)] + [("other", 1, 0.3)], "region_id string, horizon int, p double")
+    w, b = newton_logistic(p.reshape(-1, 1), y.astype(float), np.ones(200))
+    knots, level = pool_adjacent_violators(p, y.astype(float))
+    want = {"sigmoid": lambda x: 1 / (1 + np.exp(-(w[0] * x + b))), "isotonic": lambda x: np.interp(x, knots, level)}
+    for method, plain in want.items():
+        got = model.calibrated(asked.withColumn("asked", F.col("p")).select("region_id", "horizon", "p", "asked"), model.fit_calibrators(rows, method)).collect()
+        for r in got:
+            assert r.p == pytest.approx(0.3 if r.region_id == "other" else plain(np.clip(r.asked, 0, 1)))
