@@ -502,7 +502,7 @@ def test_disclosure_matches_plain_counts(spark):
     texts = [some(40) for _ in range(120)]
     for v in range(6):
         for _ in range(2 + v % 2):
-            texts.append(f"{some(12)} {' '.join(words[5 * v : 5 * v + 3])} {some(6)} user{v}@host.example.org {some(12)} {some(5)}")
+            texts.append(f"{some(12)} {' '.join(f"told{x}{'abcdef'[v]}" for x in 'xyz')} {some(6)} user{v}@host.example.org {some(12)} {some(5)}")
     frame = spark.createDataFrame(list(enumerate(texts)), CORE)
     keyed = frame.select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = {(r.value, r.term) for r in sanitise.disclosing_terms(keyed, sanitise.base_spans(keyed)).collect()}
