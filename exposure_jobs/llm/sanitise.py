@@ -111,6 +111,17 @@ def near_duplicate_classes(texts: DataFrame) -> DataFrame:
     return texts.select("th").join(roots, "th", "left").select("th", F.coalesce("root", "th").alias("class"))
 
 
+def _sides() -> list[Column]:
+    """Of a group of contexts: how many differ on both sides, and how many are not linked by an equal side."""
+    left, right = F.count_distinct("context.left"), F.count_distinct("context.right")
+    return [F.least(left, right).alias("both"), (left + right - F.count("*")).alias("unlinked")]
+
+
+def _apart(classes: str) -> Column:
+    """Are enough of a group's contexts different, so that it is no one copied passage?"""
+    return (F.col("both") >= SUPPORT) & (F.col("unlinked") >= SHARE * F.col(classes))
+
+
 def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``(kind, value, term)``: terms by which the corpus gives a protected value away."""
     pair = ["kind", "value", "term"]
@@ -123,15 +134,14 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     holders = docs.join(bounded(held.select("th").distinct()), "th", "left_semi").select("th", _minhashes("text").alias("minhashes"), _terms("text").alias("terms"))
     holders = checkpointed(holders.dropDuplicates(["th"]))
     held = held.join(near_duplicate_classes(holders), "th")
-    values = held.select("kind", "value", "class").distinct().groupBy("kind", "value").agg(F.count("*").alias("n"))
-    held = checkpointed(held.join(bounded(checkpointed(values.filter(F.col("n") >= SUPPORT), few=True)), ["kind", "value"]), few=True)
+    values = held.groupBy("kind", "value", "class").agg(F.min("context").alias("context")).groupBy("kind", "value").agg(F.count("*").alias("n"), *_sides())
+    held = checkpointed(held.join(bounded(checkpointed(values.filter(_apart("n")).select("kind", "value", "n"), few=True)), ["kind", "value"]), few=True)
     if held.isEmpty():
         return nothing
     together = held.join(holders.select("th", F.explode("terms").alias("term")), "th")
     by_class = together.groupBy(*pair, "n", "class").agg(F.count("*").alias("texts"), F.min("context").alias("context"))  # a class's copies collapse before they are shuffled
-    left, right = F.count_distinct("context.left"), F.count_distinct("context.right")
-    pairs = by_class.groupBy(*pair, "n").agg(F.least(left, right).alias("both"), (left + right - F.count("*")).alias("unlinked"), F.count("*").alias("classes"), F.sum("texts").alias("texts"))
-    pairs = checkpointed(pairs.filter((F.col("both") >= SUPPORT) & (F.col("unlinked") >= SHARE * F.col("classes"))))
+    pairs = by_class.groupBy(*pair, "n").agg(*_sides(), F.count("*").alias("classes"), F.sum("texts").alias("texts"))
+    pairs = checkpointed(pairs.filter(_apart("classes")))
     mentions = docs.select("th", F.explode(_terms("text")).alias("term")).join(bounded(pairs.select("term").distinct()), "term", "left_semi")
     frequency = mentions.distinct().groupBy("term").agg(F.count("*").alias("df"))
     total = max(1, docs.select("th").distinct().count())
