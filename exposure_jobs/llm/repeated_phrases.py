@@ -11,11 +11,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,18 @@ SHARD_DOCS = 256
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def in_shards(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], **columns: str) -> DataFrame:
+    """``work`` over the rows of ``df``, SHARD_DOCS of an Arrow batch at a time: only a shard's lists and phrases become Python objects."""
+    types = pa.schema([(name, getattr(pa, kind)()) for name, kind in columns.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = (b.slice(at, SHARD_DOCS).to_pandas() for b in batches for at in range(0, b.num_rows, SHARD_DOCS))
+        for made in work(shards):
+            yield pa.RecordBatch.from_pandas(made, types, preserve_index=False)
+
+    return df.mapInArrow(run, ", ".join(f"{name} {'long' if kind == 'int64' else kind}" for name, kind in columns.items()))
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -145,13 +158,15 @@ def recurring_phrases(docs: DataFrame) -> DataFrame:
     own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode(anchors("text")).alias("anchor")).repartition("anchor")  # one shuffle for the count and the join
     shared = own.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     recurring = own.join(shared.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("recurring"))  # bounded by a document's own length
-    windows = texts.join(recurring.hint("merge"), "doc_id").mapInPandas(candidate_windows, "doc_id long, at long, h long")
+    windows = in_shards(texts.join(recurring.hint("merge"), "doc_id"), candidate_windows, doc_id="int64", at="int64", h="int64")
     windows = windows.filter("doc_id IS NOT NULL AND h IS NOT NULL").repartition("h")  # what the join would ask for, so that both uses share one shuffle
     owned = windows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("o"), F.max("doc_id").alias("hi")).filter("o.doc_id < hi").select("h", F.col("o.doc_id").alias("owner"), F.col("o.at").alias("place"))
     later = windows.join(owned.hint("merge"), "h").filter(F.col("doc_id") > F.col("owner"))
-    runs = later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "owner", "place")).alias("found")).mapInPandas(phrase_runs, "doc_id long, owner long, first long, n long")
+    found = later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "owner", "place")).alias("found"))
+    runs = in_shards(found, phrase_runs, doc_id="int64", owner="int64", first="int64", n="int64")
     asked = runs.select(F.col("doc_id").alias("later"), "owner", "first", "n")
-    fetched = asked.join(texts, asked.owner == texts.doc_id).select("later", "first", "n", "doc_id", "z").mapInPandas(phrase_texts, "doc_id long, owner long, phrase string")
+    owners = asked.join(texts, asked.owner == texts.doc_id).select("later", "first", "n", "doc_id", "z")
+    fetched = in_shards(owners, phrase_texts, doc_id="int64", owner="int64", phrase="string")
     return fetched.groupBy("doc_id").agg(F.collect_set(F.struct("owner", "phrase")).alias("phrases"))
 
 
@@ -177,39 +192,38 @@ def covered(words: list[bytes], doc_id: int, automaton: ahocorasick.Automaton) -
     return np.cumsum(marks[:-1]) > 0
 
 
-def kept_words(batch: pd.DataFrame) -> Iterator[tuple[list[bytes], int]]:
-    """For each row of ``(doc_id, z, phrases)`` the words that stay, and how many there were; a shard of rows shares an automaton."""
-    for at in range(0, len(batch), SHARD_DOCS):
-        shard, phrases = batch.iloc[at : at + SHARD_DOCS], {}
-        for found in shard["phrases"]:
-            for f in found if found is not None else ():
-                phrases[f["phrase"]] = min(f["owner"], phrases.get(f["phrase"], f["owner"]))
-        automaton = compiled(phrases) if phrases else None
-        for doc_id, words, found in zip(shard["doc_id"], _words(shard["z"]), shard["phrases"], strict=True):
-            if found is None or not len(found):
-                yield words, len(words)
-            else:
-                gone = covered(words, int(doc_id), automaton)
-                yield [words[i] for i in np.flatnonzero(~gone)], len(words)
+def kept_words(shard: pd.DataFrame) -> Iterator[tuple[list[bytes], int]]:
+    """For each row of ``(doc_id, z, phrases)`` the words that stay, and how many there were; a shard's rows share an automaton."""
+    phrases: dict[str, int] = {}
+    for found in shard["phrases"]:
+        for f in found if found is not None else ():
+            phrases[f["phrase"]] = min(f["owner"], phrases.get(f["phrase"], f["owner"]))
+    automaton = compiled(phrases) if phrases else None
+    for doc_id, words, found in zip(shard["doc_id"], _words(shard["z"]), shard["phrases"], strict=True):
+        if found is None or not len(found):
+            yield words, len(words)
+        else:
+            gone = covered(words, int(doc_id), automaton)
+            yield [words[i] for i in np.flatnonzero(~gone)], len(words)
 
 
-def _applied(docs: DataFrame, finish, schema: str) -> DataFrame:
+def _applied(docs: DataFrame, finish, **columns: str) -> DataFrame:
     texts = _one_text_per_id(docs)
     joined = texts.join(recurring_phrases(docs), "doc_id", "left")
     nameless = docs.filter(F.col("doc_id").isNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), packed("text").alias("z"), F.lit(None).cast("array<struct<owner:bigint,phrase:string>>").alias("phrases"))
-    return joined.mapInPandas(finish, schema).unionByName(nameless.mapInPandas(finish, schema))
+    return in_shards(joined, finish, **columns).unionByName(in_shards(nameless, finish, **columns))
 
 
-def _kept_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        done = list(kept_words(batch))
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "kept": [b" ".join(w).decode("utf-8", "surrogatepass") for w, _ in done], "n_words": [n for _, n in done], "n_removed": [n - len(w) for w, n in done]})
+def _kept_texts(shards: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for shard in shards:
+        done = list(kept_words(shard))
+        yield pd.DataFrame({"doc_id": shard["doc_id"].astype("Int64"), "kept": [b" ".join(w).decode("utf-8", "surrogatepass") for w, _ in done], "n_words": [n for _, n in done], "n_removed": [n - len(w) for w, n in done]})
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        done = list(kept_words(batch))
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_words": [n for _, n in done], "n_removed": [n - len(w) for w, n in done], "kept_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in done]})
+def _digests(shards: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for shard in shards:
+        rows = [(n, n - len(w), hashlib.sha256(b" ".join(w)).hexdigest()) for w, n in kept_words(shard)]
+        yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"]).assign(doc_id=shard["doc_id"].astype("Int64"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -218,12 +232,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Defined cases: null or blank text has no words; a null id neither removes nor loses words; rows that share a doc_id are one
     document as owners (each loses what a smaller id has); repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
-    return _applied(docs.select("doc_id", "text"), _kept_texts, "doc_id long, kept string, n_words long, n_removed long")
+    return _applied(docs.select("doc_id", "text"), _kept_texts, doc_id="int64", kept="string", n_words="int64", n_removed="int64")
 
 
 def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _applied(docs, _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _applied(docs, _digests, doc_id="int64", n_words="int64", n_removed="int64", kept_sha256="string")
 
 
 OP3_SQL = r"""
