@@ -149,7 +149,13 @@ def test_backoff_scores_match_definition(docs, monkeypatch):
 # --- 3
 
 
-def test_repeated_phrases_match_brute_force(docs):
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeated_phrases_match_brute_force(docs, monkeypatch, hot):
+    """Also with every anchor hot, so that owners are found by salt first."""
+    if hot:
+        monkeypatch.setattr(repeated_phrases, "HOT_ROWS", 0)
+        monkeypatch.setattr(repeated_phrases, "HOT_SHARE", 0)
+        assert repeated_phrases.hot_buckets(docs.select("text"))
     rows = rows_of(docs)
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     windows = [[tuple(w[i : i + 13]) for i in range(len(w) - 12)] for w in words]
