@@ -7,8 +7,9 @@
 3. All documents are streamed, a shard at a time, through an automaton compiled from the shard's phrases, which locates every
    occurrence in the text itself; the hashes only proposed them.
 
-Anchors that very many documents share stand out in a histogram over BUCKETS hash buckets. They pass as recurring without being
-counted, and their rows, and those of the windows that they anchor, are dealt over SALTS; owners of such windows are found by salt first.
+Anchors and windows that very many documents share are combined before they are shuffled: an anchor that a shard has twice recurs
+without being counted, and a window that a shard has twice belongs, for the later documents, to the shard's earliest one (any earlier
+document that has the window will do as an owner). Only one row a shard goes on to where all rows of that anchor or window meet.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType
+from pyspark.sql.types import BinaryType
 
 from exposure_jobs.llm.common import ascii_words, table
 from exposure_jobs.llm.components import SALTS
@@ -32,9 +33,6 @@ from exposure_jobs.llm.components import SALTS
 WINDOW, ANCHOR = 13, 5
 #: Documents of one automaton; its patterns are the phrases that these documents hold, so it is no larger than their texts.
 SHARD_DOCS = 256
-#: Buckets of the anchors' histogram. A bucket is hot if it has over HOT_SHARE times the mean and over HOT_ROWS rows, so fewer than
-#: BUCKETS / HOT_SHARE can be; a key that is not hot has at most that share of all rows.
-BUCKETS, HOT_SHARE, HOT_ROWS = 65_536, 8, 1_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,24 +73,25 @@ def window_anchors(hashes: np.ndarray) -> np.ndarray:
     return least.view(np.int64)
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def anchors(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(window_anchors(_hashes(ascii_words(t)))) for t in texts])
+def anchor_rows(shards: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(doc_id, text)`` → ``(doc_id, anchor, salt)``: salt 0 where the anchor is to be counted, from 1 on, by the document, where it is known to recur."""
+    for shard in shards:
+        found = [np.unique(window_anchors(_hashes(ascii_words(t)))) for t in shard["text"]]
+        anchor, doc_id = np.concatenate(found), np.repeat(shard["doc_id"].to_numpy(np.int64), [len(f) for f in found])
+        _, first, which, many = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
+        known = many[which] > 1
+        one = np.r_[np.flatnonzero(~known), first[many > 1]]
+        salt = np.r_[np.zeros(len(one), np.int64), _salts(doc_id[known])]
+        yield pd.DataFrame({"doc_id": np.r_[doc_id[one], doc_id[known]], "anchor": np.r_[anchor[one], anchor[known]], "salt": salt})
 
 
-def bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(text)`` → ``(bucket, n)``: how many anchors a batch has in each bucket."""
-    for batch in batches:
-        found = [np.unique(window_anchors(_hashes(ascii_words(t)))) & (BUCKETS - 1) for t in batch["text"]]
-        buckets, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
-        yield pd.DataFrame({"bucket": buckets, "n": n})
+def _spread(doc_id: np.ndarray) -> np.ndarray:
+    h = doc_id.view(np.uint64) * _MULTIPLIER
+    return h ^ (h >> np.uint64(32))
 
 
-def hot_buckets(texts: DataFrame) -> list[int]:
-    """The hot buckets of all anchors in ``texts(text)``; the driver sees one number for each of BUCKETS, whatever the input."""
-    rows = in_shards(texts, bucket_counts, bucket="int64", n="int64").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    least = max(HOT_ROWS, HOT_SHARE * sum(r.n for r in rows) / BUCKETS)
-    return sorted(r.bucket for r in rows if r.n > least)
+def _salts(doc_id: np.ndarray) -> np.ndarray:
+    return (1 + _spread(doc_id) % np.uint64(SALTS)).astype(np.int64)
 
 
 @F.pandas_udf(BinaryType())
@@ -126,28 +125,30 @@ def named_once(at: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return 2 * at[new].astype(np.int64) + np.isin(at[new], cuts), prints[new]
 
 
-def candidate_windows(hot: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """``(doc_id, z, recurring)`` → ``(doc_id, at, h, salt)``: each different window whose anchor recurs, its place as in :func:`named_once`.
+def candidate_windows(shards: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(doc_id, z, recurring)`` → ``(doc_id, at, h, owner, place)``: each different window whose anchor recurs, its place as in :func:`named_once`.
 
-    ``salt`` is 0, or from 1 on, by the document, where the window's anchor is in a hot bucket.
+    Where an earlier document of the shard has the window, that document and the window's place there are given, and ``h`` only
+    spreads the rows.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            places, prints, salts, many = [], [], [], []
-            for doc_id, words, recurring in zip(batch["doc_id"], _words(batch["z"]), batch["recurring"], strict=True):
-                hashes = _hashes(words)
-                of_window = window_anchors(hashes)
-                at = np.flatnonzero(np.isin(of_window, np.asarray(recurring, np.int64)))
-                at, found = named_once(at, _rolled(hashes, WINDOW)[at] if len(at) else np.zeros(0, np.uint64))
-                places.append(at)
-                prints.append(found)
-                salts.append(np.isin(of_window[at >> 1] & (BUCKETS - 1), hot) * np.int64(1 + (int(doc_id) * int(_MULTIPLIER) >> 32) % SALTS))
-                many.append(len(at))
-            if sum(many):
-                yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), many), "at": np.concatenate(places), "h": np.concatenate(prints).view(np.int64), "salt": np.concatenate(salts)})
-
-    return run
+    for shard in shards:
+        places, prints, many = [], [], []
+        for words, recurring in zip(_words(shard["z"]), shard["recurring"], strict=True):
+            hashes = _hashes(words)
+            at = np.flatnonzero(np.isin(window_anchors(hashes), np.asarray(recurring, np.int64)))
+            at, found = named_once(at, _rolled(hashes, WINDOW)[at] if len(at) else np.zeros(0, np.uint64))
+            places.append(at)
+            prints.append(found)
+            many.append(len(at))
+        if sum(many):
+            doc_id, at, h = np.repeat(shard["doc_id"].to_numpy(np.int64), many), np.concatenate(places), np.concatenate(prints)
+            order = np.lexsort((at, doc_id, h))
+            doc_id, at, h = doc_id[order], at[order], h[order]
+            new = np.r_[True, h[1:] != h[:-1]]
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            later = doc_id > doc_id[lead]
+            known = lambda x: pd.Series(x[lead]).astype("Int64").where(later)  # noqa: B023, E731
+            yield pd.DataFrame({"doc_id": doc_id, "at": at, "h": np.where(later, _spread(doc_id), h).view(np.int64), "owner": known(doc_id), "place": known(at)})
 
 
 def phrase_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,28 +184,17 @@ def _one_text_per_id(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", packed("text").alias("z"))
 
 
-def _owners(windows: DataFrame) -> DataFrame:
-    """``(h, salt, owner, place)`` of windows that two documents have: of each, the least document over all its salts."""
-    by_salt = windows.groupBy("h", "salt").agg(F.min(F.struct("doc_id", "at")).alias("o"), F.max("doc_id").alias("hi"), F.max("salt").alias("hot"))
-    whole = by_salt.filter("hot > 0").groupBy("h").agg(F.min("o").alias("least"), F.max("hi").alias("most"), F.collect_set("salt").alias("salts"))
-    whole = whole.select("h", F.explode("salts").alias("salt"), "least", "most")
-    both = by_salt.join(whole, ["h", "salt"], "left").select("h", "salt", F.coalesce("least", "o").alias("o"), F.coalesce("most", "hi").alias("hi"))
-    return both.filter("o.doc_id < hi").select("h", "salt", F.col("o.doc_id").alias("owner"), F.col("o.at").alias("place"))
-
-
 def recurring_phrases(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` → ``(doc_id, phrases)``: for each document the phrases ``(owner, phrase)`` that it shares with an earlier one."""
     texts = _one_text_per_id(docs)
-    named = docs.filter(F.col("doc_id").isNotNull())
-    hot = hot_buckets(named.select("text"))
-    own = named.select("doc_id", F.explode(anchors("text")).alias("anchor"))
-    salt = F.when(F.col("anchor").bitwiseAND(BUCKETS - 1).isin(hot), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
-    own = own.select("doc_id", "anchor", salt.alias("salt")).repartition("anchor", "salt")  # one shuffle for the count and the join
-    shared = own.groupBy("anchor", "salt").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("salt").alias("hot")).filter("lo < hi OR hot > 0").select("anchor", "salt")
-    recurring = own.join(shared.hint("merge"), ["anchor", "salt"]).groupBy("doc_id").agg(F.collect_set("anchor").alias("recurring"))  # bounded by a document's own length
-    windows = in_shards(texts.join(recurring.hint("merge"), "doc_id"), candidate_windows(hot), doc_id="int64", at="int64", h="int64", salt="int64")
-    windows = windows.filter("doc_id IS NOT NULL AND h IS NOT NULL AND salt IS NOT NULL").repartition("h", "salt")  # what the join would ask for, so that all uses share one shuffle
-    later = windows.join(_owners(windows).hint("merge"), ["h", "salt"]).filter(F.col("doc_id") > F.col("owner"))
+    own = in_shards(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text"), anchor_rows, doc_id="int64", anchor="int64", salt="int64")
+    same = Window.partitionBy("anchor", "salt")
+    shared = own.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).filter("salt > 0 OR lo < hi")
+    recurring = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("recurring"))  # bounded by a document's own length
+    windows = in_shards(texts.join(recurring.hint("merge"), "doc_id"), candidate_windows, doc_id="int64", at="int64", h="int64", owner="int64", place="int64")
+    equal = Window.partitionBy("h", F.col("owner").isNull()).orderBy("doc_id", "at")
+    least = {"owner": F.coalesce("owner", F.first("doc_id").over(equal)), "place": F.coalesce("place", F.first("at").over(equal))}
+    later = windows.select("doc_id", "at", *(c.alias(name) for name, c in least.items())).filter(F.col("doc_id") > F.col("owner"))
     found = later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "owner", "place")).alias("found"))
     runs = in_shards(found, phrase_runs, doc_id="int64", owner="int64", first="int64", n="int64")
     asked = runs.select(F.col("doc_id").alias("later"), "owner", "first", "n")

@@ -7,6 +7,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -149,13 +150,10 @@ def test_backoff_scores_match_definition(docs, monkeypatch):
 # --- 3
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_repeated_phrases_match_brute_force(docs, monkeypatch, hot):
-    """Also with every anchor hot, so that owners are found by salt first."""
-    if hot:
-        monkeypatch.setattr(repeated_phrases, "HOT_ROWS", 0)
-        monkeypatch.setattr(repeated_phrases, "HOT_SHARE", 0)
-        assert repeated_phrases.hot_buckets(docs.select("text"))
+@pytest.mark.parametrize("shard", [1, 7, 256])
+def test_repeated_phrases_match_brute_force(docs, monkeypatch, shard):
+    """With shards of one document nothing is combined before the shuffle; larger ones name owners of their own."""
+    monkeypatch.setattr(repeated_phrases, "SHARD_DOCS", shard)
     rows = rows_of(docs)
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     windows = [[tuple(w[i : i + 13]) for i in range(len(w) - 12)] for w in words]
@@ -173,6 +171,17 @@ def test_repeated_phrases_match_brute_force(docs, monkeypatch, hot):
     assert any(n for *_, n in want)
 
 
+def test_one_row_a_shard_meets_the_others():
+    """A passage of all documents leaves a shard once to be counted, and once more for each document, spread by salts."""
+    text = " ".join(f"w{n}" for n in range(13))
+    shard = pd.DataFrame({"doc_id": range(200), "text": [text] * 200})
+    rows = next(repeated_phrases.anchor_rows(iter([shard])))
+    assert (rows["salt"] == 0).sum() == 1 and rows["salt"].nunique() > 30 and set(rows.loc[rows["salt"] > 0, "doc_id"]) == set(range(200))
+    z = repeated_phrases.packed.func(shard["text"])
+    made = next(repeated_phrases.candidate_windows(iter([shard.assign(z=z, recurring=[[rows["anchor"][0]]] * 200)])))
+    assert made["owner"].isna().sum() == 1 and set(made["owner"].dropna()) == {0} and made["h"].nunique() == 200
+
+
 # --- 4
 
 
