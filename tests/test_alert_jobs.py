@@ -355,3 +355,25 @@ def test_sigmoid_calibration_and_points_between_knots(spark):
         got = model.calibrated(asked.withColumn("asked", F.col("p")).select("region_id", "horizon", "p", "asked"), model.fit_calibrators(rows, method)).collect()
         for r in got:
             assert r.p == pytest.approx(0.3 if r.region_id == "other" else plain(np.clip(r.asked, 0, 1)))
+
+
+def test_running_aggregates_cross_ranges(spark):
+    import random
+
+    from exposure_jobs.operators.running import running
+
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(9)}", i, rng.randrange(-50, 50), rng.randrange(1 << 40)) for i in range(600)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "k string, i int, v long, x long").repartition(7)
+    totals = {"s": ("sum", "v"), "hi": ("max", "v"), "lo": ("min", "v"), "mix": ("xor", "x")}
+    found = {(r.k, r.i): (r.s, r.hi, r.lo, r.mix) for r in running(table, ["k"], ["i"], totals).collect()}
+    assert len(found) == len(rows)
+    state = {}
+    for k, i, v, x in sorted(rows, key=lambda r: r[1]):
+        s, hi, lo, mix = state.get(k, (0, v, v, 0))
+        state[k] = (s + v, max(hi, v), min(lo, v), mix ^ x)
+        assert found[k, i] == state[k]
+    down = {r.i: r.n for r in running(table.withColumn("one", F.lit(1)), [], [F.col("i").desc()], {"n": ("sum", "one")}).collect()}
+    assert down == {i: 600 - i for i in range(600)}
+    assert running(table.limit(0), ["k"], ["i"], totals).count() == 0
