@@ -2,49 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exposure_jobs.functions.durable import checkpointed, shared_folder, stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; only a local session may do without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    return folder
-
-
-def checkpointed(df: DataFrame, few: bool = False) -> DataFrame:
-    """``df`` cut from its lineage, as files in the shared folder that outlive any executor.
-
-    ``few`` is for small results: what all tasks computed is dealt once more, into a sixteenth of the shuffle partitions (four at
-    least), so that it becomes few files while the computation keeps all its tasks.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    if few:
-        df = df.repartition(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under the session's shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def packed_row(df: DataFrame, **more: Column) -> DataFrame:
     """``df`` with all its columns in one struct ``row`` beside ``more``: whatever their names, they clash with nothing; ``row.*`` gives them back."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(name) for name, c in more.items()))

@@ -1,6 +1,6 @@
 """The registered corpus queries and, where SQL can say the same, their SQL."""
 
-from exposure_jobs.llm import bpe, compression_quality, conversations, decontaminate, language_model, quality_rules, repeated_phrases, sanitise, simhash, toxicity
+from exposure_jobs.llm import bpe, compression_quality, conversations, decontaminate, language_model, quality_rules, repeated_phrases, resampling, sanitise, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "rule_ablations": quality_rules.rule_ablations,
     "op9_sanitise": sanitise.op9_sanitise,
     "op10_compression_quality": compression_quality.op10_compression_quality,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
 }
 ORACLE_SQL = {
     "op2_language_model": language_model.OP2_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op6_conversations": conversations.OP6_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "rule_ablations": quality_rules.ABLATIONS_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
 }
