@@ -1,6 +1,6 @@
 """The registered corpus queries and, where SQL can say the same, their SQL."""
 
-from exposure_jobs.llm import bpe, compression_quality, conversations, decontaminate, language_model, minhash, quality_rules, repeated_phrases, resampling, sanitise, simhash, toxicity
+from exposure_jobs.llm import bpe, compression_quality, conversations, decontaminate, language_model, minhash, prefix_trie, quality_rules, repeated_phrases, resampling, sanitise, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_sanitise": sanitise.op9_sanitise,
     "op10_compression_quality": compression_quality.op10_compression_quality,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_conversation_trie": prefix_trie.op12_conversation_trie,
     "op13_minhash_dedup": minhash.op13_minhash_dedup,
 }
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op8_quality_rules": quality_rules.OP8_SQL,
     "rule_ablations": quality_rules.ABLATIONS_SQL,
     "op11_importance_resampling": resampling.OP11_SQL,
+    "op12_conversation_trie": prefix_trie.OP12_SQL,
 }
