@@ -52,7 +52,7 @@ class Shingler:
         known = self.known
         if len(known) > _REMEMBERED:
             known.clear()
-        for w in {*words} - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = xxhash.xxh64_intdigest(w, SEED)
         each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         width = min(self.width, len(words))
