@@ -21,8 +21,9 @@ PERCENT = 80
 #: One permutation, cut into BINS; ROWS of them make a band. A pair at the threshold misses all 32 bands in about one case of 20 million.
 BINS, ROWS = 128, 4
 SEED = 13
-#: Stars are drawn so many times in buckets that hold several components still, before the rest of their pairs.
-STAR_ROUNDS = 3
+#: Of each set, for every residue of its hashes, whether it has an even or odd number of them: two sets differ in at least as many shingles
+#: as these bits. Up to some 2,000 shingles that rules out nearly all that is not similar.
+PARITY_WORDS = 16
 _REMEMBERED = 1 << 17
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -82,23 +83,28 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return _mixed((values * _BAND_ODD[:, :ROWS]).sum(1, dtype=np.uint64) + _BAND_ODD[:, ROWS]).view(np.int64)
 
 
-_SKETCH = StructType([StructField("n", IntegerType()), StructField("d1", LongType()), StructField("d2", LongType()), StructField("bands", ArrayType(LongType()))])
+_SKETCH = StructType([StructField("n", IntegerType()), StructField("d1", LongType()), StructField("d2", LongType()), StructField("bands", ArrayType(LongType())), StructField("bits", ArrayType(LongType()))])
+
+
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    counts = np.bincount((hashes & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 @F.pandas_udf(_SKETCH)
 def sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The number of distinct shingles, a 128-bit digest of the set, and the band keys (null for no shingles)."""
+    """The number of distinct shingles, a 128-bit digest of the set, its band keys and parities (null for no shingles)."""
     shingler = Shingler()
     for series in texts:
         rows = []
         for text in series:
             hashes = shingler(text)
             if len(hashes) == 0:
-                rows.append((0, 0, 0, None))
+                rows.append((0, 0, 0, None, None))
                 continue
             digest = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<i8")
-            rows.append((len(hashes), int(digest[0]), int(digest[1]), band_keys(densified(hashes))))
-        yield pd.DataFrame(rows, columns=["n", "d1", "d2", "bands"])
+            rows.append((len(hashes), int(digest[0]), int(digest[1]), band_keys(densified(hashes)), parity_bits(hashes)))
+        yield pd.DataFrame(rows, columns=["n", "d1", "d2", "bands", "bits"])
 
 
 @F.pandas_udf(LongType())
@@ -130,13 +136,19 @@ def in_groups(rows: DataFrame, keys: list[str], by: str, **wanted: tuple) -> Dat
     return salted.join(whole.select(*keys, *wanted, F.explode("salts").alias("salt")), [*keys, "salt"]).drop("salt")
 
 
+def plausible(na: str, nb: str, bits_a: str, bits_b: str) -> Column:
+    """False only for pairs that can't reach PERCENT: by their sizes, or because their parities tell of too many shingles of one alone."""
+    apart = sum((F.bit_count(F.col(bits_a)[i].bitwiseXOR(F.col(bits_b)[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    sizes = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+    return sizes & (apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col(na) + F.col(nb)))
+
+
 def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` of nodes → ``(a, b, jaccard, link)`` from the full sets of both texts.
+    """``pairs(a, b)`` of nodes → ``(a, b, link)`` from the full sets of both texts.
 
     A node's text is fetched by the two hashes of one text of its class, once; a node in very many pairs meets them in a join that
     adaptive execution splits.
     """
-    pairs = checkpointed(pairs)
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     keys = checkpointed(nodes.select("node", "n", "t1", "t2").join(asked, "node", "left_semi"), few=True)
     found = docs.select(*_text_keys(), "text").join(bounded(keys.select("t1", "t2").distinct()), ["t1", "t2"], "left_semi")
@@ -144,51 +156,48 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     b = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb"))
     a = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta"))
     met = pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", shared_shingles("ta", "tb").alias("shared"))
-    union = F.col("na") + F.col("nb") - F.col("shared")
-    return checkpointed(met.select("a", "b", (F.col("shared") / union).alias("jaccard"), (100 * F.col("shared") >= PERCENT * union).alias("link")))
+    link = 100 * F.col("shared") >= PERCENT * (F.col("na") + F.col("nb") - F.col("shared"))
+    return checkpointed(met.select("a", "b", link.alias("link")), few=True)
 
 
 def _text_keys() -> list[Column]:
     return [F.xxhash64(F.lit(seed), "text").alias(name) for seed, name in ((1, "t1"), (2, "t2"))]
 
 
-def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``nodes(node, n, t1, t2, bands)``, one for each different set → ``(a, b)`` links whose components are those of all links.
+def components(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``nodes(node, n, t1, t2, bands, bits)``, one for each different set → ``(node, root)`` of the nodes that link with another one.
 
-    Stars: in each bucket all members are measured against one of them, the centre. Buckets whose members hang together then are done.
-    In the others new centres are drawn, STAR_ROUNDS times in all. What is left is exact: members outside the first centre's component
-    are paired with the members of other components, unless the measured distances to a common centre rule it out (Jaccard distance is a metric) or the sizes
-    do. Pairs inside a component can add nothing.
+    Stars: in each bucket all members are paired with one of them, the least. What :func:`plausible` leaves is measured on full sets. Buckets whose
+    members hang together then are done; pairs inside a component can add nothing. In the others the pairs between components that are
+    plausible are measured too, so every link between members of a bucket counts. A component's members are not paired among
+    themselves, and the greatest one of a bucket meets only what is outside it.
     """
-    rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
     spread = in_groups(rows, ["bucket"], "node", centre=(F.min, "node"), last=(F.max, "node"))
-    members = checkpointed(spread.filter("centre < last").select("bucket", "node", "n", "centre"))
-    known, pivots = None, []
-    for turn in range(STAR_ROUNDS):
-        stars = members.filter("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-        new = measured(stars if known is None else stars.join(known, ["a", "b"], "left_anti"), nodes, docs)
-        known = new if known is None else known.union(new)
-        pivot = f"j{turn}"
-        own = known.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("jaccard").alias(pivot))
-        far = members.withColumns({"x": F.least("centre", "node"), "y": F.greatest("centre", "node")}).join(own, ["x", "y"], "left").drop("x", "y")
-        members = far.withColumn(pivot, F.when(F.col("centre") == F.col("node"), 1.0).otherwise(F.col(pivot))).drop("centre", "root", "low")
-        pivots.append(pivot)
-        roots = connected_components(known.filter("link").select("a", "b"))
-        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("order", F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), F.col("node").alias("node")))
-        spread = in_groups(rooted, ["bucket"], "node", low=(F.min, "root"), high=(F.max, "root"), first=(F.min, "order"))
-        members = checkpointed(spread.filter("low < high").select("bucket", "node", "n", "root", "low", *pivots, F.col("first.node").alias("centre")), few=True)
-        if members.isEmpty():
-            return known.filter("link").select("a", "b")
-    left = members.filter("root <> low").select("bucket", *(F.col(c).alias(f"l_{c}") for c in ("node", "n", "root", *pivots)))
-    right = members.select("bucket", *(F.col(c).alias(f"r_{c}") for c in ("node", "n", "root", "low", *pivots)))
-    once = (F.col("r_root") == F.col("r_low")) | (F.col("l_node") < F.col("r_node"))
-    sizes = 100 * F.least("l_n", "r_n") >= PERCENT * F.greatest("l_n", "r_n")
-    fit = once & sizes & (F.col("l_root") != F.col("r_root"))
-    for pivot in pivots:
-        fit &= F.coalesce(F.abs(F.col(f"l_{pivot}") - F.col(f"r_{pivot}")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    rest = left.join(right, (left.bucket == right.bucket) & fit).select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
-    new = measured(rest.join(known, ["a", "b"], "left_anti"), nodes, docs)
-    return known.union(new).filter("link").select("a", "b")
+    members = checkpointed(spread.filter("centre < last").select("bucket", "node", "centre"))
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    stars = members.filter("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    stars = checkpointed(stars.join(side("b"), "b").join(side("a"), "a").filter(plausible("n_a", "n_b", "bits_a", "bits_b")).select("a", "b"), few=True)
+    known = measured(stars, nodes, docs)
+    roots = checkpointed(connected_components(known.filter("link").select("a", "b")), few=True)
+    rooted = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shares = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"))
+    open_ = rooted.join(shares.filter("roots > 1").select("bucket", F.col("most.root").alias("main")), "bucket")
+    open_ = checkpointed(open_.join(nodes.select("node", "n", "bits"), "node"))
+    left = open_.filter("root <> main").select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "bits", "root")))
+    right = open_.select("bucket", "main", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "bits", "root")))
+    once = (F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+    apart = (left.bucket == right.bucket) & (F.col("root_a") != F.col("root_b")) & once & plausible("n_a", "n_b", "bits_a", "bits_b")
+    rest = left.join(right, apart).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    rest = checkpointed(rest.join(known, ["a", "b"], "left_anti"), few=True)
+    if rest.isEmpty():
+        return roots
+    more = measured(rest, nodes, docs).filter("link")
+    ends = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    lifted = more.join(ends("a"), "a", "left").join(ends("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    higher = connected_components(lifted)
+    first = roots.union(higher.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti"))
+    return first.join(higher.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -203,9 +212,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     made = docs.select("doc_id", *_text_keys(), sketched("text").alias("s")).select("doc_id", "t1", "t2", "s.*")
     prints = stored(made, "sketches")
-    some = prints.filter("n > 0").groupBy("d1", "d2").agg(F.first(F.struct("n", "t1", "t2", "bands")).alias("s"), F.min("doc_id").alias("least_id"))
+    some = prints.filter("n > 0").groupBy("d1", "d2").agg(F.first(F.struct("n", "t1", "t2", "bands", "bits")).alias("s"), F.min("doc_id").alias("least_id"))
     nodes = checkpointed(some.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "s.*", "least_id"))
-    roots = connected_components(links(nodes, docs))
+    roots = components(nodes, docs)
     linked = nodes.select("node", "d1", "d2", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = with_least(linked, ["root"], "least_id").select("d1", "d2", F.col("least").alias("component_id"))
     full = prints.filter("n > 0").select("doc_id", "n", "d1", "d2").join(labelled, ["d1", "d2"]).select("doc_id", "n", "component_id")
