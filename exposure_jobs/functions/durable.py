@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,3 +43,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+#: A side is broadcast up to so many rows, counted first; its rows are a few numbers and short names each.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage, with a broadcast hint if its counted rows allow it; else the join shuffles both sides."""
+    cut = checkpointed(df, few=True)
+    return F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut

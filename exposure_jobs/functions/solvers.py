@@ -46,3 +46,16 @@ def pool_adjacent_violators(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, n
             mass[-1] += w2
             width[-1] += n2
     return knots, np.repeat(level, width)
+
+
+def pool_blocks(low: np.ndarray, high: np.ndarray, n: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks in ascending order, each with a count and a sum → blocks whose means increase strictly, neighbours pooled where they do not."""
+    kept: list[list[float]] = []
+    for block in zip(low.tolist(), high.tolist(), n.tolist(), hits.tolist(), strict=True):
+        kept.append(list(block))
+        while len(kept) > 1 and kept[-2][3] * kept[-1][2] >= kept[-1][3] * kept[-2][2]:
+            _, high_end, more, sum_ = kept.pop()
+            kept[-1][1] = high_end
+            kept[-1][2] += more
+            kept[-1][3] += sum_
+    return tuple(np.array(c) for c in zip(*kept, strict=True)) if kept else (low, high, n, hits)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from exposure_jobs.functions.timing import micros
-from exposure_jobs.jobs import testbed, train
+from exposure_jobs.jobs import pooled_queries, testbed, train
 from exposure_jobs.operators import baselines, extensions, features, forecast, intervals, metrics, model, panel, qc
 from exposure_jobs.sources import alerts
 
@@ -349,20 +349,29 @@ feats AS (SELECT p.region_id, p.t, p.active_at_origin,
           extract(hour FROM l)::INTEGER AS hour_kyiv, (extract(isodow FROM l) - 1)::INTEGER AS dow_kyiv, ((extract(isodow FROM l) - 1) * 24 + extract(hour FROM l))::INTEGER AS hour_of_week_kyiv
           FROM panel p JOIN lasts ON p.region_id = lasts.region_id AND p.t = lasts.t JOIN local ON p.region_id = local.region_id AND p.t = local.t),
 matrix AS (SELECT f.*, o.split, o.in_primary_train, {', '.join(f'o.y_{k}' for k in HORIZONS)} FROM feats f JOIN origins o ON f.region_id = o.region_id AND f.t = o.t)"""
-_LONG_TRAIN = " UNION ALL ".join(f"SELECT region_id, hour_of_week_kyiv AS how, active_at_origin AS act, {k} AS horizon, y_{k} AS y FROM matrix WHERE split = 'train'" for k in SCORED)
-_RATES = f"""{_FEATURES},
-lt AS ({_LONG_TRAIN}),
+
+
+def _rates(horizons: tuple) -> str:
+    long = " UNION ALL ".join(f"SELECT region_id, hour_of_week_kyiv AS how, active_at_origin AS act, {k} AS horizon, y_{k} AS y FROM matrix WHERE split = 'train'" for k in horizons)
+    return f"""{_FEATURES},
+lt AS ({long}),
 rm AS (SELECT region_id, horizon, count(*) AS n, sum(y) AS hits FROM lt GROUP BY ALL),
 rs AS (SELECT region_id, how, horizon, count(*) AS n, sum(y) AS hits FROM lt GROUP BY ALL),
 rp AS (SELECT region_id, act, horizon, count(*) AS n, sum(y) AS hits FROM lt GROUP BY ALL)"""
-_LONG_TEST = " UNION ALL ".join(f"SELECT region_id, t, hour_of_week_kyiv AS how, active_at_origin AS act, {k} AS horizon, y_{k} AS y FROM matrix WHERE split = 'test'" for k in SCORED)
-_PRED = f"""{_RATES},
-te AS ({_LONG_TEST}),
+
+
+def _pred(horizons: tuple) -> str:
+    long = " UNION ALL ".join(f"SELECT region_id, t, hour_of_week_kyiv AS how, active_at_origin AS act, {k} AS horizon, y_{k} AS y FROM matrix WHERE split = 'test'" for k in horizons)
+    return f"""{_rates(horizons)},
+te AS ({long}),
 pw AS (SELECT te.region_id, te.t, te.horizon, te.y, rm.hits::DOUBLE / rm.n AS marginal, coalesce(rs.hits::DOUBLE / rs.n, rm.hits::DOUBLE / rm.n) AS seasonal, coalesce(rp.hits::DOUBLE / rp.n, rm.hits::DOUBLE / rm.n) AS persistence
        FROM te LEFT JOIN rm ON te.region_id = rm.region_id AND te.horizon = rm.horizon LEFT JOIN rs ON te.region_id = rs.region_id AND te.horizon = rs.horizon AND te.how = rs.how
        LEFT JOIN rp ON te.region_id = rp.region_id AND te.horizon = rp.horizon AND te.act = rp.act),
 lp AS ({" UNION ALL ".join(f"SELECT region_id, t, horizon, y, '{b}' AS predictor, {b} AS p FROM pw" for b in baselines.NAMES)}),
 l6 AS (SELECT region_id, t, horizon, y, predictor, round(p, 6) AS p FROM lp)"""
+
+
+_RATES, _PRED = _rates(SCORED), _pred(SCORED)
 _SCORES = f"{_PRED},\nsc AS (SELECT region_id, horizon, predictor, count(*)::BIGINT AS n_samples, avg(y) AS positive_rate, avg((p - y) * (p - y)) AS brier_score FROM lp GROUP BY ALL)"
 
 
@@ -468,3 +477,5 @@ _SCORED_QUERIES = (
 )
 QUERIES |= {f.__name__: f for f in (training_matrix_all, feature_scaling_all)}
 QUERIES |= {f"{f.__name__}_all": partial(f, horizons=HORIZONS) for f in _SCORED_QUERIES}
+QUERIES |= pooled_queries.QUERIES
+ORACLE_SQL |= pooled_queries.oracle_sql(_pred(HORIZONS), _rates(HORIZONS), _FEATURES)

@@ -1,4 +1,4 @@
-"""Past-only features of each origin hour: one window pass for each region, ordered by hour."""
+"""Past-only features of each origin hour: one window pass for each block of a region's hours."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from exposure_jobs.operators.panel import label_columns
 
 KEYS = ["region_id", "origin_hour"]
 METADATA = [*KEYS, "split", "in_primary_train"]
+#: Hours of a block: a region's calendar is cut every three months or so.
+BLOCK_HOURS = 2160
 
 
 def feature_columns(lag_hours: tuple[int, ...]) -> list[str]:
@@ -29,20 +31,35 @@ def last_events(merged: DataFrame) -> DataFrame:
     return each.groupBy("region_id", "h").agg(F.max(F.when(F.col("kind") == 0, F.col("us"))).alias("start_us"), F.max(F.when(F.col("kind") == 1, F.col("us"))).alias("end_us"))
 
 
-def feature_matrix(panel: DataFrame, merged: DataFrame, lag_hours: tuple[int, ...], timezone: str) -> DataFrame:
+def feature_matrix(panel: DataFrame, merged: DataFrame, lag_hours: tuple[int, ...], timezone: str, block_hours: int = BLOCK_HOURS) -> DataFrame:
     """``panel(region_id, origin_hour, active, active_at_origin, ...)`` and its intervals → one row of features for each origin.
 
     Lag sums take earlier hours only (the panel is dense, so rows are hours). Hours since the last start or end count whole seconds
     of the latest one at or before the origin, and are null before the first.
+
+    A region's hours are cut into blocks, so that a long calendar is many tasks. The last hours of a block, as many as the longest lag,
+    are copied into the blocks that look back on them; the last start and end before a block are the running maximum over the region's
+    blocks, one row each.
     """
-    h = floor_hours(micros("origin_hour"))
-    rows = panel.select(*KEYS, "active", "active_at_origin", h.alias("h")).join(last_events(merged), ["region_id", "h"], "left")
-    order = Window.partitionBy("region_id").orderBy("h")
+    h, longest = floor_hours(micros("origin_hour")), max(lag_hours, default=0)
+    block = lambda hour: F.floor(hour / block_hours)
+    last = last_events(merged).withColumn("block", block(F.col("h")))
+    carried = Window.partitionBy("region_id").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    known = last.groupBy("region_id", "block").agg(F.max("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    # a block without events needs what earlier ones had, so the blocks are those of the panel
+    blocks = panel.select("region_id", block(h).alias("block")).distinct().join(known, ["region_id", "block"], "full")
+    before = blocks.select("region_id", "block", F.max("start_us").over(carried).alias("start_before"), F.max("end_us").over(carried).alias("end_before"))
+    own = panel.select(*KEYS, "active", "active_at_origin", h.alias("h")).withColumn("own", block(F.col("h")))
+    copied = own.withColumn("block", F.explode(F.sequence("own", block(F.col("h") + longest))))
+    rows = copied.join(last.drop("block"), ["region_id", "h"], "left").join(before, ["region_id", "block"], "left")
+    order = Window.partitionBy("region_id", "block").orderBy("h")
     sums = [F.coalesce(F.sum("active").over(order.rowsBetween(-k, -1)), F.lit(0)).cast("int").alias(f"active_sum_{k}h") for k in lag_hours]
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    since = [(F.floor((micros("origin_hour") - F.max(c).over(upto)) / 1_000_000) / 3600).alias(n) for c, n in (("start_us", "time_since_last_start_h"), ("end_us", "time_since_last_end_h"))]
+    latest = [F.greatest(F.col(f"{c}_before"), F.max(f"{c}_us").over(upto)) for c in ("start", "end")]
+    since = [(F.floor((micros("origin_hour") - c) / 1_000_000) / 3600).alias(n) for c, n in zip(latest, ("time_since_last_start_h", "time_since_last_end_h"), strict=True)]
     calendar = [c.alias(n) for n, c in local_calendar("origin_hour", timezone).items()]
-    return rows.select(*KEYS, "active_at_origin", *sums, *since, *calendar)
+    made = rows.select(*KEYS, "active_at_origin", *sums, *since, *calendar, (F.col("own") == F.col("block")).alias("own"))
+    return made.filter("own").drop("own")
 
 
 def training_matrix(features: DataFrame, origins: DataFrame) -> DataFrame:

@@ -28,12 +28,26 @@ def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
 def merge_intervals(intervals: DataFrame) -> DataFrame:
     """``(region_id, started_at, finished_at)`` → disjoint intervals; those that only touch merge, those of no length stay.
 
-    Merging is associative, so a region's months merge on their own first; what is left of a month is at most its own islands, and a
-    region with a third of all alerts is spread over its months. Equal starts collapse before the first shuffle.
+    Merging is associative, so a region's months merge on their own first. Then only an earlier month's reach can join the islands of a
+    month: the running maximum over the region's months, a small table, is carried into each. An island that it covers belongs to the
+    last one that begins anew before the month. So no task gets more than a region's month, and equal starts collapse before the first shuffle.
     """
     first = intervals.groupBy("region_id", "started_at").agg(F.max("finished_at").alias("finished_at"))
-    monthly = _islands(first.withColumn("__month", F.date_trunc("month", "started_at")), ["region_id", "__month"]).drop("__month")
-    return _islands(monthly, ["region_id"])
+    month = ["region_id", "__month"]
+    monthly = _islands(first.withColumn("__month", F.date_trunc("month", "started_at")), month)
+    carried = monthly.join(_before_each_month(monthly, "finished_at", "__reach"), month, "left")
+    begins = F.when(F.col("__reach").isNull() | (F.col("started_at") > F.col("__reach")), F.col("started_at"))
+    marked = carried.withColumn("__begin", begins).drop("__reach")
+    marked = marked.join(_before_each_month(marked, "__begin", "__open"), month, "left")
+    named = marked.withColumn("__island", F.coalesce("__begin", "__open"))
+    return named.groupBy("region_id", "__island").agg(F.max("finished_at").alias("finished_at")).select("region_id", F.col("__island").alias("started_at"), "finished_at")
+
+
+def _before_each_month(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``(region_id, __month, name)``: the greatest ``column`` in the earlier months of a region, from one row for each month."""
+    months = rows.groupBy("region_id", "__month").agg(F.max(column).alias(name))
+    earlier = Window.partitionBy("region_id").orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)
+    return months.withColumn(name, F.max(name).over(earlier))
 
 
 def merged_intervals(events: DataFrame, data_cutoff: str | None = None, outlier_days: int = 7) -> DataFrame:
