@@ -205,15 +205,20 @@ def baseline_log_loss(s, d, horizons=SCORED):
     return _rounded(metrics.proper_scores(rows, ["region_id", "horizon", "predictor"]).select("region_id", "horizon", "predictor", "log_loss"))
 
 
-def isotonic_midpoints(s, d, horizons=SCORED):
-    """What isotonic calibration makes of the middle between neighbouring seasonal rates of the validation rows."""
+def isotonic_midpoints(s, d, horizons=HORIZONS):
+    """What isotonic calibration makes of scores between the seasonal rates of the validation rows (a quarter, the middle and three
+    quarters of the way to the next one) and beyond both ends."""
     matrix = testbed.tables(s, d).matrix
     made = baselines.predict_baselines(baselines.fit_baselines(matrix), matrix.filter("split = 'validation'"), list(horizons), ("seasonal",))
     rows = baselines.long_predictions(made, list(horizons), ("seasonal",)).withColumn("p", F.round("p", 9))
     order = Window.partitionBy("region_id", "horizon").orderBy("p")
-    points = rows.select("region_id", "horizon", "p").distinct().select("region_id", "horizon", F.row_number().over(order).alias("i"), ((F.col("p") + F.lead("p").over(order)) / 2).alias("p"))
+    known = rows.select("region_id", "horizon", "p").distinct().select("region_id", "horizon", F.row_number().over(order).alias("i"), F.col("p").alias("x"), F.lead("p").over(order).alias("to"))
+    between = [(q, F.col("x") + (F.col("to") - F.col("x")) * (q / 4)) for q in (1, 2, 3)]
+    ends = [(0, F.when(F.col("i") == 1, F.col("x") / 2)), (4, F.when(F.col("to").isNull(), (F.col("x") + 1) / 2))]
+    asked = F.explode(F.array(*(F.struct(F.lit(q).alias("quarter"), p.alias("p")) for q, p in between + ends)))
+    points = known.select("region_id", "horizon", "i", asked.alias("e")).select("region_id", "horizon", "i", "e.*")
     done = model.calibrated(points.filter("p IS NOT NULL"), model.fit_calibrators(rows))
-    return done.select("region_id", "horizon", "i", F.round("p", 6).alias("fitted"))
+    return done.select("region_id", "horizon", "i", "quarter", F.round("p", 9).alias("fitted"))
 
 
 def qc_planted_durations(s, d):
@@ -375,7 +380,10 @@ _RATES, _PRED = _rates(SCORED), _pred(SCORED)
 _SCORES = f"{_PRED},\nsc AS (SELECT region_id, horizon, predictor, count(*)::BIGINT AS n_samples, avg(y) AS positive_rate, avg((p - y) * (p - y)) AS brier_score FROM lp GROUP BY ALL)"
 
 
-_ISOTONIC = f"""WITH {_RATES}, va AS ({" UNION ALL ".join(f"SELECT region_id, hour_of_week_kyiv AS how, {k} AS horizon, y_{k} AS y FROM matrix WHERE split = 'validation'" for k in SCORED)}),
+
+def _isotonic(horizons: tuple) -> str:
+    validation = " UNION ALL ".join(f"SELECT region_id, hour_of_week_kyiv AS how, {k} AS horizon, y_{k} AS y FROM matrix WHERE split = 'validation'" for k in horizons)
+    return f"""WITH {_rates(horizons)}, va AS ({validation}),
         q AS (SELECT va.region_id, va.horizon, va.y, round(coalesce(rs.hits::DOUBLE / rs.n, rm.hits::DOUBLE / rm.n), 9) AS x FROM va JOIN rm ON va.region_id = rm.region_id AND va.horizon = rm.horizon
               LEFT JOIN rs ON va.region_id = rs.region_id AND va.horizon = rs.horizon AND va.how = rs.how),
         pt AS (SELECT region_id, horizon, x, count(*) AS n, sum(y) AS s FROM q GROUP BY ALL),
@@ -427,12 +435,14 @@ ORACLE_SQL = {
         SELECT f.region_id, f.feature, round(any_value(m.median), 9) AS median, round(avg(coalesce(v, m.median, 0)), 9) AS mean, round(stddev_pop(coalesce(v, m.median, 0)), 9) AS deviation FROM f JOIN m ON f.region_id = m.region_id AND f.feature = m.feature GROUP BY f.region_id, f.feature""",
     "class_weights": f"""WITH {_FEATURES}, l AS ({" UNION ALL ".join(f"SELECT region_id, {k} AS horizon, y_{k} AS y FROM matrix WHERE in_primary_train" for k in SCORED)}), c AS (SELECT region_id, horizon, count(*) AS n, sum(y) AS p FROM l GROUP BY ALL)
         SELECT region_id, horizon, n::BIGINT AS n, round(n::DOUBLE / nullif(2 * (n - p), 0)::DOUBLE, 6) AS weight_0, round(n::DOUBLE / nullif(2 * p, 0)::DOUBLE, 6) AS weight_1 FROM c""",
-    "isotonic_seasonal": f"""{_ISOTONIC}
+    "isotonic_seasonal": f"""{_isotonic(SCORED)}
         SELECT pr.region_id, pr.horizon, round(pr.x, 9) AS x, round(CASE WHEN ts = 0 OR ts = tn THEN pr.x ELSE f END, 9) AS fitted FROM pr JOIN ft ON pr.region_id = ft.region_id AND pr.horizon = ft.horizon AND pr.i = ft.i""",
-    "isotonic_midpoints": f"""{_ISOTONIC},
-        nb AS (SELECT pr.region_id, pr.horizon, pr.i, CASE WHEN ts = 0 OR ts = tn THEN pr.x ELSE f END AS v FROM pr JOIN ft ON pr.region_id = ft.region_id AND pr.horizon = ft.horizon AND pr.i = ft.i),
-        md AS (SELECT region_id, horizon, i::INTEGER AS i, (v + lead(v) OVER (PARTITION BY region_id, horizon ORDER BY i)) / 2 AS m FROM nb)
-        SELECT region_id, horizon, i, round(m, 6) AS fitted FROM md WHERE m IS NOT NULL""",
+    "isotonic_midpoints": f"""{_isotonic(HORIZONS)},
+        nb AS (SELECT pr.region_id, pr.horizon, pr.i, pr.x, ts = 0 OR ts = tn AS alike, f FROM pr JOIN ft ON pr.region_id = ft.region_id AND pr.horizon = ft.horizon AND pr.i = ft.i),
+        nb2 AS (SELECT *, lead(x) OVER w AS x1, lead(f) OVER w AS f1 FROM nb WINDOW w AS (PARTITION BY region_id, horizon ORDER BY i)),
+        ask AS (SELECT nb2.*, quarter, CASE WHEN quarter = 0 THEN CASE WHEN i = 1 THEN x / 2 END WHEN quarter = 4 THEN CASE WHEN x1 IS NULL THEN (x + 1) / 2 END ELSE x + (x1 - x) * (quarter / 4.0::DOUBLE) END AS p
+                FROM nb2 CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS quarter))
+        SELECT region_id, horizon, i::INTEGER AS i, quarter, round(CASE WHEN alike THEN p WHEN quarter IN (0, 4) THEN f ELSE f + (f1 - f) * (p - x) / (x1 - x) END, 9) AS fitted FROM ask WHERE p IS NOT NULL""",
     "report_header": f"""WITH {_FEATURES} SELECT region_id, count(*) FILTER (in_primary_train)::BIGINT AS train_rows, count(*) FILTER (split = 'validation')::BIGINT AS validation_rows,
         count(*) FILTER (split = 'test')::BIGINT AS test_rows, {len(features.feature_columns(LAGS))} AS feature_count, 'isotonic' AS calibration_method FROM matrix GROUP BY region_id""",
     "model_stationary": f"""WITH {_FEATURES}, l AS ({" UNION ALL ".join(f"SELECT region_id, {k} AS horizon, y_{k} AS y FROM matrix WHERE in_primary_train" for k in HORIZONS)})
