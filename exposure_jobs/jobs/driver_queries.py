@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from exposure_jobs.functions.timing import micros
 from exposure_jobs.jobs import pooled_queries, testbed, train
 from exposure_jobs.operators import baselines, extensions, features, forecast, intervals, metrics, model, panel, qc
-from exposure_jobs.sources import alerts
+from exposure_jobs.sources import alerts, lineage
 
-#: The SQL compares the horizons of SCORED; each query that has them has a twin ``<name>_all`` over every horizon, without SQL.
+#: Queries that score take the horizons of SCORED; each has a twin ``<name>_all`` over every horizon.
 HORIZONS, SCORED, LAGS = testbed.SETTINGS.horizons, (1, 6, 24), testbed.SETTINGS.lag_hours
 
 
@@ -253,6 +253,12 @@ def manifest(s, d):
     return _us(made.select("region_id", "interval_count", "origin_count", "active_origin_count", "range_start", "range_end", "test_end", "source"))
 
 
+def raw_lineage(s, d):
+    """The raw feed's row count and order-free digest, with the run's windows, labels and features."""
+    matrix = testbed.tables(s, d).matrix
+    return lineage.run_facts(lineage.row_digest(testbed.raw_alerts(s, d)), panel.label_columns(matrix.columns), features.matrix_features(matrix.columns), testbed.SETTINGS.validation_weeks, testbed.SETTINGS.test_weeks)
+
+
 def qc_raw_drift(s, d):
     raw = testbed.raw_alerts(s, d)
     return qc.validate_raw(raw, alerts.RAW_COLUMNS, 1)
@@ -376,10 +382,6 @@ lp AS ({" UNION ALL ".join(f"SELECT region_id, t, horizon, y, '{b}' AS predictor
 l6 AS (SELECT region_id, t, horizon, y, predictor, round(p, 6) AS p FROM lp)"""
 
 
-_RATES, _PRED = _rates(SCORED), _pred(SCORED)
-_SCORES = f"{_PRED},\nsc AS (SELECT region_id, horizon, predictor, count(*)::BIGINT AS n_samples, avg(y) AS positive_rate, avg((p - y) * (p - y)) AS brier_score FROM lp GROUP BY ALL)"
-
-
 
 def _isotonic(horizons: tuple) -> str:
     validation = " UNION ALL ".join(f"SELECT region_id, hour_of_week_kyiv AS how, {k} AS horizon, y_{k} AS y FROM matrix WHERE split = 'validation'" for k in horizons)
@@ -398,77 +400,82 @@ def _typed_sql(name: str) -> str:
     return f"{name} AS (SELECT region_id, level AS kind, s, e FROM closed)"
 
 
-ORACLE_SQL = {
-    "canonical_events": f"""WITH {_RAW} SELECT substr(sha256(region_id || '|' || raion || '|' || hromada || '|' || level || '|' || strftime(s, '%Y-%m-%dT%H:%M:%S') || '+00:00|' || coalesce(strftime(e0, '%Y-%m-%dT%H:%M:%S') || '+00:00', '')), 1, 16) AS alert_id,
-        region_id AS oblast, raion, hromada, level AS admin_level, epoch_us(s) AS started_at_us, epoch_us(e0) AS finished_at_us,
-        CASE WHEN s < TIMESTAMP '2024-01-15' AND level = 'oblast' THEN 'oblast_dominant' WHEN s >= TIMESTAMP '2024-01-15' AND level <> 'oblast' THEN 'raion_dominant' ELSE 'mixed' END AS granularity_era,
-        coalesce(e0 - s > INTERVAL 7 DAY, false) AS is_outlier_duration, 'official' AS source FROM raw""",
-    "era_counts": f"""WITH {_RAW} SELECT CASE WHEN s < TIMESTAMP '2024-01-15' AND level = 'oblast' THEN 'oblast_dominant' WHEN s >= TIMESTAMP '2024-01-15' AND level <> 'oblast' THEN 'raion_dominant' ELSE 'mixed' END AS granularity_era, level AS admin_level, count(*)::BIGINT AS n FROM raw GROUP BY ALL""",
-    "merged_intervals": f"WITH {_MERGED} SELECT region_id, epoch_us(s) AS started_at_us, epoch_us(e) AS finished_at_us, epoch_us(e) - epoch_us(s) > 604800000000 AS is_outlier_duration FROM merged",
-    "data_cutoffs": f"WITH {_MERGED} SELECT region_id, epoch_us(s0) AS first_start_us, epoch_us(c) AS data_cutoff_us FROM cut",
-    "hourly_panel": f"WITH {_GRID} SELECT region_id, epoch_us(t) AS origin_hour_us, active, active_at_origin FROM panel",
-    "exposure_labels": f"WITH {_GRID} SELECT region_id, epoch_us(t) AS origin_hour_us, {', '.join(f'y_{k}' for k in HORIZONS)} FROM panel",
-    "exposure_rate": f"WITH {_GRID} SELECT region_id, count(*)::BIGINT AS hours, sum(active)::BIGINT AS active_hours, {', '.join(f'round(sum(y_{k})::DOUBLE / count(*), 6) AS rate_{k}' for k in SCORED)} FROM panel GROUP BY region_id",
-    "feature_matrix": f"WITH {_FEATURES} SELECT region_id, epoch_us(t) AS origin_hour_us, {', '.join(features.feature_columns(LAGS))} FROM feats",
-    "split_boundaries": f"WITH {_SPLIT} SELECT region_id, epoch_us(vs) AS train_end_us, epoch_us(vs) AS val_start_us, epoch_us(tst) AS val_end_us, epoch_us(tst) AS test_start_us, epoch_us(c) AS test_end_us FROM b",
-    "split_counts": f"WITH {_SPLIT} SELECT region_id, split, in_primary_train, count(*)::BIGINT AS n FROM origins GROUP BY ALL",
-    "training_matrix": f"WITH {_FEATURES} SELECT region_id, epoch_us(t) AS origin_hour_us, active_at_origin, active_sum_24h, time_since_last_start_h, hour_of_week_kyiv, y_1, y_6, y_24, split, in_primary_train FROM matrix",
-    "baseline_rates": f"""WITH {_RATES} SELECT region_id, kind, hour_of_week, active, horizon, n::BIGINT AS n, hits::BIGINT AS hits, round(hits::DOUBLE / n, 6) AS rate FROM (
-        SELECT region_id, 'marginal' AS kind, NULL::INTEGER AS hour_of_week, NULL::INTEGER AS active, horizon, n, hits FROM rm UNION ALL SELECT region_id, 'seasonal', how, NULL, horizon, n, hits FROM rs UNION ALL SELECT region_id, 'persistence', NULL, act, horizon, n, hits FROM rp)""",
-    "baseline_predictions": f"WITH {_PRED} SELECT region_id, epoch_us(t) AS origin_hour_us, {', '.join(f'round(max(CASE WHEN horizon = {k} THEN {b} END), 6) AS pred_{b}_y_{k}' for b in baselines.NAMES for k in SCORED)} FROM pw GROUP BY region_id, t",
-    "baseline_scores": f"WITH {_SCORES} SELECT region_id, horizon, predictor, n_samples, round(positive_rate, 6) AS positive_rate, round(brier_score, 6) AS brier_score FROM sc",
-    "average_precision": f"""WITH {_PRED}, r9 AS (SELECT region_id, horizon, predictor, y, round(p, 9) AS p FROM lp),
-        tied AS (SELECT region_id, horizon, predictor, p, count(*) AS n, sum(y) AS hits FROM r9 GROUP BY ALL),
-        ran AS (SELECT *, sum(n) OVER w AS seen, sum(hits) OVER w AS found FROM tied WINDOW w AS (PARTITION BY region_id, horizon, predictor ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-        SELECT region_id, horizon, predictor, CASE WHEN sum(hits) > 0 AND sum(hits) < sum(n) THEN round(sum(hits::DOUBLE * found::DOUBLE / seen::DOUBLE) / sum(hits)::DOUBLE, 6) ELSE -1.0::DOUBLE END AS pr_auc FROM ran GROUP BY ALL""",
-    "brier_uplift": f"WITH {_SCORES} SELECT a.region_id, a.horizon, a.predictor, round(a.brier_score - m.brier_score, 6) AS brier_uplift FROM sc a JOIN sc m ON a.region_id = m.region_id AND a.horizon = m.horizon AND m.predictor = 'persistence' WHERE a.predictor <> 'persistence'",
-    "era_scores": f"WITH {_PRED} SELECT CASE WHEN t < TIMESTAMP '2024-01-26' THEN 'before' ELSE 'after' END AS era, horizon, predictor, count(*)::BIGINT AS n_samples, round(avg(y), 6) AS positive_rate, round(avg((p - y) * (p - y)), 6) AS brier_score FROM lp GROUP BY ALL",
-    "reliability_bins": f"WITH {_PRED} SELECT horizon, predictor, least(floor(p * 10), 9)::INTEGER AS bin, count(*)::BIGINT AS n, sum(round(p * 1000000)::BIGINT)::BIGINT AS p_millionths, sum(y)::BIGINT AS hits FROM l6 GROUP BY ALL",
-    "calibration_error": f"WITH {_PRED}, bins AS (SELECT horizon, predictor, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS rate FROM l6 GROUP BY ALL) SELECT horizon, predictor, round(sum(abs(mp - rate) * n) / sum(n), 6) AS ece FROM bins GROUP BY ALL",
-    "false_alarm_threshold": f"""WITH {_PRED}, tied AS (SELECT horizon, predictor, p, sum(1 - y) AS neg, sum(y) AS pos FROM l6 GROUP BY ALL),
-        ran AS (SELECT *, sum(neg) OVER w AS fa, sum(pos) OVER w AS hit, sum(neg) OVER v AS negs, sum(pos) OVER v AS poss FROM tied WINDOW w AS (PARTITION BY horizon, predictor ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY horizon, predictor))
-        SELECT horizon, predictor, round(min(CASE WHEN fa <= 0.1 * negs THEN p END), 6) AS threshold, round(max(CASE WHEN fa <= 0.1 * negs AND poss > 0 THEN hit::DOUBLE / poss::DOUBLE END), 6) AS recall FROM ran GROUP BY ALL""",
-    "monotone_forecast": f"WITH {_PRED} SELECT region_id, epoch_us(t) AS origin_hour_us, horizon, predictor, round(max(p) OVER (PARTITION BY region_id, t ORDER BY horizon ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS p FROM lp WHERE predictor = 'seasonal'",
-    "feature_scaling": f"""WITH {_FEATURES}, f AS (SELECT region_id, unnest(['active_sum_24h', 'time_since_last_start_h', 'time_since_last_end_h']) AS feature,
-        unnest([active_sum_24h::DOUBLE, time_since_last_start_h, time_since_last_end_h]) AS v FROM matrix WHERE in_primary_train),
-        m AS (SELECT region_id, feature, median(v) AS median FROM f GROUP BY ALL)
-        SELECT f.region_id, f.feature, round(any_value(m.median), 9) AS median, round(avg(coalesce(v, m.median, 0)), 9) AS mean, round(stddev_pop(coalesce(v, m.median, 0)), 9) AS deviation FROM f JOIN m ON f.region_id = m.region_id AND f.feature = m.feature GROUP BY f.region_id, f.feature""",
-    "class_weights": f"""WITH {_FEATURES}, l AS ({" UNION ALL ".join(f"SELECT region_id, {k} AS horizon, y_{k} AS y FROM matrix WHERE in_primary_train" for k in SCORED)}), c AS (SELECT region_id, horizon, count(*) AS n, sum(y) AS p FROM l GROUP BY ALL)
-        SELECT region_id, horizon, n::BIGINT AS n, round(n::DOUBLE / nullif(2 * (n - p), 0)::DOUBLE, 6) AS weight_0, round(n::DOUBLE / nullif(2 * p, 0)::DOUBLE, 6) AS weight_1 FROM c""",
-    "isotonic_seasonal": f"""{_isotonic(SCORED)}
-        SELECT pr.region_id, pr.horizon, round(pr.x, 9) AS x, round(CASE WHEN ts = 0 OR ts = tn THEN pr.x ELSE f END, 9) AS fitted FROM pr JOIN ft ON pr.region_id = ft.region_id AND pr.horizon = ft.horizon AND pr.i = ft.i""",
-    "isotonic_midpoints": f"""{_isotonic(HORIZONS)},
-        nb AS (SELECT pr.region_id, pr.horizon, pr.i, pr.x, ts = 0 OR ts = tn AS alike, f FROM pr JOIN ft ON pr.region_id = ft.region_id AND pr.horizon = ft.horizon AND pr.i = ft.i),
-        nb2 AS (SELECT *, lead(x) OVER w AS x1, lead(f) OVER w AS f1 FROM nb WINDOW w AS (PARTITION BY region_id, horizon ORDER BY i)),
-        ask AS (SELECT nb2.*, quarter, CASE WHEN quarter = 0 THEN CASE WHEN i = 1 THEN x / 2 END WHEN quarter = 4 THEN CASE WHEN x1 IS NULL THEN (x + 1) / 2 END ELSE x + (x1 - x) * (quarter / 4.0::DOUBLE) END AS p
-                FROM nb2 CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS quarter))
-        SELECT region_id, horizon, i::INTEGER AS i, quarter, round(CASE WHEN alike THEN p WHEN quarter IN (0, 4) THEN f ELSE f + (f1 - f) * (p - x) / (x1 - x) END, 9) AS fitted FROM ask WHERE p IS NOT NULL""",
-    "report_header": f"""WITH {_FEATURES} SELECT region_id, count(*) FILTER (in_primary_train)::BIGINT AS train_rows, count(*) FILTER (split = 'validation')::BIGINT AS validation_rows,
-        count(*) FILTER (split = 'test')::BIGINT AS test_rows, {len(features.feature_columns(LAGS))} AS feature_count, 'isotonic' AS calibration_method FROM matrix GROUP BY region_id""",
-    "model_stationary": f"""WITH {_FEATURES}, l AS ({" UNION ALL ".join(f"SELECT region_id, {k} AS horizon, y_{k} AS y FROM matrix WHERE in_primary_train" for k in HORIZONS)})
-        SELECT region_id, horizon, 'fitted' AS status, true AS stationary FROM l GROUP BY region_id, horizon HAVING min(y) < max(y)""",
-    "baseline_log_loss": f"""WITH {_PRED}, q AS (SELECT *, least(greatest(p, {metrics.EPSILON!r}::DOUBLE), 1 - {metrics.EPSILON!r}::DOUBLE) AS q FROM lp)
-        SELECT region_id, horizon, predictor, round(avg(-ln(CASE WHEN y = 1 THEN q ELSE 1 - q END)), 6) AS log_loss FROM q GROUP BY ALL""",
-    "qc_planted_durations": f"""WITH {_RAW}, w AS (SELECT *, epoch_us(s) // 1000000 % 97 = 0 AND e0 IS NOT NULL AS swapped FROM raw),
-        x AS (SELECT region_id AS oblast, level AS admin_level, CASE WHEN swapped THEN e0 ELSE s END AS a, CASE WHEN swapped THEN s ELSE e0 END AS b FROM w)
-        SELECT oblast, admin_level, epoch_us(a) AS started_at_us, epoch_us(b) AS finished_at_us FROM x WHERE b < a""",
-    "qc_planted_labels": f"WITH {_GRID} " + " UNION ALL ".join(f"SELECT region_id, epoch_us(t) AS origin_hour_us, {k} AS horizon, 1 - y_{k} AS y, y_{k} AS want FROM panel WHERE epoch_us(t) // 3600000000 % 50 = 0" for k in SCORED),
-    "manifest": f"""WITH {_GRID}, i AS (SELECT region_id, count(*) AS n FROM merged GROUP BY region_id)
-        SELECT p.region_id, any_value(i.n)::BIGINT AS interval_count, count(*)::BIGINT AS origin_count, sum(active)::BIGINT AS active_origin_count, epoch_us(min(t)) AS range_start_us, epoch_us(max(t)) AS range_end_us, epoch_us(any_value(c)) AS test_end_us, 'events' AS source
-        FROM panel p JOIN i ON p.region_id = i.region_id JOIN cut ON p.region_id = cut.region_id GROUP BY p.region_id""",
-    "qc_raw_drift": "SELECT 'row_count' AS \"check\", 'expected 1, found ' || count(*) AS detail FROM events",
-    "qc_negative_durations": f"WITH {_RAW} SELECT '' AS alert_id, epoch_us(s) AS started_at_us, epoch_us(e0) AS finished_at_us FROM raw WHERE e0 < s",
-    "qc_overlaps": f"WITH {_RAW}, l AS (SELECT region_id, s, e, lag(e) OVER (PARTITION BY region_id ORDER BY s, e) AS pe FROM closed) SELECT region_id, count(*)::BIGINT AS n FROM l WHERE e < s OR s <= pe GROUP BY region_id",
-    "qc_label_mismatches": "SELECT '' AS region_id, 0::BIGINT AS origin_hour_us, 0::INTEGER AS horizon, 0::INTEGER AS y, 0::INTEGER AS want WHERE false",
-    "x_deduped": f"WITH {_RAW} SELECT region_id, count(*)::BIGINT AS n FROM (SELECT DISTINCT region_id, raion, hromada, level, s, e0 FROM raw) GROUP BY region_id",
-    "x_sub_units": f"WITH {_RAW}, sub AS (SELECT CASE WHEN raion = '' THEN region_id ELSE region_id || '/' || raion END AS region_id, s, e FROM closed),{_islands('sub', 'm2')} SELECT region_id, epoch_us(s) AS started_at_us, epoch_us(e) AS finished_at_us FROM m2",
-    "x_minutes": f"WITH {_GRID} SELECT g.region_id, epoch_us(g.t) AS origin_hour_us, round(sum(epoch_us(least(m.e, g.t + INTERVAL 1 HOUR)) - epoch_us(greatest(m.s, g.t)))::DOUBLE / 60000000, 6) AS minutes FROM grid g JOIN merged m ON g.region_id = m.region_id AND m.s < g.t + INTERVAL 1 HOUR AND m.e > g.t GROUP BY g.region_id, g.t HAVING sum(epoch_us(least(m.e, g.t + INTERVAL 1 HOUR)) - epoch_us(greatest(m.s, g.t))) > 0",
-    "x_type_union": f"WITH {_PRED} SELECT region_id, epoch_us(t) AS origin_hour_us, horizon, round(1 - (1 - round(max(seasonal), 6)) * (1 - round(max(persistence), 6)), 12) AS p FROM pw GROUP BY ALL",
-    "x_activity_by_type": f"WITH {_GRID}, {_typed_sql('ty')} SELECT region_id, kind, count(*)::BIGINT AS active_hours FROM (SELECT DISTINCT g.region_id, g.t, ty.kind FROM grid g JOIN ty ON g.region_id = ty.region_id AND ty.s < g.t + INTERVAL 1 HOUR AND ty.e > g.t) GROUP BY region_id, kind",
-    "x_overlapping_types": f"WITH {_MERGED}, {_typed_sql('ty')} SELECT DISTINCT m.region_id, epoch_us(m.s) AS started_at_us, ty.kind FROM merged m JOIN ty ON m.region_id = ty.region_id AND ty.s < m.e AND ty.e > m.s",
-    "x_sufficiency": f"WITH {_GRID}, i AS (SELECT region_id, count(*)::BIGINT AS n FROM merged GROUP BY region_id) SELECT p.region_id, count(*)::BIGINT AS hours, any_value(i.n) AS intervals, round(avg(active), 6) AS active_rate, round(avg(y_1), 6) AS rate_y_1, round(avg(y_24), 6) AS rate_y_24 FROM panel p JOIN i ON p.region_id = i.region_id GROUP BY p.region_id",
-    "x_durations": f"WITH {_RAW} SELECT region_id, count(*)::BIGINT AS n, count(*) FILTER (e0 = s)::BIGINT AS zero, count(*) FILTER (e0 > s AND e0 < s + INTERVAL 1 MINUTE)::BIGINT AS sub_minute, count(*) FILTER (e0 - s > INTERVAL 7 DAY)::BIGINT AS outlier, count(*) FILTER (e0 IS NULL)::BIGINT AS censored FROM raw GROUP BY region_id",
-}
+def _oracle_sql(horizons: tuple) -> dict[str, str]:
+    """The SQL of every query; those that score horizons take the given ones."""
+    rates, pred = _rates(horizons), _pred(horizons)
+    scores = f"{pred},\nsc AS (SELECT region_id, horizon, predictor, count(*)::BIGINT AS n_samples, avg(y) AS positive_rate, avg((p - y) * (p - y)) AS brier_score FROM lp GROUP BY ALL)"
+    return {
+        "canonical_events": f"""WITH {_RAW} SELECT substr(sha256(region_id || '|' || raion || '|' || hromada || '|' || level || '|' || strftime(s, '%Y-%m-%dT%H:%M:%S') || '+00:00|' || coalesce(strftime(e0, '%Y-%m-%dT%H:%M:%S') || '+00:00', '')), 1, 16) AS alert_id,
+            region_id AS oblast, raion, hromada, level AS admin_level, epoch_us(s) AS started_at_us, epoch_us(e0) AS finished_at_us,
+            CASE WHEN s < TIMESTAMP '2024-01-15' AND level = 'oblast' THEN 'oblast_dominant' WHEN s >= TIMESTAMP '2024-01-15' AND level <> 'oblast' THEN 'raion_dominant' ELSE 'mixed' END AS granularity_era,
+            coalesce(e0 - s > INTERVAL 7 DAY, false) AS is_outlier_duration, 'official' AS source FROM raw""",
+        "era_counts": f"""WITH {_RAW} SELECT CASE WHEN s < TIMESTAMP '2024-01-15' AND level = 'oblast' THEN 'oblast_dominant' WHEN s >= TIMESTAMP '2024-01-15' AND level <> 'oblast' THEN 'raion_dominant' ELSE 'mixed' END AS granularity_era, level AS admin_level, count(*)::BIGINT AS n FROM raw GROUP BY ALL""",
+        "merged_intervals": f"WITH {_MERGED} SELECT region_id, epoch_us(s) AS started_at_us, epoch_us(e) AS finished_at_us, epoch_us(e) - epoch_us(s) > 604800000000 AS is_outlier_duration FROM merged",
+        "data_cutoffs": f"WITH {_MERGED} SELECT region_id, epoch_us(s0) AS first_start_us, epoch_us(c) AS data_cutoff_us FROM cut",
+        "hourly_panel": f"WITH {_GRID} SELECT region_id, epoch_us(t) AS origin_hour_us, active, active_at_origin FROM panel",
+        "exposure_labels": f"WITH {_GRID} SELECT region_id, epoch_us(t) AS origin_hour_us, {', '.join(f'y_{k}' for k in HORIZONS)} FROM panel",
+        "exposure_rate": f"WITH {_GRID} SELECT region_id, count(*)::BIGINT AS hours, sum(active)::BIGINT AS active_hours, {', '.join(f'round(sum(y_{k})::DOUBLE / count(*), 6) AS rate_{k}' for k in horizons)} FROM panel GROUP BY region_id",
+        "feature_matrix": f"WITH {_FEATURES} SELECT region_id, epoch_us(t) AS origin_hour_us, {', '.join(features.feature_columns(LAGS))} FROM feats",
+        "split_boundaries": f"WITH {_SPLIT} SELECT region_id, epoch_us(vs) AS train_end_us, epoch_us(vs) AS val_start_us, epoch_us(tst) AS val_end_us, epoch_us(tst) AS test_start_us, epoch_us(c) AS test_end_us FROM b",
+        "split_counts": f"WITH {_SPLIT} SELECT region_id, split, in_primary_train, count(*)::BIGINT AS n FROM origins GROUP BY ALL",
+        "training_matrix": f"WITH {_FEATURES} SELECT region_id, epoch_us(t) AS origin_hour_us, active_at_origin, active_sum_24h, time_since_last_start_h, hour_of_week_kyiv, y_1, y_6, y_24, split, in_primary_train FROM matrix",
+        "baseline_rates": f"""WITH {rates} SELECT region_id, kind, hour_of_week, active, horizon, n::BIGINT AS n, hits::BIGINT AS hits, round(hits::DOUBLE / n, 6) AS rate FROM (
+            SELECT region_id, 'marginal' AS kind, NULL::INTEGER AS hour_of_week, NULL::INTEGER AS active, horizon, n, hits FROM rm UNION ALL SELECT region_id, 'seasonal', how, NULL, horizon, n, hits FROM rs UNION ALL SELECT region_id, 'persistence', NULL, act, horizon, n, hits FROM rp)""",
+        "baseline_predictions": f"WITH {pred} SELECT region_id, epoch_us(t) AS origin_hour_us, {', '.join(f'round(max(CASE WHEN horizon = {k} THEN {b} END), 6) AS pred_{b}_y_{k}' for b in baselines.NAMES for k in horizons)} FROM pw GROUP BY region_id, t",
+        "baseline_scores": f"WITH {scores} SELECT region_id, horizon, predictor, n_samples, round(positive_rate, 6) AS positive_rate, round(brier_score, 6) AS brier_score FROM sc",
+        "average_precision": f"""WITH {pred}, r9 AS (SELECT region_id, horizon, predictor, y, round(p, 9) AS p FROM lp),
+            tied AS (SELECT region_id, horizon, predictor, p, count(*) AS n, sum(y) AS hits FROM r9 GROUP BY ALL),
+            ran AS (SELECT *, sum(n) OVER w AS seen, sum(hits) OVER w AS found FROM tied WINDOW w AS (PARTITION BY region_id, horizon, predictor ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+            SELECT region_id, horizon, predictor, CASE WHEN sum(hits) > 0 AND sum(hits) < sum(n) THEN round(sum(hits::DOUBLE * found::DOUBLE / seen::DOUBLE) / sum(hits)::DOUBLE, 6) ELSE -1.0::DOUBLE END AS pr_auc FROM ran GROUP BY ALL""",
+        "brier_uplift": f"WITH {scores} SELECT a.region_id, a.horizon, a.predictor, round(a.brier_score - m.brier_score, 6) AS brier_uplift FROM sc a JOIN sc m ON a.region_id = m.region_id AND a.horizon = m.horizon AND m.predictor = 'persistence' WHERE a.predictor <> 'persistence'",
+        "era_scores": f"WITH {pred} SELECT CASE WHEN t < TIMESTAMP '2024-01-26' THEN 'before' ELSE 'after' END AS era, horizon, predictor, count(*)::BIGINT AS n_samples, round(avg(y), 6) AS positive_rate, round(avg((p - y) * (p - y)), 6) AS brier_score FROM lp GROUP BY ALL",
+        "reliability_bins": f"WITH {pred} SELECT horizon, predictor, least(floor(p * 10), 9)::INTEGER AS bin, count(*)::BIGINT AS n, sum(round(p * 1000000)::BIGINT)::BIGINT AS p_millionths, sum(y)::BIGINT AS hits FROM l6 GROUP BY ALL",
+        "calibration_error": f"WITH {pred}, bins AS (SELECT horizon, predictor, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS rate FROM l6 GROUP BY ALL) SELECT horizon, predictor, round(sum(abs(mp - rate) * n) / sum(n), 6) AS ece FROM bins GROUP BY ALL",
+        "false_alarm_threshold": f"""WITH {pred}, tied AS (SELECT horizon, predictor, p, sum(1 - y) AS neg, sum(y) AS pos FROM l6 GROUP BY ALL),
+            ran AS (SELECT *, sum(neg) OVER w AS fa, sum(pos) OVER w AS hit, sum(neg) OVER v AS negs, sum(pos) OVER v AS poss FROM tied WINDOW w AS (PARTITION BY horizon, predictor ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY horizon, predictor))
+            SELECT horizon, predictor, round(min(CASE WHEN fa <= 0.1 * negs THEN p END), 6) AS threshold, round(max(CASE WHEN fa <= 0.1 * negs AND poss > 0 THEN hit::DOUBLE / poss::DOUBLE END), 6) AS recall FROM ran GROUP BY ALL""",
+        "monotone_forecast": f"WITH {pred} SELECT region_id, epoch_us(t) AS origin_hour_us, horizon, predictor, round(max(p) OVER (PARTITION BY region_id, t ORDER BY horizon ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS p FROM lp WHERE predictor = 'seasonal'",
+        "feature_scaling": f"""WITH {_FEATURES}, f AS (SELECT region_id, unnest(['active_sum_24h', 'time_since_last_start_h', 'time_since_last_end_h']) AS feature,
+            unnest([active_sum_24h::DOUBLE, time_since_last_start_h, time_since_last_end_h]) AS v FROM matrix WHERE in_primary_train),
+            m AS (SELECT region_id, feature, median(v) AS median FROM f GROUP BY ALL)
+            SELECT f.region_id, f.feature, round(any_value(m.median), 9) AS median, round(avg(coalesce(v, m.median, 0)), 9) AS mean, round(stddev_pop(coalesce(v, m.median, 0)), 9) AS deviation FROM f JOIN m ON f.region_id = m.region_id AND f.feature = m.feature GROUP BY f.region_id, f.feature""",
+        "class_weights": f"""WITH {_FEATURES}, l AS ({" UNION ALL ".join(f"SELECT region_id, {k} AS horizon, y_{k} AS y FROM matrix WHERE in_primary_train" for k in horizons)}), c AS (SELECT region_id, horizon, count(*) AS n, sum(y) AS p FROM l GROUP BY ALL)
+            SELECT region_id, horizon, n::BIGINT AS n, round(n::DOUBLE / nullif(2 * (n - p), 0)::DOUBLE, 6) AS weight_0, round(n::DOUBLE / nullif(2 * p, 0)::DOUBLE, 6) AS weight_1 FROM c""",
+        "isotonic_seasonal": f"""{_isotonic(horizons)}
+            SELECT pr.region_id, pr.horizon, round(pr.x, 9) AS x, round(CASE WHEN ts = 0 OR ts = tn THEN pr.x ELSE f END, 9) AS fitted FROM pr JOIN ft ON pr.region_id = ft.region_id AND pr.horizon = ft.horizon AND pr.i = ft.i""",
+        "isotonic_midpoints": f"""{_isotonic(HORIZONS)},
+            nb AS (SELECT pr.region_id, pr.horizon, pr.i, pr.x, ts = 0 OR ts = tn AS alike, f FROM pr JOIN ft ON pr.region_id = ft.region_id AND pr.horizon = ft.horizon AND pr.i = ft.i),
+            nb2 AS (SELECT *, lead(x) OVER w AS x1, lead(f) OVER w AS f1 FROM nb WINDOW w AS (PARTITION BY region_id, horizon ORDER BY i)),
+            ask AS (SELECT nb2.*, quarter, CASE WHEN quarter = 0 THEN CASE WHEN i = 1 THEN x / 2 END WHEN quarter = 4 THEN CASE WHEN x1 IS NULL THEN (x + 1) / 2 END ELSE x + (x1 - x) * (quarter / 4.0::DOUBLE) END AS p
+                    FROM nb2 CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS quarter))
+            SELECT region_id, horizon, i::INTEGER AS i, quarter, round(CASE WHEN alike THEN p WHEN quarter IN (0, 4) THEN f ELSE f + (f1 - f) * (p - x) / (x1 - x) END, 9) AS fitted FROM ask WHERE p IS NOT NULL""",
+        "report_header": f"""WITH {_FEATURES} SELECT region_id, count(*) FILTER (in_primary_train)::BIGINT AS train_rows, count(*) FILTER (split = 'validation')::BIGINT AS validation_rows,
+            count(*) FILTER (split = 'test')::BIGINT AS test_rows, {len(features.feature_columns(LAGS))} AS feature_count, 'isotonic' AS calibration_method FROM matrix GROUP BY region_id""",
+        "model_stationary": f"""WITH {_FEATURES}, l AS ({" UNION ALL ".join(f"SELECT region_id, {k} AS horizon, y_{k} AS y FROM matrix WHERE in_primary_train" for k in HORIZONS)})
+            SELECT region_id, horizon, 'fitted' AS status, true AS stationary FROM l GROUP BY region_id, horizon HAVING min(y) < max(y)""",
+        "baseline_log_loss": f"""WITH {pred}, q AS (SELECT *, least(greatest(p, {metrics.EPSILON!r}::DOUBLE), 1 - {metrics.EPSILON!r}::DOUBLE) AS q FROM lp)
+            SELECT region_id, horizon, predictor, round(avg(-ln(CASE WHEN y = 1 THEN q ELSE 1 - q END)), 6) AS log_loss FROM q GROUP BY ALL""",
+        "qc_planted_durations": f"""WITH {_RAW}, w AS (SELECT *, epoch_us(s) // 1000000 % 97 = 0 AND e0 IS NOT NULL AS swapped FROM raw),
+            x AS (SELECT region_id AS oblast, level AS admin_level, CASE WHEN swapped THEN e0 ELSE s END AS a, CASE WHEN swapped THEN s ELSE e0 END AS b FROM w)
+            SELECT oblast, admin_level, epoch_us(a) AS started_at_us, epoch_us(b) AS finished_at_us FROM x WHERE b < a""",
+        "qc_planted_labels": f"WITH {_GRID} " + " UNION ALL ".join(f"SELECT region_id, epoch_us(t) AS origin_hour_us, {k} AS horizon, 1 - y_{k} AS y, y_{k} AS want FROM panel WHERE epoch_us(t) // 3600000000 % 50 = 0" for k in horizons),
+        "manifest": f"""WITH {_GRID}, i AS (SELECT region_id, count(*) AS n FROM merged GROUP BY region_id)
+            SELECT p.region_id, any_value(i.n)::BIGINT AS interval_count, count(*)::BIGINT AS origin_count, sum(active)::BIGINT AS active_origin_count, epoch_us(min(t)) AS range_start_us, epoch_us(max(t)) AS range_end_us, epoch_us(any_value(c)) AS test_end_us, 'events' AS source
+            FROM panel p JOIN i ON p.region_id = i.region_id JOIN cut ON p.region_id = cut.region_id GROUP BY p.region_id""",
+        "qc_raw_drift": "SELECT 'row_count' AS \"check\", 'expected 1, found ' || count(*) AS detail FROM events",
+        "qc_negative_durations": f"WITH {_RAW} SELECT '' AS alert_id, epoch_us(s) AS started_at_us, epoch_us(e0) AS finished_at_us FROM raw WHERE e0 < s",
+        "qc_overlaps": f"WITH {_RAW}, l AS (SELECT region_id, s, e, lag(e) OVER (PARTITION BY region_id ORDER BY s, e) AS pe FROM closed) SELECT region_id, count(*)::BIGINT AS n FROM l WHERE e < s OR s <= pe GROUP BY region_id",
+        "qc_label_mismatches": "SELECT '' AS region_id, 0::BIGINT AS origin_hour_us, 0::INTEGER AS horizon, 0::INTEGER AS y, 0::INTEGER AS want WHERE false",
+        "x_deduped": f"WITH {_RAW} SELECT region_id, count(*)::BIGINT AS n FROM (SELECT DISTINCT region_id, raion, hromada, level, s, e0 FROM raw) GROUP BY region_id",
+        "x_sub_units": f"WITH {_RAW}, sub AS (SELECT CASE WHEN raion = '' THEN region_id ELSE region_id || '/' || raion END AS region_id, s, e FROM closed),{_islands('sub', 'm2')} SELECT region_id, epoch_us(s) AS started_at_us, epoch_us(e) AS finished_at_us FROM m2",
+        "x_minutes": f"WITH {_GRID} SELECT g.region_id, epoch_us(g.t) AS origin_hour_us, round(sum(epoch_us(least(m.e, g.t + INTERVAL 1 HOUR)) - epoch_us(greatest(m.s, g.t)))::DOUBLE / 60000000, 6) AS minutes FROM grid g JOIN merged m ON g.region_id = m.region_id AND m.s < g.t + INTERVAL 1 HOUR AND m.e > g.t GROUP BY g.region_id, g.t HAVING sum(epoch_us(least(m.e, g.t + INTERVAL 1 HOUR)) - epoch_us(greatest(m.s, g.t))) > 0",
+        "x_type_union": f"WITH {pred} SELECT region_id, epoch_us(t) AS origin_hour_us, horizon, round(1 - (1 - round(max(seasonal), 6)) * (1 - round(max(persistence), 6)), 12) AS p FROM pw GROUP BY ALL",
+        "x_activity_by_type": f"WITH {_GRID}, {_typed_sql('ty')} SELECT region_id, kind, count(*)::BIGINT AS active_hours FROM (SELECT DISTINCT g.region_id, g.t, ty.kind FROM grid g JOIN ty ON g.region_id = ty.region_id AND ty.s < g.t + INTERVAL 1 HOUR AND ty.e > g.t) GROUP BY region_id, kind",
+        "x_overlapping_types": f"WITH {_MERGED}, {_typed_sql('ty')} SELECT DISTINCT m.region_id, epoch_us(m.s) AS started_at_us, ty.kind FROM merged m JOIN ty ON m.region_id = ty.region_id AND ty.s < m.e AND ty.e > m.s",
+        "x_sufficiency": f"WITH {_GRID}, i AS (SELECT region_id, count(*)::BIGINT AS n FROM merged GROUP BY region_id) SELECT p.region_id, count(*)::BIGINT AS hours, any_value(i.n) AS intervals, round(avg(active), 6) AS active_rate, round(avg(y_1), 6) AS rate_y_1, round(avg(y_24), 6) AS rate_y_24 FROM panel p JOIN i ON p.region_id = i.region_id GROUP BY p.region_id",
+        "x_durations": f"WITH {_RAW} SELECT region_id, count(*)::BIGINT AS n, count(*) FILTER (e0 = s)::BIGINT AS zero, count(*) FILTER (e0 > s AND e0 < s + INTERVAL 1 MINUTE)::BIGINT AS sub_minute, count(*) FILTER (e0 - s > INTERVAL 7 DAY)::BIGINT AS outlier, count(*) FILTER (e0 IS NULL)::BIGINT AS censored FROM raw GROUP BY region_id",
+    }
+
 
 QUERIES = {
     f.__name__: f
@@ -485,7 +492,23 @@ _SCORED_QUERIES = (
     exposure_rate, baseline_rates, baseline_predictions, baseline_scores, average_precision, brier_uplift, era_scores, reliability_bins, calibration_error, false_alarm_threshold,
     monotone_forecast, class_weights, isotonic_seasonal, x_type_union,
 )
-QUERIES |= {f.__name__: f for f in (training_matrix_all, feature_scaling_all)}
+QUERIES |= {f.__name__: f for f in (training_matrix_all, feature_scaling_all, raw_lineage)}
 QUERIES |= {f"{f.__name__}_all": partial(f, horizons=HORIZONS) for f in _SCORED_QUERIES}
+
+_NAMES = features.feature_columns(LAGS)
+ORACLE_SQL = _oracle_sql(SCORED)
+ORACLE_SQL |= {f"{f.__name__}_all": _oracle_sql(HORIZONS)[f.__name__] for f in _SCORED_QUERIES}
+_FIELDS = ["region_id", "CASE WHEN event_id % 3 >= 1 THEN event_type END", "CASE WHEN event_id % 3 = 2 THEN event_type ELSE '' END", "level", "strftime(s, '%Y-%m-%d %H:%M:%S') || '+00:00'", "coalesce(strftime(e0, '%Y-%m-%d %H:%M:%S') || '+00:00', '')", "'official'"]
+ORACLE_SQL |= {
+    "raw_lineage": f"""WITH x AS (SELECT *, 'r' || user_id AS region_id, CASE event_id % 3 WHEN 0 THEN 'oblast' WHEN 1 THEN 'raion' ELSE 'hromada' END AS level, date_trunc('second', ts) AS s,
+        CASE WHEN event_id % 1009 = 0 THEN NULL ELSE date_trunc('second', ts) + to_seconds(floor(value * 60)::BIGINT) END AS e0 FROM events),
+        y AS (SELECT {' || '.join(f"coalesce(octet_length(encode({f})) || ':' || {f} || ';', '-;')" for f in _FIELDS)} AS r FROM x)
+        SELECT count(*)::BIGINT AS raw_rows, coalesce(sum(('0x' || substr(sha256(r), 1, 15))::BIGINT), 0)::VARCHAR AS raw_digest, 1 AS validation_weeks, 1 AS test_weeks,
+        '{",".join(f"y_{k}" for k in HORIZONS)}' AS labels, '{",".join(_NAMES)}' AS features FROM y""",
+    "training_matrix_all": f"WITH {_FEATURES} SELECT * EXCLUDE (t), epoch_us(t) AS origin_hour_us FROM matrix",
+    "feature_scaling_all": f"""WITH {_FEATURES}, f AS (SELECT region_id, unnest([{', '.join(map(repr, _NAMES))}]) AS feature, unnest([{', '.join(f'{n}::DOUBLE' for n in _NAMES)}]) AS v FROM matrix WHERE in_primary_train),
+        m AS (SELECT region_id, feature, median(v) AS median FROM f GROUP BY ALL)
+        SELECT f.region_id, f.feature, round(any_value(m.median), 9) AS median, round(avg(coalesce(v, m.median, 0)), 9) AS mean, round(stddev_pop(coalesce(v, m.median, 0)), 9) AS deviation FROM f JOIN m ON f.region_id = m.region_id AND f.feature = m.feature GROUP BY f.region_id, f.feature""",
+}
 QUERIES |= pooled_queries.QUERIES
 ORACLE_SQL |= pooled_queries.oracle_sql(_pred(HORIZONS), _rates(HORIZONS), _FEATURES)

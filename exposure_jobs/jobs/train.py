@@ -13,16 +13,22 @@ from exposure_jobs.operators.features import matrix_features
 from exposure_jobs.operators.metrics import evaluate
 from exposure_jobs.operators.model import calibrated, fit_calibrators, fit_exposure_models, predict_raw
 from exposure_jobs.operators.panel import label_columns
+from exposure_jobs.operators.pooled import as_one_region, fit_calibrators_distributed, fit_distributed
 from exposure_jobs.sources.alerts import read_by_region, save_models, write_report
+from exposure_jobs.sources.publication import current, publish, read_published
 
 
-def train(matrix: DataFrame, method: str = "isotonic", constant_single_class: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Parameters fitted on primary-train rows, calibrators on validation rows; a matrix without validation rows is an error."""
+def train(matrix: DataFrame, method: str = "isotonic", constant_single_class: bool = False, by_sums: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Parameters fitted on primary-train rows, calibrators on validation rows; a matrix without validation rows is an error.
+
+    ``by_sums`` is for regions of any number of rows, one region above all: no group meets in one task, with the same results.
+    """
     features = matrix_features(matrix.columns)
     horizons = [int(c[2:]) for c in label_columns(matrix.columns)]
     validation = _some(matrix, "validation")
-    parameters = fit_exposure_models(matrix, constant_single_class=constant_single_class).cache()
-    return parameters, fit_calibrators(predict_raw(validation, parameters, features, horizons), method).cache()
+    fit, calibrate = (fit_distributed, fit_calibrators_distributed) if by_sums else (fit_exposure_models, fit_calibrators)
+    parameters = fit(matrix, constant_single_class=constant_single_class).cache()
+    return parameters, calibrate(predict_raw(validation, parameters, features, horizons), method).cache()
 
 
 def _some(matrix: DataFrame, split: str) -> DataFrame:
@@ -71,13 +77,27 @@ def main(argv: list[str] | None = None) -> None:
     asked.add_argument("out")
     asked.add_argument("--calibration", default=Settings().calibration)
     asked.add_argument("--constant-single-class", action="store_true", help="a horizon whose labels are all alike gets a constant model, not an error")
+    asked.add_argument("--pooled", action="store_true", help="one model for all regions, fitted by sums over all rows")
+    asked.add_argument("--publish", action="store_true", help="MATRIX is a published root; models and report are published together, as one version of it, under OUT")
     given = asked.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    matrix = read_by_region(spark, given.matrix).cache()
-    parameters, calibrators = train(matrix, given.calibration, given.constant_single_class)
+    matrix = (read_published(spark, given.matrix, "matrix") if given.publish else read_by_region(spark, given.matrix)).cache()
+    if given.pooled:
+        matrix = as_one_region(matrix)
+    parameters, calibrators = train(matrix, given.calibration, given.constant_single_class, given.pooled)
+    scores, header = report(matrix, parameters, calibrators), report_header(matrix, given.calibration)
+    if given.publish:
+        facts = model_facts(current(spark, given.matrix)["version"], matrix_features(matrix.columns), given.calibration)
+        publish(given.out, {"parameters": parameters, "calibrators": calibrators, "scores": scores, "header": header}, facts)
+        return
     save_models(parameters, f"{given.out}/parameters")
     save_models(calibrators, f"{given.out}/calibrators")
-    write_report(report(matrix, parameters, calibrators), report_header(matrix, given.calibration), f"{given.out}/report")
+    write_report(scores, header, f"{given.out}/report")
+
+
+def model_facts(matrix_version: str, features: list[str], method: str) -> dict[str, str]:
+    """What models must agree with where they are used: the matrix they were fitted on, its features, their calibration."""
+    return {"matrix_version": matrix_version, "features": ",".join(features), "method": method}
 
 
 if __name__ == "__main__":
