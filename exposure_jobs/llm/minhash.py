@@ -151,8 +151,8 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     keys = checkpointed(nodes.select("node", "n", "t1", "t2").join(asked, "node", "left_semi"), few=True)
-    found = docs.select(*_text_keys(), "text").join(bounded(keys.select("t1", "t2").distinct()), ["t1", "t2"], "left_semi")
-    texts = stored(found.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(bounded(keys), ["t1", "t2"]).select("node", "n", "text"), "texts")
+    found = docs.select(*_text_keys(), "text").join(bounded(keys), ["t1", "t2"])
+    texts = stored(found.groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text")), "texts")
     b = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb"))
     a = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta"))
     met = pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", shared_shingles("ta", "tb").alias("shared"))
@@ -167,23 +167,26 @@ def _text_keys() -> list[Column]:
 def components(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """``nodes(node, n, t1, t2, bands, bits)``, one for each different set → ``(node, root)`` of the nodes that link with another one.
 
-    Stars: in each bucket all members are paired with one of them, the least. What :func:`plausible` leaves is measured on full sets. Buckets whose
-    members hang together then are done; pairs inside a component can add nothing. In the others the pairs between components that are
-    plausible are measured too, so every link between members of a bucket counts. A component's members are not paired among
-    themselves, and the greatest one of a bucket meets only what is outside it.
+    Stars: in each bucket all members are paired with one of them, that with the most neighbours over all its buckets (among copies with
+    changes mostly the text they were made from). What :func:`plausible` leaves is measured on full sets. Buckets whose members hang
+    together then are done, for pairs inside a component can add nothing. In the others the plausible pairs between components are
+    measured too, so every link between members of a bucket counts; members of a bucket's largest component are not paired with one another.
     """
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    spread = in_groups(rows, ["bucket"], "node", centre=(F.min, "node"), last=(F.max, "node"))
-    members = checkpointed(spread.filter("centre < last").select("bucket", "node", "centre"))
+    spread = in_groups(rows.withColumn("one", F.lit(1).cast("long")), ["bucket"], "node", size=(F.sum, "one"))
+    members = checkpointed(spread.filter("size > 1").select("bucket", "node", "size"))
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))  # one row for each band of a node at most
+    centred = in_groups(members.join(met, "node").withColumn("rank", F.struct("met", "node")), ["bucket"], "node", top=(F.max, "rank"))
+    members = checkpointed(centred.select("bucket", "node", F.col("top.node").alias("centre")))
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
-    stars = members.filter("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.filter("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     stars = checkpointed(stars.join(side("b"), "b").join(side("a"), "a").filter(plausible("n_a", "n_b", "bits_a", "bits_b")).select("a", "b"), few=True)
     known = measured(stars, nodes, docs)
     roots = checkpointed(connected_components(known.filter("link").select("a", "b")), few=True)
-    rooted = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     shares = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"))
     open_ = rooted.join(shares.filter("roots > 1").select("bucket", F.col("most.root").alias("main")), "bucket")
-    open_ = checkpointed(open_.join(nodes.select("node", "n", "bits"), "node"))
+    open_ = checkpointed(open_.filter("node <> centre").join(nodes.select("node", "n", "bits"), "node"))  # the centre has met all others
     left = open_.filter("root <> main").select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "bits", "root")))
     right = open_.select("bucket", "main", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "bits", "root")))
     once = (F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
