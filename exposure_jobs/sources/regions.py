@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -64,11 +63,6 @@ def slugify(name):
     return F.trim(F.regexp_replace(F.lower(ascii_fold(name)), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
-def slug(name: str) -> str:
-    folded = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode("ascii").lower()
-    return re.sub("[^a-z0-9]+", "_", folded).strip("_")
-
-
 def sub_unit(oblast, unit):
     """Id of a sub-area, ``region/unit``; the region's own id where there is no unit."""
     return F.when(F.coalesce(unit, F.lit("")) == "", slugify(oblast)).otherwise(F.concat_ws("/", slugify(oblast), slugify(unit)))
