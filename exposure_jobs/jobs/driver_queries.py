@@ -154,7 +154,8 @@ def training_matrix_all(s, d):
 def feature_scaling_all(s, d):
     made = testbed.tables(s, d).matrix
     made = made.withColumns({c: F.round(c, 6) for c in ("time_since_last_start_h", "time_since_last_end_h")})
-    return _rounded(model.imputation(made, features.matrix_features(made.columns)))
+    stats = model.imputation(made, features.matrix_features(made.columns))
+    return stats.select("region_id", "feature", F.round("median", 9).alias("median"), F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
 def class_weights(s, d, horizons=SCORED):
@@ -509,7 +510,7 @@ ORACLE_SQL |= {
     "training_matrix_all": f"WITH {_FEATURES} SELECT * EXCLUDE (t), epoch_us(t) AS origin_hour_us FROM matrix",
     "feature_scaling_all": f"""WITH {_FEATURES}, f AS (SELECT region_id, unnest([{', '.join(map(repr, _NAMES))}]) AS feature, unnest([{', '.join(f'{n}::DOUBLE' for n in _NAMES)}]) AS v FROM matrix WHERE in_primary_train),
         m AS (SELECT region_id, feature, median(v) AS median FROM f GROUP BY ALL)
-        SELECT f.region_id, f.feature, round(any_value(m.median), 6) AS median, round(avg(coalesce(v, m.median, 0)), 6) AS mean, round(stddev_pop(coalesce(v, m.median, 0)), 6) AS deviation FROM f JOIN m ON f.region_id = m.region_id AND f.feature = m.feature GROUP BY f.region_id, f.feature""",
+        SELECT f.region_id, f.feature, round(any_value(m.median), 9) AS median, round(avg(coalesce(v, m.median, 0)), 6) AS mean, round(stddev_pop(coalesce(v, m.median, 0)), 6) AS deviation FROM f JOIN m ON f.region_id = m.region_id AND f.feature = m.feature GROUP BY f.region_id, f.feature""",
 }
 QUERIES |= pooled_queries.QUERIES
 ORACLE_SQL |= pooled_queries.oracle_sql(_pred(HORIZONS), _rates(HORIZONS), _FEATURES)
