@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from exposure_jobs.functions.timing import micros
-from exposure_jobs.jobs import pooled_queries, testbed, train
+from exposure_jobs.jobs import fixed_queries, pooled_queries, testbed, train
 from exposure_jobs.operators import baselines, extensions, features, forecast, intervals, metrics, model, panel, qc
 from exposure_jobs.sources import alerts, lineage
 
@@ -514,3 +514,5 @@ ORACLE_SQL |= {
 }
 QUERIES |= pooled_queries.QUERIES
 ORACLE_SQL |= pooled_queries.oracle_sql(_pred(HORIZONS), _rates(HORIZONS), _FEATURES)
+QUERIES |= fixed_queries.QUERIES
+ORACLE_SQL |= fixed_queries.oracle_sql(_pred(HORIZONS), _FEATURES)
