@@ -1,10 +1,13 @@
 """Personal data: fixed patterns, and terms that reveal them by what the corpus shows; DataFrame operations only.
 
-A term discloses a protected value (an e-mail address, an IP number, a card, a phone number) if seeing it nearly tells the value:
-with the information content IC(e) = -log p(e), PMI(e; t) / IC(e) reaches DISCLOSURE. Co-occurrence is counted over whole documents.
-Copies tell nothing and hide nothing: texts that hold a value count by near-duplicate class (exact copies are one text, texts that
-share a MinHash of their word shingles are of one class), and SUPPORT classes must show a value and a term together, in contexts that
-differ on both sides of the value; a value that mostly stands in one copied passage tells nothing either.
+Protected entities are the values as spelled alike (an address in small letters, numbers without their punctuation) and what they
+belong to: the names in an address, its domain, the network of an IP number, the block of a phone number (:func:`_entities`). A term
+discloses an entity if seeing it nearly tells the entity: with the information content IC(e) = -log p(e), PMI(e; t) / IC(e) reaches
+DISCLOSURE; so the name in front of an address, written out in the text, is a term like any other. Entities of fewer than TELLING
+bits are commonplaces. Co-occurrence is counted over whole documents.
+Copies tell nothing and hide nothing: texts that hold an entity count by near-duplicate class (exact copies are one text, texts that
+share a MinHash of their word shingles are of one class), and SUPPORT classes must show an entity and a term together, in contexts that
+differ on both sides of the value; an entity that mostly stands in one copied passage tells nothing either.
 """
 
 from __future__ import annotations
@@ -29,8 +32,12 @@ KINDS: dict[str, str] = {
 TERM = "term"
 #: What must stand in a text for a pattern to be worth trying.
 _HINTS = {"email": "contains(text, '@')", "ip": r"text RLIKE '[0-9][.][0-9]'", "card": r"text RLIKE '[0-9][ -]?[0-9]'", "phone": r"text RLIKE '[+][0-9]'"}
-#: Classes of texts that must show a value and a term together, and the share of the value's information that the term must give.
+#: Classes of texts that must show an entity and a term together, and the share of the entity's information that the term must give.
 SUPPORT, DISCLOSURE = 2, 0.9
+#: Bits that an entity must carry: one that more than a sixteenth of all texts hold protects nobody.
+TELLING = 4.0
+#: A phone number without so many last digits is its block.
+EXTENSION = 4
 #: Characters on either side of a value that tell contexts apart, and the share of classes that must not be linked by an equal side.
 APART, SHARE = 32, 0.5
 #: MinHashes of a text and the words of a shingle. Texts whose shingles overlap by half miss each other once in 2^8 times.
@@ -122,38 +129,75 @@ def _apart(classes: str) -> Column:
     return (F.col("both") >= SUPPORT) & (F.col("unlinked") >= SHARE * F.col(classes))
 
 
+def _entities() -> Column:
+    """The entities ``(entity, name)`` of a valid match, by its ``kind`` and ``value``."""
+    value, made = F.lower("value"), lambda entity, name: F.struct(F.lit(entity).alias("entity"), name.alias("name"))
+    names = F.transform(F.regexp_extract_all(F.substring_index(value, "@", 1), F.lit("[a-z]{2,}"), 0), lambda n: made("name", n))
+    parts = F.transform(F.split(value, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", ""))
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return (
+        F.when(F.col("kind") == 0, F.concat(F.array(made("email", value), made("domain", F.substring_index(value, "@", -1))), names))
+        .when(F.col("kind") == 1, F.array(made("ip", F.array_join(parts, ".")), made("network", F.array_join(F.slice(parts, 1, 3), "."))))
+        .when(F.col("kind") == 2, F.array(made("card", digits)))
+        .otherwise(F.array(made("phone", digits), made("block", F.substring(digits, F.lit(1), F.length(digits) - EXTENSION))))
+    )
+
+
+def with_entities(spans: DataFrame) -> DataFrame:
+    """``spans`` with a row for each entity of their values."""
+    return spans.select("*", F.explode(F.array_distinct(_entities())).alias("e")).select(*spans.columns, "e.*")
+
+
+def _content(n: str, total: int) -> Column:
+    """Bits of an entity that ``n`` of all texts hold."""
+    return -F.log2(F.least(F.col(n) / F.greatest(F.lit(total), F.col(n)), F.lit(0.999999)))
+
+
 def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``(kind, value, term)``: terms by which the corpus gives a protected value away."""
-    pair = ["kind", "value", "term"]
-    held = spans.groupBy("kind", "value", "th").agg(F.min(F.struct("left", "right")).alias("context"))  # exact copies are one text
-    repeated = held.groupBy("kind", "value").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("kind", "value")
-    held = checkpointed(held.join(bounded(checkpointed(repeated, few=True)), ["kind", "value"], "left_semi"), few=True)
-    nothing = spans.select("kind", "value", F.lit("").alias("term")).filter("false")
+    """``(entity, name, term)``: terms by which the corpus gives a protected entity away.
+
+    Of an entity that ``texts`` texts and n classes hold, a term can only tell enough if no more than
+    ``texts + n * (2 ** ((1 - DISCLOSURE) * IC) - 1)`` texts have it at all, and two at least: counts among the texts that hold
+    entities rule out most terms before any is paired with an entity.
+    """
+    key = ["entity", "name"]
+    nothing = spans.select(F.lit("").alias("entity"), F.lit("").alias("name"), F.lit("").alias("term")).filter("false")
+    held = with_entities(spans).groupBy(*key, "th").agg(F.min(F.struct("left", "right")).alias("context"))  # exact copies are one text
+    held = checkpointed(held, few=True)
+    repeated = held.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select(*key)
+    held = checkpointed(held.join(bounded(checkpointed(repeated, few=True)), key, "left_semi"), few=True)
     if held.isEmpty():
         return nothing
     holders = docs.join(bounded(held.select("th").distinct()), "th", "left_semi").select("th", _minhashes("text").alias("minhashes"), _terms("text").alias("terms"))
     holders = checkpointed(holders.dropDuplicates(["th"]))
+    total = max(1, docs.select("th").distinct().count())
     held = held.join(near_duplicate_classes(holders), "th")
-    values = held.groupBy("kind", "value", "class").agg(F.min("context").alias("context")).groupBy("kind", "value").agg(F.count("*").alias("n"), *_sides())
-    held = checkpointed(held.join(bounded(checkpointed(values.filter(_apart("n")).select("kind", "value", "n"), few=True)), ["kind", "value"]), few=True)
+    classes = held.groupBy(*key, "class").agg(F.min("context").alias("context"), F.count("*").alias("texts"))
+    told = classes.groupBy(*key).agg(F.count("*").alias("n"), F.sum("texts").alias("texts"), *_sides()).withColumn("content", _content("n", total))
+    most = F.col("texts") + F.col("n") * (F.pow(F.lit(2.0), (1 - DISCLOSURE) * F.col("content")) - 1)
+    told = checkpointed(told.filter(_apart("n") & (F.col("content") >= TELLING)).select(*key, "n", "content", most.alias("most")), few=True)
+    held = checkpointed(held.join(bounded(told), key), few=True)
     if held.isEmpty():
         return nothing
-    together = held.join(holders.select("th", F.explode("terms").alias("term")), "th")
-    by_class = together.groupBy(*pair, "n", "class").agg(F.count("*").alias("texts"), F.min("context").alias("context"))  # a class's copies collapse before they are shuffled
-    pairs = by_class.groupBy(*pair, "n").agg(*_sides(), F.count("*").alias("classes"), F.sum("texts").alias("texts"))
+    each = holders.join(bounded(held.select("th").distinct()), "th", "left_semi").select("th", F.explode("terms").alias("term"))
+    frequent = told.agg(F.max("most")).first()[0]
+    among = each.groupBy("term").agg(F.count("*").alias("among")).filter(F.col("among").between(SUPPORT, frequent))
+    each = each.join(bounded(checkpointed(among, few=True)), "term")
+    together = held.join(each, "th").filter(F.col("among") <= F.col("most"))
+    pair = [*key, "term", "n", "content"]
+    by_class = together.groupBy(*pair, "class").agg(F.count("*").alias("texts"), F.min("context").alias("context"))  # a class's copies collapse before they are shuffled
+    pairs = by_class.groupBy(*pair).agg(*_sides(), F.count("*").alias("classes"), F.sum("texts").alias("texts"))
     pairs = checkpointed(pairs.filter(_apart("classes")))
     mentions = docs.select("th", F.explode(_terms("text")).alias("term")).join(bounded(pairs.select("term").distinct()), "term", "left_semi")
     frequency = mentions.distinct().groupBy("term").agg(F.count("*").alias("df"))
-    total = max(1, docs.select("th").distinct().count())
-    content = -F.log2(F.least(F.col("n") / F.greatest(F.lit(total), F.col("n")), F.lit(0.999999)))
-    others = F.greatest(F.col("df") - F.col("texts"), F.lit(0))  # texts that have the term without the value
-    told = F.log2(F.col("both") / (F.col("both") + others))  # log p(e | t)
-    return pairs.join(frequency, "term").filter((told + content) / content >= DISCLOSURE).select(*pair)
+    others = F.greatest(F.col("df") - F.col("texts"), F.lit(0))  # texts that have the term without the entity
+    gain = F.log2(F.col("both") / (F.col("both") + others))  # log p(e | t)
+    return pairs.join(frequency, "term").filter((gain + F.col("content")) / F.col("content") >= DISCLOSURE).select(*key, "term")
 
 
 def term_spans(docs: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:
-    """Places of disclosing terms in the documents that hold the value they disclose."""
-    wanted = checkpointed(spans.join(bounded(terms), ["kind", "value"]).select(*_ID, "term").distinct(), few=True)
+    """Places of disclosing terms in the documents that hold the entity they disclose."""
+    wanted = checkpointed(with_entities(spans).join(bounded(terms), ["entity", "name"]).select(*_ID, "term").distinct(), few=True)
     if wanted.isEmpty():
         return spans.select(*_ID, F.lit(len(KINDS)).alias("kind"), "start", "end").filter("false")
     named = docs.alias("a").join(bounded(wanted.select(*_ID).distinct()).alias("b"), _same("a", "b"), "left_semi")

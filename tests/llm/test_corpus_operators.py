@@ -520,7 +520,7 @@ def test_disclosure_matches_plain_counts(spark):
             texts.append(f"{some(12)} {' '.join(f"told{x}{'abcdef'[v]}" for x in 'xyz')} {some(6)} user{v}@host.example.org {some(12)} {some(5)}")
     frame = spark.createDataFrame(list(enumerate(texts)), CORE)
     keyed = frame.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = {(r.value, r.term) for r in sanitise.disclosing_terms(keyed, sanitise.base_spans(keyed)).collect()}
+    found = {(r.name, r.term) for r in sanitise.disclosing_terms(keyed, sanitise.base_spans(keyed)).collect()}
     bags = [set(re.findall(r"[^\W\d_]+", re.sub(r"\S+@\S+", " ", t.lower()))) for t in texts]
     total, want = len(set(texts)), set()
     for v in range(6):
@@ -533,6 +533,68 @@ def test_disclosure_matches_plain_counts(spark):
     assert found == want and len(want) > 6
 
 
+def plain_entities(text):
+    out = set()
+    for a, k, b in plain_spans(text):
+        v = text[a:b].lower()
+        digits = re.sub("[^0-9]", "", v)
+        if k == 0:
+            local, domain = v.split("@")
+            out |= {("email", v), ("domain", domain)} | {("name", n) for n in re.findall("[a-z]{2,}", local)}
+        elif k == 1:
+            parts = [str(int(x)) for x in v.split(".")]
+            out |= {("ip", ".".join(parts)), ("network", ".".join(parts[:3]))}
+        else:
+            out |= {("card", digits)} if k == 2 else {("phone", digits), ("block", digits[:-4])}
+    return out
+
+
+def test_entities_of_all_sorts_match_plain_counts(spark):
+    """Names, domains, networks, blocks and values in several spellings: every pair against PMI by its definition, every span by plain search."""
+    rng, words = random.Random(18), vocabulary(14, 1500)
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [some(30) for _ in range(400)]
+    hosts = ["one.example", "two.example", "three.example"]
+    for i in range(3):
+        texts.append(f"{some(14)} write to Anna Meyer {some(8)} anna.meyer@{hosts[i]} {some(14)}")
+        texts.append(f"{some(14)} quokkaworks {some(8)} {'abc'[i]}{i}@quokka.example {some(14)}")
+        texts.append(f"{some(14)} serverhall {some(8)} {['10.20.77', '10.020.77', '010.20.077'][i]}.{i} {some(14)}")
+        texts.append(f"{some(14)} callcentre {some(8)} {['+49 221 555 0001', '+49-221-555-0001', '+49 (221) 555 0001'][i]} {some(14)}")
+    frame = spark.createDataFrame(list(enumerate(texts)), CORE)
+    keyed = frame.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    found = {(r.entity, r.name, r.term) for r in sanitise.disclosing_terms(keyed, sanitise.base_spans(keyed)).collect()}
+    bags = [set(re.findall(r"[^\W\d_]+", re.sub(r"\S+@\S+", " ", t.lower()))) for t in texts]
+    held = {}
+    for i, t in enumerate(texts):
+        for e in plain_entities(t):
+            held.setdefault(e, []).append(i)
+    total, want = len(set(texts)), set()
+    for e, at in held.items():
+        content = -np.log2(len(at) / total)
+        for term in set().union(*(bags[i] for i in at)):
+            both, df = sum(term in bags[i] for i in at), sum(term in b for b in bags)
+            if len(at) >= 2 and content >= sanitise.TELLING and both >= 2 and np.log2(both * total / (len(at) * df)) / content >= sanitise.DISCLOSURE:
+                want.add((*e, term))
+    assert found == want
+    planted = {("name", "anna", "anna"), ("name", "meyer", "meyer"), ("domain", "quokka.example", "quokkaworks"), ("network", "10.20.77", "serverhall"), ("phone", "492215550001", "callcentre"), ("block", "49221555", "callcentre")}
+    assert planted <= want
+    for r in sanitise.find_personal_data(frame).collect():
+        told = {term for entity, name, term in want if (entity, name) in plain_entities(texts[r.doc_id])}
+        outside = re.sub(r"\S+@\S+", lambda m: " " * len(m.group()), texts[r.doc_id])
+        terms = {(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", outside) if m.group().lower() in told}
+        assert {(s.start, s.end) for s in r.spans if s.kind == len(sanitise.KINDS)} == terms
+
+
+def test_commonplace_entities_disclose_nothing(spark):
+    """A domain in a third of all texts carries too little to protect, whatever rare word stands beside it."""
+    rng, words = random.Random(19), vocabulary(15, 1500)
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [f"{some(20)} {chr(97 + i % 26)}{i}@everywhere.example {some(20)} {'zebrafish' if i < 2 else ''}" for i in range(60)] + [some(40) for _ in range(120)]
+    frame = spark.createDataFrame(list(enumerate(texts)), CORE)
+    keyed = frame.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    assert sanitise.disclosing_terms(keyed, sanitise.base_spans(keyed)).filter("entity = 'domain'").isEmpty()
+
+
 @pytest.mark.parametrize("near", [False, True])
 def test_copies_hide_no_disclosing_term(spark, near):
     rng, words = random.Random(5), vocabulary(8, 3000)
