@@ -28,11 +28,11 @@ def words(text: str | Column) -> Column:
     return F.array_remove(F.split(F.translate(column, _UPPER, _LOWER), _GAP), "")
 
 
-def bounded(side: DataFrame) -> DataFrame:
+def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``side`` with a broadcast hint if its counted rows and bytes allow it, else as it is: then the join shuffles both sides."""
     length = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, t in side.dtypes if t == "string"), F.lit(0))
     size = side.agg(F.count("*").alias("rows"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(side) if size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES else side
+    return F.broadcast(side) if size["rows"] <= rows and size["bytes"] <= BROADCAST_BYTES else side
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -42,6 +42,8 @@ EXTENSION = 4
 APART, SHARE = 32, 0.5
 #: MinHashes of a text and the words of a shingle. Texts whose shingles overlap by half miss each other once in 2^8 times.
 HASHES, SHINGLE = 8, 3
+#: Texts that several rows have, two numbers each, are broadcast up to so many; if there are more, texts are shuffled once by their hashes.
+COPIED_ROWS = 1_000_000
 #: Terms are runs of letters outside addresses: an address counts as a token of its own, and is then left out.
 _TERMS = rf"{KINDS['email']}|\p{{L}}++"
 _ID = ["doc_id", "th"]
@@ -153,6 +155,17 @@ def _content(n: str, total: int) -> Column:
     return -F.log2(F.least(F.col(n) / F.greatest(F.lit(total), F.col(n)), F.lit(0.999999)))
 
 
+def _text_frequencies(docs: DataFrame, copied: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, df)``: in how many different texts each of ``terms(term)`` stands; ``copied(th, copies)`` are the texts that several rows have.
+
+    All rows of a text that n rows have hold the same terms, so rows counted by term and n, over n, are texts: tasks add up their
+    rows and send a number for each term, not each pair of term and text.
+    """
+    rows = docs.join(bounded(copied, COPIED_ROWS), "th", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(_terms("text")).alias("term"))
+    counted = rows.join(bounded(terms), "term", "left_semi").groupBy("term", "copies").agg(F.count("*").alias("rows"))
+    return counted.groupBy("term").agg(F.sum(F.expr("rows div copies")).alias("df"))
+
+
 def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``(entity, name, term)``: terms by which the corpus gives a protected entity away.
 
@@ -170,7 +183,8 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
         return nothing
     holders = docs.join(bounded(held.select("th").distinct()), "th", "left_semi").select("th", _minhashes("text").alias("minhashes"), _terms("text").alias("terms"))
     holders = checkpointed(holders.dropDuplicates(["th"]))
-    total = max(1, docs.select("th").distinct().count())
+    copied = checkpointed(docs.groupBy("th").agg(F.count("*").alias("copies")).filter("copies > 1"), few=True)
+    total = max(1, docs.count() - (copied.agg(F.sum(F.col("copies") - 1)).first()[0] or 0))  # different texts
     held = held.join(near_duplicate_classes(holders), "th")
     classes = held.groupBy(*key, "class").agg(F.min("context").alias("context"), F.count("*").alias("texts"))
     told = classes.groupBy(*key).agg(F.count("*").alias("n"), F.sum("texts").alias("texts"), *_sides()).withColumn("content", _content("n", total))
@@ -188,8 +202,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     by_class = together.groupBy(*pair, "class").agg(F.count("*").alias("texts"), F.min("context").alias("context"))  # a class's copies collapse before they are shuffled
     pairs = by_class.groupBy(*pair).agg(*_sides(), F.count("*").alias("classes"), F.sum("texts").alias("texts"))
     pairs = checkpointed(pairs.filter(_apart("classes")))
-    mentions = docs.select("th", F.explode(_terms("text")).alias("term")).join(bounded(pairs.select("term").distinct()), "term", "left_semi")
-    frequency = mentions.distinct().groupBy("term").agg(F.count("*").alias("df"))
+    frequency = _text_frequencies(docs, copied, pairs.select("term").distinct())
     others = F.greatest(F.col("df") - F.col("texts"), F.lit(0))  # texts that have the term without the entity
     gain = F.log2(F.col("both") / (F.col("both") + others))  # log p(e | t)
     return pairs.join(frequency, "term").filter((gain + F.col("content")) / F.col("content") >= DISCLOSURE).select(*key, "term")

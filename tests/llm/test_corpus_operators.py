@@ -610,6 +610,46 @@ def test_copies_hide_no_disclosing_term(spark, near):
     assert all(s.kind < len(sanitise.KINDS) for i in range(1206, 1306) for s in rows[i])
 
 
+def shuffled(spark, run):
+    """What ``run()`` returns, and the rows that its stages wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    none = spark._jvm.java.util.ArrayList
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        listed = sc.statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (listed.apply(i) for i in range(listed.size()))}
+
+    before = max(stages(), default=(-1, 0))
+    result = run()
+    return result, sum(n for key, n in stages().items() if key > before)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_text_frequencies_are_added_up_before_they_are_shuffled(spark, monkeypatch, broadcast):
+    """Rare among the texts with an address, common elsewhere: the terms' frequencies cost a row a term and task, and copies count once."""
+    if not broadcast:
+        monkeypatch.setattr(sanitise, "COPIED_ROWS", 0)
+    rng, words, both = random.Random(27), sorted({w for w in vocabulary(31, 60) if len(w) > 3})[:30], ["secretword", "otherword"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    mixed = lambda *more: " ".join(rng.sample([*words, *more], len(words) + len(more)))
+    texts = [f"{i} {mixed()}" for i in range(2000)]
+    texts += [f"{mixed()} {some(9)} me@mail.example {mixed(*both)} {i}" for i in range(3)]
+    texts += [f"secretword {some(9)}"] * 900 + [f"{some(9)} otherword"] * 2 + [f"otherword {n} {some(5)}" for n in "abcdefghij"]
+    frame = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, None), (-1, "")], CORE)
+    keyed = frame.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    spans = sanitise.base_spans(keyed)
+    found, rows = shuffled(spark, lambda: {(r.name, r.term) for r in sanitise.disclosing_terms(keyed, spans).collect()})
+    bags = [set(re.findall(r"[^\W\d_]+", re.sub(r"\S+@\S+", " ", t))) for t in {*texts, None, ""} if t is not None]
+    total, want = len({*texts, None, ""}), set()
+    for term in [*words, *both]:
+        df = sum(term in b for b in bags)
+        if np.log2(3 * total / (3 * df)) / np.log2(total / 3) >= sanitise.DISCLOSURE:
+            want.add(term)
+    assert {term for name, term in found if name == "me@mail.example"} == want == {"secretword"}
+    assert rows < 2000 * len(words) / 2
+
+
 # --- all
 
 
