@@ -213,7 +213,11 @@ def term_spans(docs: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame
     wanted = checkpointed(with_entities(spans).join(bounded(terms), ["entity", "name"]).select(*_ID, "term").distinct(), few=True)
     if wanted.isEmpty():
         return spans.select(*_ID, F.lit(len(KINDS)).alias("kind"), "start", "end").filter("false")
-    named = docs.alias("a").join(bounded(wanted.select(*_ID).distinct()).alias("b"), _same("a", "b"), "left_semi")
+    sought = checkpointed(wanted.groupBy(*_ID).agg(F.array_join(F.collect_set("term"), " ").alias("sought")), few=True)
+    named = docs.alias("a").join(bounded(sought).alias("b"), _same("a", "b")).select("a.*", F.split("b.sought", " ").alias("sought"))
+    # most that hold an entity have none of its terms, and only those that have one send their matches on
+    has = F.exists(F.regexp_extract_all("text", F.lit(_TERMS), 0), lambda m: F.array_contains("sought", F.lower(m)))
+    named = named.filter(has).select(*_ID, "text")
     places = _found(named, {TERM: None}, {TERM: _TERMS}).withColumn("term", F.lower("value"))
     return places.alias("a").join(wanted.alias("b"), _same("a", "b") & (F.col("a.term") == F.col("b.term"))).select("a.doc_id", "a.th", F.lit(len(KINDS)).alias("kind"), "start", "end")
 

@@ -650,6 +650,22 @@ def test_text_frequencies_are_added_up_before_they_are_shuffled(spark, monkeypat
     assert rows < 2000 * len(words) / 2
 
 
+def test_only_texts_that_have_a_disclosing_term_are_searched_for_its_places(spark):
+    rng, words = random.Random(28), vocabulary(32, 900)
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    told = ["Quokkaworks {} quokkaworks x{}@quokka.example.", "quokkaworks@quokka.example {} QUOKKAWORKS, {} ab@quokka.example", "{} quokkaworksx y{}@quokka.example"]
+    texts = [t.format(some(60), i) for i, t in enumerate(told)] + [f"{some(60)} z{i}@quokka.example" for i in range(300)] + [f"quokkaworks {some(60)}"]
+    frame = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[0])], CORE)
+    keyed = frame.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    terms = spark.createDataFrame([("domain", "quokka.example", "quokkaworks"), ("domain", "quokka.example", "absent")], "entity string, name string, term string")
+    spans = sanitise.base_spans(keyed).localCheckpoint()
+    places, rows = shuffled(spark, lambda: sorted((-1 if r.doc_id is None else r.doc_id, r.start, r.end) for r in sanitise.term_spans(keyed, spans, terms).collect()))
+    outside = [re.sub(r"\S+@\S+", lambda m: " " * len(m.group()), t) for t in texts]
+    want = [(i, m.start(), m.end()) for i, t in [(-1, outside[0]), *enumerate(outside[:3])] for m in re.finditer(r"(?i)\bquokkaworks\b", t)]
+    assert places == sorted(want) and len(want) == 5
+    assert rows < 300 * 60 / 2
+
+
 # --- all
 
 
