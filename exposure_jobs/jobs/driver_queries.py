@@ -33,10 +33,8 @@ def _panel(s: SparkSession, d: str) -> DataFrame:
     return testbed.tables(s, d).origins
 
 
-def _predictions(s: SparkSession, d: str, horizons: tuple) -> tuple[DataFrame, DataFrame]:
-    matrix = testbed.tables(s, d).matrix
-    rates = baselines.fit_baselines(matrix)
-    return rates, baselines.predict_baselines(rates, matrix.filter("split = 'test'"), list(horizons))
+def _predictions(s: SparkSession, d: str, horizons: tuple, split: str = "test", names: tuple[str, ...] = baselines.NAMES) -> DataFrame:
+    return baselines.train_and_predict(testbed.tables(s, d).matrix, list(horizons), split, names)
 
 
 def canonical_events(s, d):
@@ -92,52 +90,52 @@ def baseline_rates(s, d, horizons=SCORED):
 
 
 def baseline_predictions(s, d, horizons=SCORED):
-    made = _predictions(s, d, horizons)[1]
+    made = _predictions(s, d, horizons)
     return _rounded(_us(made.select("region_id", "origin_hour", *(c for c in made.columns if c.startswith("pred_")))))
 
 
 def baseline_scores(s, d, horizons=SCORED):
-    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons))
+    rows = baselines.long_predictions(_predictions(s, d, horizons), list(horizons))
     return _rounded(metrics.proper_scores(rows, ["region_id", "horizon", "predictor"]).drop("log_loss"))
 
 
 def average_precision(s, d, horizons=SCORED):
-    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons)).withColumn("p", F.round("p", 9))
+    rows = baselines.long_predictions(_predictions(s, d, horizons), list(horizons)).withColumn("p", F.round("p", 9))
     found = metrics.average_precision(rows, ["region_id", "horizon", "predictor"])
     return found.select("region_id", "horizon", "predictor", F.round(F.nanvl("pr_auc", F.lit(-1.0)), 6).alias("pr_auc"))
 
 
 def brier_uplift(s, d, horizons=SCORED):
-    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons))
+    rows = baselines.long_predictions(_predictions(s, d, horizons), list(horizons))
     return _rounded(metrics.brier_uplift(metrics.proper_scores(rows, ["region_id", "horizon", "predictor"]), model="persistence"))
 
 
 def era_scores(s, d, horizons=SCORED):
     era = F.when(F.col("origin_hour") < F.lit("2024-01-26").cast("timestamp"), "before").otherwise("after").alias("era")
-    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons)).withColumn("era", era)
+    rows = baselines.long_predictions(_predictions(s, d, horizons), list(horizons)).withColumn("era", era)
     return _rounded(metrics.proper_scores(rows, ["era", "horizon", "predictor"]).drop("log_loss"))
 
 
 def reliability_bins(s, d, horizons=SCORED):
-    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons)).withColumn("p", F.round("p", 6))
+    rows = baselines.long_predictions(_predictions(s, d, horizons), list(horizons)).withColumn("p", F.round("p", 6))
     made = metrics.reliability(rows, ["horizon", "predictor"])
     whole = lambda c, unit: F.round(F.col(c) * F.col("n") * unit).cast("bigint")
     return made.select("horizon", "predictor", "bin", "n", whole("mean_p", 1e6).alias("p_millionths"), whole("rate", 1).alias("hits"))
 
 
 def calibration_error(s, d, horizons=SCORED):
-    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons)).withColumn("p", F.round("p", 6))
+    rows = baselines.long_predictions(_predictions(s, d, horizons), list(horizons)).withColumn("p", F.round("p", 6))
     return _rounded(metrics.calibration_error(metrics.reliability(rows, ["horizon", "predictor"]), ["horizon", "predictor"]))
 
 
 def false_alarm_threshold(s, d, horizons=SCORED):
-    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons)).withColumn("p", F.round("p", 6))
+    rows = baselines.long_predictions(_predictions(s, d, horizons), list(horizons)).withColumn("p", F.round("p", 6))
     return _rounded(metrics.false_alarm_threshold(rows, ["horizon", "predictor"], 0.1))
 
 
 def monotone_forecast(s, d, horizons=SCORED):
-    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons), ("seasonal",)).drop("y")
-    return _rounded(_us(forecast.monotone(rows)))
+    made = _predictions(s, d, horizons, names=("seasonal",)).withColumns(forecast.monotone_columns([f"pred_seasonal_y_{k}" for k in sorted(horizons)]))
+    return _rounded(_us(baselines.long_predictions(made, list(horizons), ("seasonal",)).drop("y")))
 
 
 def feature_scaling(s, d):
@@ -203,16 +201,14 @@ def model_stationary(s, d):
 
 
 def baseline_log_loss(s, d, horizons=SCORED):
-    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons))
+    rows = baselines.long_predictions(_predictions(s, d, horizons), list(horizons))
     return _rounded(metrics.proper_scores(rows, ["region_id", "horizon", "predictor"]).select("region_id", "horizon", "predictor", "log_loss"))
 
 
 def isotonic_midpoints(s, d, horizons=HORIZONS):
     """What isotonic calibration makes of scores between the seasonal rates of the validation rows (a quarter, the middle and three
     quarters of the way to the next one) and beyond both ends."""
-    matrix = testbed.tables(s, d).matrix
-    made = baselines.predict_baselines(baselines.fit_baselines(matrix), matrix.filter("split = 'validation'"), list(horizons), ("seasonal",))
-    rows = baselines.long_predictions(made, list(horizons), ("seasonal",)).withColumn("p", F.round("p", 9))
+    rows = baselines.long_predictions(_predictions(s, d, horizons, "validation", ("seasonal",)), list(horizons), ("seasonal",)).withColumn("p", F.round("p", 9))
     order = Window.partitionBy("region_id", "horizon").orderBy("p")
     known = rows.select("region_id", "horizon", "p").distinct().select("region_id", "horizon", F.row_number().over(order).alias("i"), F.col("p").alias("x"), F.lead("p").over(order).alias("to"))
     between = [(q, F.col("x") + (F.col("to") - F.col("x")) * (q / 4)) for q in (1, 2, 3)]
@@ -241,9 +237,7 @@ def qc_planted_labels(s, d, horizons=SCORED):
 
 def isotonic_seasonal(s, d, horizons=SCORED):
     """The seasonal rates of the validation rows and what isotonic calibration makes of them."""
-    matrix = testbed.tables(s, d).matrix
-    made = baselines.predict_baselines(baselines.fit_baselines(matrix), matrix.filter("split = 'validation'"), list(horizons), ("seasonal",))
-    rows = baselines.long_predictions(made, list(horizons), ("seasonal",)).withColumn("p", F.round("p", 9))
+    rows = baselines.long_predictions(_predictions(s, d, horizons, "validation", ("seasonal",)), list(horizons), ("seasonal",)).withColumn("p", F.round("p", 9))
     points = rows.select("region_id", "horizon", "p").distinct().withColumn("x", F.col("p"))
     done = model.calibrated(points, model.fit_calibrators(rows))
     return done.select("region_id", "horizon", F.round("x", 9).alias("x"), F.round("p", 9).alias("fitted"))
@@ -297,8 +291,10 @@ def x_minutes(s, d):
 
 
 def x_type_union(s, d, horizons=SCORED):
-    rows = baselines.long_predictions(_predictions(s, d, horizons)[1], list(horizons), ("seasonal", "persistence")).withColumn("p", F.round("p", 6))
-    return _rounded(_us(extensions.type_union(rows, ["region_id", "origin_hour", "horizon"])), 12)
+    names = ("seasonal", "persistence")
+    either = lambda k: extensions.type_union_of([F.round(f"pred_{b}_y_{k}", 6) for b in names])
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("horizon"), either(k).alias("p")) for k in horizons)))
+    return _rounded(_us(_predictions(s, d, horizons, names=names).select("region_id", "origin_hour", each.alias("e")).select("region_id", "origin_hour", "e.*")), 12)
 
 
 def _typed(s, d):

@@ -18,8 +18,7 @@ def _matrix(s, d) -> DataFrame:
 
 def _scored(s, d, split: str = "test") -> DataFrame:
     """``(horizon, predictor, y, p)`` of all regions: the three baselines and their mean, which has far more distinct scores."""
-    matrix = testbed.tables(s, d).matrix
-    made = baselines.predict_baselines(baselines.fit_baselines(matrix), matrix.filter(F.col("split") == split), list(HORIZONS))
+    made = baselines.train_and_predict(testbed.tables(s, d).matrix, list(HORIZONS), split)
     score = lambda k, b: F.round(F.col(f"pred_{b}_y_{k}"), 9)
     kinds = lambda k: {**{b: score(k, b) for b in baselines.NAMES}, "mean": F.round((score(k, "marginal") + score(k, "seasonal") + score(k, "persistence")) / 3, 8)}
     each = F.array(*(F.struct(F.lit(k).alias("horizon"), F.lit(b).alias("predictor"), F.col(f"y_{k}").alias("y"), p.alias("p")) for k in HORIZONS for b, p in kinds(k).items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposure_jobs.operators.panel import label_columns
@@ -55,6 +55,42 @@ def predict_baselines(rates: DataFrame, rows: DataFrame, horizons: list[int], ba
     return joined.select(*rows.columns, *made)
 
 
+def train_and_predict(matrix: DataFrame, horizons: list[int], split: str = "test", baselines: tuple[str, ...] = NAMES) -> DataFrame:
+    """``(region_id, origin_hour, y_{N}, pred_{baseline}_y_{N})`` of a split's rows: :func:`fit_baselines` and :func:`predict_baselines` in
+    one pass, for a matrix with one row an origin.
+
+    Training rows are counted by region, hour of the week and flag, and each row of ``split`` stands among these counts as one of its own.
+    Rates are sums over the counts of a region, or of one of its hours of the week, so a matrix that is dealt by region is read once
+    and shuffled never.
+    """
+    if unknown := sorted(set(baselines) - set(NAMES)):
+        raise ValueError(f"unknown baselines {unknown}")
+    if split == "train":
+        raise ValueError("training rows cannot be predicted as a split of their own")
+    keys = ["region_id", "hour_of_week_kyiv", "active_at_origin"]
+    asked = F.when(F.col("split") == split, F.col("origin_hour")).alias("origin_hour")
+    labels = [f"y_{k}" for k in horizons]
+    counted = matrix.filter(F.col("split").isin("train", split)).groupBy(*keys, asked).agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in labels))
+    trained, how = F.col("origin_hour").isNull(), Window.partitionBy("region_id", "hour_of_week_kyiv").orderBy("active_at_origin")
+    region = Window.partitionBy("region_id").orderBy("hour_of_week_kyiv", "active_at_origin")  # the same order: sorted once
+    whole = lambda window: window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = lambda prefix, rows, window: {f"__{prefix}{c}": F.sum(F.when(rows, F.col(c))).over(whole(window)) for c in ("n", *labels)}
+    if "seasonal" in baselines:
+        counted = counted.withColumns(sums("s", trained, how))
+    of_region = sums("m", trained, region)
+    if "persistence" in baselines:
+        of_region |= {k: v for flag in (0, 1) for k, v in sums(f"p{flag}", trained & (F.col("active_at_origin") == flag), region).items()}
+    summed = counted.withColumns(of_region).filter("origin_hour IS NOT NULL")
+    rate = lambda prefix, y: F.col(f"__{prefix}{y}") / F.col(f"__{prefix}n")
+    kinds = {
+        "marginal": lambda y: rate("m", y),
+        "seasonal": lambda y: F.coalesce(rate("s", y), rate("m", y)),
+        "persistence": lambda y: F.coalesce(F.when(F.col("active_at_origin") == 1, rate("p1", y)).when(F.col("active_at_origin") == 0, rate("p0", y)), rate("m", y)),
+    }
+    made = [kinds[b](y).alias(f"pred_{b}_{y}") for b in baselines for y in labels]
+    return summed.select("region_id", "origin_hour", *(F.col(y).cast("int").alias(y) for y in labels), *made)
+
+
 def long_predictions(rows: DataFrame, horizons: list[int], baselines: tuple[str, ...] = NAMES) -> DataFrame:
     """``(region_id, origin_hour, horizon, predictor, y, p)`` from wide predictions."""
     each = F.array(*(F.struct(F.lit(k).alias("horizon"), F.lit(b).alias("predictor"), F.col(f"y_{k}").alias("y"), F.col(f"pred_{b}_y_{k}").alias("p")) for k in horizons for b in baselines))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposure_jobs.functions.timing import HOUR_US, ceil_hours, floor_hours, hour_to_ts, micros
@@ -27,6 +29,11 @@ def type_union(by_type: DataFrame, keys: list[str]) -> DataFrame:
     return by_type.groupBy(*keys).agg((1 - F.product(1 - F.col("p"))).alias("p"))
 
 
+def type_union_of(probabilities: list[Column]) -> Column:
+    """:func:`type_union` for a row that has the probability of each type."""
+    return 1 - reduce(lambda product, p: product * (1 - p), probabilities, F.lit(1.0))
+
+
 def activity_by_type(typed: DataFrame) -> DataFrame:
     """``typed(region_id, kind, started_at, finished_at)`` → hours in which each kind was active."""
     s, e = micros("started_at"), micros("finished_at")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposure_jobs.operators.model import calibrated, predict_raw
@@ -38,6 +38,11 @@ def listing(forecasts: DataFrame) -> DataFrame:
     return forecasts.select("region_id", "horizon", line.alias("line")).orderBy("region_id", "horizon")
 
 
+def monotone_columns(columns: list[str]) -> dict[str, Column]:
+    """:func:`monotone` for a row that has a probability for each horizon, in columns by ascending horizon."""
+    return {c: F.greatest(*columns[: i + 1]) if i else F.col(c) for i, c in enumerate(columns)}
+
+
 def monotone(predictions: DataFrame) -> DataFrame:
     """Probabilities made non-decreasing in the horizon, by a running maximum."""
     upto = Window.partitionBy("region_id", "origin_hour").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
