@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from exposure_jobs.functions.timing import exposed_forward, floor_hours, invalid, micros
+from exposure_jobs.functions.timing import HOUR_US, ceil_hours, floor_hours, invalid, micros
 from exposure_jobs.operators.panel import label_columns
 
 
@@ -33,17 +35,19 @@ def overlapping_intervals(merged: DataFrame) -> DataFrame:
 def label_mismatches(panel: DataFrame, merged: DataFrame, horizons: list[int] | None = None) -> DataFrame:
     """Labels recomputed from the intervals by their written definition, where they differ from the stored ones.
 
-    A different route from the panel's: intervals and origins meet in day buckets, each pair is tested, and any hit makes the label.
+    A different route from the panel's: intervals and origins meet in day buckets, each pair is tested, and any hit makes the label. A
+    pair that is not over at the origin says from which horizon on it is seen; the least of a bucket's pairs answers for all horizons at
+    once, the stored labels ride along, and only what differs becomes a row for a horizon.
     """
     horizons = [int(c[2:]) for c in label_columns(panel.columns)] if horizons is None else horizons
     day = lambda us: F.floor(floor_hours(us) / 24)
-    each = F.array(*(F.struct(F.lit(k).alias("horizon"), F.col(f"y_{k}").alias("y")) for k in horizons))
-    asked = panel.select("region_id", "origin_hour", F.explode(each).alias("e")).select("region_id", "origin_hour", "e.*")
-    longest = max(horizons)
-    spans = merged.select("region_id", "started_at", "finished_at", F.explode(F.sequence(day(micros("started_at") - F.lit(longest * 3_600_000_000)), day(micros("finished_at")))).alias("day"))
-    probes = asked.withColumn("day", day(micros("origin_hour"))).alias("o")
-    until = F.timestamp_micros(micros("o.origin_hour") + F.col("o.horizon").cast("bigint") * 3_600_000_000)
-    hit = (F.col("o.region_id") == F.col("i.region_id")) & (F.col("o.day") == F.col("i.day")) & exposed_forward("i.started_at", "i.finished_at", "o.origin_hour", until)
-    exposed = probes.join(spans.alias("i"), hit, "left_semi").select("region_id", "origin_hour", "horizon", F.lit(1).alias("want"))
-    joined = asked.join(exposed, ["region_id", "origin_hour", "horizon"], "left").withColumn("want", F.coalesce("want", F.lit(0)))
-    return joined.filter(F.col("y") != F.col("want"))
+    asked = panel.select("region_id", "origin_hour", day(micros("origin_hour")).alias("day"), F.array(*(F.col(f"y_{k}").cast("tinyint") for k in horizons)).alias("labels"))
+    days = F.sequence(day(micros("started_at") - F.lit(max(horizons) * HOUR_US)), day(micros("finished_at")))
+    spans = merged.select("region_id", "started_at", "finished_at", F.explode(days).alias("day"))
+    seen_from = F.when(F.col("finished_at") > F.col("origin_hour"), ceil_hours(micros("started_at") - micros("origin_hour")))
+    found = asked.join(spans, ["region_id", "day"], "left").groupBy("region_id", "day", "origin_hour", "labels").agg(F.min(seen_from).alias("least"))
+    want = lambda k: F.coalesce((F.col("least") <= k).cast("int"), F.lit(0))
+    label = lambda i: F.get("labels", F.lit(i)).cast("int")
+    wrong = found.filter(reduce(lambda a, b: a | b, (label(i) != want(k) for i, k in enumerate(horizons))))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("horizon"), label(i).alias("y"), want(k).alias("want")) for i, k in enumerate(horizons))))
+    return wrong.select("region_id", "origin_hour", each.alias("e")).select("region_id", "origin_hour", "e.*").filter("y <> want")
