@@ -92,6 +92,13 @@ def train_and_predict(matrix: DataFrame, horizons: list[int], split: str = "test
 
 
 def long_predictions(rows: DataFrame, horizons: list[int], baselines: tuple[str, ...] = NAMES) -> DataFrame:
-    """``(region_id, origin_hour, horizon, predictor, y, p)`` from wide predictions."""
-    each = F.array(*(F.struct(F.lit(k).alias("horizon"), F.lit(b).alias("predictor"), F.col(f"y_{k}").alias("y"), F.col(f"pred_{b}_y_{k}").alias("p")) for k in horizons for b in baselines))
-    return rows.select("region_id", "origin_hour", F.explode(each).alias("e")).select("region_id", "origin_hour", "e.*")
+    """``(region_id, origin_hour, horizon, predictor, y, p)`` from wide predictions.
+
+    Columns are laid into arrays first and picked by number: a structure spelt out for each horizon and baseline becomes a method that
+    the JVM leaves uncompiled.
+    """
+    of = lambda columns: F.array(*columns)
+    laid = rows.select("region_id", "origin_hour", of(f"y_{k}" for k in horizons).alias("ys"), *(of(f"pred_{b}_y_{k}" for k in horizons).alias(f"of_{b}") for b in baselines))
+    each = laid.select("*", F.posexplode(F.array(*map(F.lit, horizons))).alias("at", "horizon"))
+    picked = F.array(*(F.struct(F.lit(b).alias("predictor"), F.get(f"of_{b}", "at").alias("p")) for b in baselines))
+    return each.select("region_id", "origin_hour", "horizon", F.get("ys", "at").alias("y"), F.explode(picked).alias("e")).select("region_id", "origin_hour", "horizon", "e.predictor", "y", "e.p")
