@@ -292,9 +292,10 @@ def x_minutes(s, d):
 
 def x_type_union(s, d, horizons=SCORED):
     names = ("seasonal", "persistence")
-    either = lambda k: extensions.type_union_of([F.round(f"pred_{b}_y_{k}", 6) for b in names])
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("horizon"), either(k).alias("p")) for k in horizons)))
-    return _rounded(_us(_predictions(s, d, horizons, names=names).select("region_id", "origin_hour", each.alias("e")).select("region_id", "origin_hour", "e.*")), 12)
+    of = [F.array(*(f"pred_{b}_y_{k}" for k in horizons)).alias(b) for b in names]
+    each = _predictions(s, d, horizons, names=names).select("region_id", "origin_hour", *of).select("*", F.posexplode(F.array(*map(F.lit, horizons))).alias("at", "horizon"))
+    either = extensions.type_union_of([F.round(F.get(b, "at"), 6) for b in names])
+    return _rounded(_us(each.select("region_id", "origin_hour", "horizon", either.alias("p"))), 12)
 
 
 def _typed(s, d):

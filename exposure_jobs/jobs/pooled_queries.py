@@ -19,10 +19,12 @@ def _matrix(s, d) -> DataFrame:
 def _scored(s, d, split: str = "test") -> DataFrame:
     """``(horizon, predictor, y, p)`` of all regions: the three baselines and their mean, which has far more distinct scores."""
     made = baselines.train_and_predict(testbed.tables(s, d).matrix, list(HORIZONS), split)
-    score = lambda k, b: F.round(F.col(f"pred_{b}_y_{k}"), 9)
-    kinds = lambda k: {**{b: score(k, b) for b in baselines.NAMES}, "mean": F.round((score(k, "marginal") + score(k, "seasonal") + score(k, "persistence")) / 3, 8)}
-    each = F.array(*(F.struct(F.lit(k).alias("horizon"), F.lit(b).alias("predictor"), F.col(f"y_{k}").alias("y"), p.alias("p")) for k in HORIZONS for b, p in kinds(k).items()))
-    return made.select(F.explode(each).alias("e")).select("e.*")
+    laid = made.select(F.array(*(f"y_{k}" for k in HORIZONS)).alias("ys"), *(F.array(*(f"pred_{b}_y_{k}" for k in HORIZONS)).alias(b) for b in baselines.NAMES))
+    each = laid.select("ys", *baselines.NAMES, F.posexplode(F.array(*map(F.lit, HORIZONS))).alias("at", "horizon"))
+    each = each.select("horizon", F.get("ys", "at").alias("y"), *(F.round(F.get(b, "at"), 9).alias(b) for b in baselines.NAMES))
+    each = each.withColumn("mean", F.round((F.col("marginal") + F.col("seasonal") + F.col("persistence")) / 3, 8))
+    picked = F.array(*(F.struct(F.lit(b).alias("predictor"), F.col(b).alias("p")) for b in (*baselines.NAMES, "mean")))
+    return each.select("horizon", "y", F.explode(picked).alias("e")).select("horizon", "e.predictor", "y", "e.p")
 
 
 def pooled_medians(s, d):
