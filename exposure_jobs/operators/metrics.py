@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from exposure_jobs.functions.durable import small_side
+from exposure_jobs.functions.durable import checkpointed, small_side
 from exposure_jobs.operators.running import running
 
 EPSILON = 2.220446049250313e-16  # the step of a double at one
@@ -29,7 +29,7 @@ def _from_the_top(tied: DataFrame, keys: list[str], sums: dict[str, str], spread
     One window for each key; with ``spread``, for keys that hold very many scores, over ranges of scores (:func:`running`).
     """
     if spread:
-        return running(tied, keys, [F.col("p").desc()], {name: ("sum", column) for name, column in sums.items()})
+        return running(checkpointed(tied), keys, [F.col("p").desc()], {name: ("sum", column) for name, column in sums.items()})
     down = Window.partitionBy(*keys).orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return tied.withColumns({name: F.sum(column).over(down) for name, column in sums.items()})
 
@@ -77,8 +77,9 @@ def evaluate(rows: DataFrame, keys: list[str] | None = None, spread: bool = Fals
 def brier_uplift(scores: DataFrame, model: str = "model") -> DataFrame:
     """For each other predictor, its Brier score less the model's."""
     keys = [c for c in scores.columns if c in ("region_id", "horizon", "era")]
-    own = scores.filter(F.col("predictor") == model).select(*keys, F.col("brier_score").alias("model_brier"))
-    return scores.filter(F.col("predictor") != model).join(own, keys).select(*keys, "predictor", (F.col("brier_score") - F.col("model_brier")).alias("brier_uplift"))
+    own = F.max(F.when(F.col("predictor") == model, F.col("brier_score"))).over(Window.partitionBy(*keys))
+    beside = scores.withColumn("model_brier", own).filter((F.col("predictor") != model) & F.col("model_brier").isNotNull())
+    return beside.select(*keys, "predictor", (F.col("brier_score") - F.col("model_brier")).alias("brier_uplift"))
 
 
 def reliability(rows: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
