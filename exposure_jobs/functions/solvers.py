@@ -31,6 +31,43 @@ def newton_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float =
     return w[:-1], float(w[-1])
 
 
+def newton_logistic_many(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`newton_logistic` for many labels over the same rows: ``y`` and ``weight`` have a column for each. Coefficients by row, intercepts.
+
+    All labels step together, their Hessians are one product with the rows' outer squares. A label is done when its gradient or its step
+    is nothing; losses compare with the slack that rounding needs, so no step is halved over the last digits.
+    """
+    z = np.column_stack([x, np.ones(len(x))])
+    n, d = z.shape
+    squares = (z[:, :, None] * z[:, None, :]).reshape(n, d * d)
+    penalty = np.r_[np.full(d - 1, 1.0 / c), 0.0][:, None]
+    w, left = np.zeros((d, y.shape[1])), np.arange(y.shape[1])
+
+    def loss(w, m, y, weight):
+        return (weight * (np.maximum(m, 0) + np.log1p(np.exp(-np.abs(m))) - y * m)).sum(0) + 0.5 * (penalty * w * w).sum(0)
+
+    at = loss(w, z @ w, y, weight)
+    for _ in range(steps):
+        own, ys, ws = w[:, left], y[:, left], weight[:, left]
+        p = 1 / (1 + np.exp(-z @ own))
+        gradient = z.T @ (ws * (p - ys)) + penalty * own
+        hessian = (squares.T @ (ws * p * (1 - p))).T.reshape(len(left), d, d) + np.diag(penalty[:, 0] + 1e-12)
+        step = np.linalg.solve(hessian, gradient.T[:, :, None])[:, :, 0].T
+        size, was = np.ones(len(left)), at[left]
+        while True:
+            to = own - size * step
+            now = loss(to, z @ to, ys, ws)
+            worse = (now > was + 1e-12 * np.abs(was)) & (size > 1e-8)
+            if not worse.any():
+                break
+            size[worse] /= 2
+        w[:, left], at[left] = to, np.minimum(now, was)
+        left = left[(np.abs(gradient).max(0) >= 1e-10) & (np.abs(step).max(0) >= 1e-11)]
+        if not len(left):
+            break
+    return w[:-1].T, w[-1]
+
+
 def pool_adjacent_violators(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing least-squares fit of y on x; equal x are averaged first."""
     knots, which, weight = np.unique(x, return_inverse=True, return_counts=True)

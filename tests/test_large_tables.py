@@ -2,13 +2,15 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from exposure_jobs.config import Settings
-from exposure_jobs.jobs import driver_queries
+from exposure_jobs.functions.solvers import newton_logistic, newton_logistic_many, pool_adjacent_violators
+from exposure_jobs.jobs import driver_queries, fixed_queries
 from exposure_jobs.jobs.process import build_tables
-from exposure_jobs.operators import baselines, features, intervals, panel, qc
+from exposure_jobs.operators import baselines, features, intervals, model, panel, qc
 from exposure_jobs.sources.regions import registry
 from tests.test_pooled_jobs import random_intervals
 
@@ -106,3 +108,33 @@ def test_ranges_without_intervals_have_hours_too(spark):
     counts = {r.region_id: (r.n, r.hours, r.hit, r.open) for r in made.groupBy("region_id").agg(F.count("*").alias("n"), F.count_distinct("origin_hour").alias("hours"), F.sum("y_24").alias("hit"), F.sum(F.col("y_24").isNull().cast("int")).alias("open")).collect()}
     assert counts["a"][:2] == counts["b"][:2] == (100, 100) and counts["a"][2] > 0 and counts["b"][2:] == (0, 24)
     assert qc.label_mismatches(made, merged).count() == 0
+
+
+def test_labels_fitted_together_are_those_fitted_apart():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(300, 6)), (rng.random((300, 9)) < np.linspace(0.02, 0.9, 9)).astype(float)
+    weight = np.where(y == 1, 3.0, 1.0) * rng.choice([0.25, 1.0], (300, 1))
+    coefs, free = newton_logistic_many(x, y, weight)
+    for j in range(9):
+        w, b = newton_logistic(x, y[:, j], weight[:, j])
+        assert np.allclose([*coefs[j], free[j]], [*w, b], rtol=0, atol=1e-7)
+
+
+def test_calibrators_come_from_counts(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a", k, float(np.round(p, 1 + k)), int(rng.random() < p)) for k in (1, 2) for p in rng.random(400)] + [("b", 1, 0.5, 1)] * 5
+    made = {(r.region_id, r.horizon): r for r in model.fit_calibrators(spark.createDataFrame(rows, "region_id string, horizon int, p double, y int")).collect()}
+    assert made["b", 1].method == "identity" and len(made) == 3
+    for k in (1, 2):
+        p, y = (np.array([r[i] for r in rows if r[0] == "a" and r[1] == k], float) for i in (2, 3))
+        x, level = pool_adjacent_violators(p, y)
+        assert np.allclose(np.interp(x, made["a", k].knots_x, made["a", k].knots_y), level)
+
+
+def test_calibrators_meet_parameters_not_predictions(spark, tables):
+    matrix, given, bent, _ = fixed_queries._given(spark, SMALL)
+    rows = matrix.filter("split = 'test'")
+    one = model.predict_raw(rows, given, fixed_queries.NAMES, calibrators=bent)
+    two = model.calibrated(model.predict_raw(rows, given, fixed_queries.NAMES), bent)
+    of = lambda df: sorted((r[0], r[1], r[2], round(r[3], 12)) for r in df.collect())
+    assert of(one) == of(two)
