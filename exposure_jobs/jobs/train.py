@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from exposure_jobs.config import Settings
-from exposure_jobs.operators.baselines import fit_baselines, long_predictions, predict_baselines
+from exposure_jobs.operators.baselines import long_predictions, train_and_predict
 from exposure_jobs.operators.features import matrix_features
 from exposure_jobs.operators.metrics import evaluate
-from exposure_jobs.operators.model import calibrated, fit_calibrators, fit_exposure_models, predict_raw
+from exposure_jobs.operators.model import fit_calibrators, fit_exposure_models, predict_raw
 from exposure_jobs.operators.panel import label_columns
 from exposure_jobs.operators.pooled import as_one_region, fit_calibrators_distributed, fit_distributed
 from exposure_jobs.sources.alerts import read_by_region, save_models, write_report
@@ -45,13 +45,11 @@ def report(matrix: DataFrame, parameters: DataFrame, calibrators: DataFrame, bas
     horizons = [int(c[2:]) for c in label_columns(matrix.columns)]
     test = _some(matrix, "test")
     _some(matrix, "train")
-    model = calibrated(predict_raw(test, parameters, features, horizons), calibrators).withColumn("predictor", F.lit("model"))
-    rates = fit_baselines(matrix)
-    based = long_predictions(predict_baselines(rates, test, horizons, baselines), horizons, baselines)
+    model = predict_raw(test, parameters, features, horizons, calibrators).withColumn("predictor", F.lit("model"))
+    based = long_predictions(train_and_predict(matrix, horizons, "test", baselines), horizons, baselines)
     scores = evaluate(model.select(*based.columns).unionByName(based))
-    scores = scores.cache()
-    own = scores.filter("predictor = 'model'").select("region_id", "horizon", F.col("brier_score").alias("__own"))
-    return scores.join(own, ["region_id", "horizon"]).withColumn("model_uplift", F.col("brier_score") - F.col("__own")).drop("__own")
+    own = F.max(F.when(F.col("predictor") == "model", F.col("brier_score"))).over(Window.partitionBy("region_id", "horizon"))
+    return scores.withColumn("__own", own).filter("__own IS NOT NULL").withColumn("model_uplift", F.col("brier_score") - F.col("__own")).drop("__own")
 
 
 def report_header(matrix: DataFrame, method: str = "isotonic") -> DataFrame:

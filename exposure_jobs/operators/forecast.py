@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from exposure_jobs.operators.model import calibrated, predict_raw
+from exposure_jobs.operators.model import predict_raw
 
 
 def pick_origins(matrix: DataFrame, at: str = "latest") -> DataFrame:
@@ -27,7 +27,7 @@ def forecast_rows(matrix: DataFrame, origins: DataFrame) -> DataFrame:
 def forecast(matrix: DataFrame, parameters: DataFrame, calibrators: DataFrame, regions: DataFrame, features: list[str], timezone: str, at: str = "latest") -> DataFrame:
     """``region_id, display_name, origin_hour, origin_local, horizon, probability`` for all regions at once."""
     rows = forecast_rows(matrix, pick_origins(matrix, at))
-    made = calibrated(predict_raw(rows, parameters, features), calibrators)
+    made = predict_raw(rows, parameters, features, calibrators=calibrators)
     named = made.join(regions.select("region_id", "display_name"), "region_id", "left")
     return named.select("region_id", "display_name", "origin_hour", F.from_utc_timestamp("origin_hour", timezone).alias("origin_local"), "horizon", F.col("p").alias("probability"))
 
